@@ -354,3 +354,39 @@ def exact_quantiles(
         ]
     )
     return wide.select(*keys, F.inline(rows))
+
+
+def shifted(
+    df: DataFrame,
+    order: Sequence[str],
+    columns: Mapping[str, tuple[str, int]],
+    keys: Sequence[str] = (),
+    *,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Add neighbours' values: ``{new_column: (column, offset)}``, negative = earlier row.
+
+    ``order`` must be unique per key. Large keys go through row numbers and blocks.
+    """
+    keys = list(keys)
+
+    def neighbour(window, name: str, offset: int) -> Column:
+        return F.lag(name, -offset).over(window) if offset < 0 else F.lead(name, offset).over(window)
+
+    cuts = find_cuts(df, order, keys, rows_per_bucket=rows_per_bucket)
+    if cuts.trivial:
+        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+        return df.select("*", *[neighbour(window, c, o).alias(n) for n, (c, o) in columns.items()])
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    indexed = running(ones, order, {"_at": ("sum", "_one")}, keys, cuts=cuts).drop("_one")
+    offsets = [o for _, o in columns.values()]
+    framed = with_frames(
+        indexed,
+        "_at",
+        {n: (lambda w, c=c, o=o: neighbour(w, c, o)) for n, (c, o) in columns.items()},
+        keys,
+        before=max([0, *[-o for o in offsets]]),
+        after=max([0, *offsets]),
+        block_rows=rows_per_bucket,
+    )
+    return framed.drop("_at")
