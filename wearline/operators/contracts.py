@@ -185,8 +185,11 @@ def request_contract(
     def checks(get) -> list[Check]:
         return _check_signals(get, ranges, states)
 
+    def breaks(i: int):
+        return lambda reading: checks(lambda c: reading[c].cast("double"))[i].bad
+
     for i, named in enumerate(checks(lambda c: F.lit(None).cast("double"))):
-        any_bad = F.exists(cells, lambda r, i=i: checks(lambda c: r[c].cast("double"))[i].bad)
+        any_bad = F.exists(cells, breaks(i))
         text = F.lit(f"{named.column}:{named.rule}")
         reasons.append(F.when(F.coalesce(any_bad, F.lit(False)), text))
     empty = F.coalesce(F.size(cells) <= 0, F.lit(True)) | cells.isNull()

@@ -110,6 +110,9 @@ def aggregate_request(
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
+    def squares(a: Column, mean: Column) -> Column:
+        return F.transform(a, lambda x: (x - mean) * (x - mean))
+
     out: list[Column] = []
     for c in signals.all:
         v = values(c)
@@ -117,8 +120,7 @@ def aggregate_request(
         mean = F.when(n > 0, total(v) / n)
         out.append(mean.alias(f"{c}_mean"))
         if c in signals.analog:
-            squares = F.transform(v, lambda x, m=mean: (x - m) * (x - m))
-            std = F.when(n > 1, F.sqrt(total(squares) / (n - 1))).otherwise(F.lit(0.0))
+            std = F.when(n > 1, F.sqrt(total(squares(v, mean)) / (n - 1))).otherwise(F.lit(0.0))
             out += [
                 std.alias(f"{c}_std"),
                 F.array_min(v).alias(f"{c}_min"),
