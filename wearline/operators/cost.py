@@ -8,7 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wearline.functions.columns import alert, col, ratio
-from wearline.operators.ordered import ROWS_PER_BUCKET, count_values, row_index, running
+from wearline.operators.ordered import (
+    ROWS_PER_BUCKET,
+    Cuts,
+    count_values,
+    row_index,
+    running,
+    settle,
+)
 
 
 @dataclass(frozen=True)
@@ -96,29 +103,22 @@ def baseline_costs(df: DataFrame, y: str, cost: CostModel, by: Sequence[str] = (
     )
 
 
-def score_curve(
-    df: DataFrame,
-    y: str,
-    score: str,
-    by: Sequence[str] = (),
-    *,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """One row per distinct score as cutoff: tp and fp at or above it, and class totals.
-
-    Rows are counted per score first, so the ordered part sees distinct scores only. Rows
-    without a score never alert but stay in the totals.
-    """
+def score_counts(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Failing (``pos``) and quiet (``neg``) rows per distinct score; null is "no score"."""
     usable = df.withColumn("_score", F.when(~F.isnan(score), F.col(score).cast("double")))
     bad = _positive(y)
-    counted = count_values(usable, "_score", by, pos=bad.cast("long"), neg=(~bad).cast("long"))
+    return count_values(usable, "_score", by, pos=bad.cast("long"), neg=(~bad).cast("long"))
+
+
+def curve_of(counted: DataFrame, by: Sequence[str], cuts: Cuts | None) -> DataFrame:
+    """The cutoff curve from :func:`score_counts` rows."""
     below = running(
         counted,
         ["_score"],
         {"_pos_upto": ("sum", "pos"), "_neg_upto": ("sum", "neg")},
         by,
         grand={"total_pos": "pos", "total_neg": "neg"},
-        rows_per_bucket=rows_per_bucket,
+        cuts=cuts,
     )
     # Missing scores sort first, so they are below every cutoff.
     return below.where(F.col("_score").isNotNull()).select(
@@ -133,6 +133,24 @@ def score_curve(
     )
 
 
+def score_curve(
+    df: DataFrame,
+    y: str,
+    score: str,
+    by: Sequence[str] = (),
+    *,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """One row per distinct score as cutoff: tp and fp at or above it, and class totals.
+
+    Rows are counted per score first, so the ordered part sees distinct scores only. Rows
+    without a score never alert but stay in the totals.
+    """
+    counts = score_counts(df, y, score, by)
+    counted, cuts = settle(df, counts, "_score", by, rows_per_bucket)
+    return curve_of(counted, by, cuts)
+
+
 def cost_curve(
     df: DataFrame,
     y: str,

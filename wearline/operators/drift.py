@@ -8,7 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from wearline.operators.ordered import ROWS_PER_BUCKET, count_values, exact_quantiles, running
+from wearline.operators.ordered import (
+    ROWS_PER_BUCKET,
+    count_values,
+    exact_quantiles,
+    running,
+    settle,
+)
 
 # Verdict limits, floor of a bin's share, largest sample for the exact p-value.
 PSI_LIMIT = 0.2
@@ -191,16 +197,16 @@ def ks_2samp(
     if method not in ("auto", "series"):
         raise ValueError(f"unknown method {method!r}")
     ref, cur = F.col("is_ref").cast("long"), (~F.col("is_ref")).cast("long")
-    counted = count_values(
-        pair_by_feature(reference, current, features), "value", ["feature"], ref=ref, cur=cur
-    )
+    pairs = pair_by_feature(reference, current, features)
+    counts = count_values(pairs, "value", ["feature"], ref=ref, cur=cur)
+    counted, cuts = settle(pairs, counts, "value", ["feature"], rows_per_bucket)
     steps = running(
         counted,
         ["value"],
         {"_ref": ("sum", "ref"), "_cur": ("sum", "cur")},
         ["feature"],
         grand={"n_ref": "ref", "n_cur": "cur"},
-        rows_per_bucket=rows_per_bucket,
+        cuts=cuts,
     )
     gap = F.abs(F.col("_ref") / F.col("n_ref") - F.col("_cur") / F.col("n_cur"))
     found = steps.groupBy("feature").agg(

@@ -149,7 +149,10 @@ def fit_iforest(
     draws = tree_samples(
         df, columns, ident=list(ident) or df.columns, total=total, trees=trees, sample=size, seed=seed
     )
-    built = draws.groupBy("tree").applyInPandas(_tree_builder(size, seed), NODE_SCHEMA)
+    # The samples are small, and trees cost CPU: spread them over all cores.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    spread = draws.repartition(tasks, "tree")
+    built = spread.groupBy("tree").applyInPandas(_tree_builder(size, seed), NODE_SCHEMA)
     # At most trees * (2 * sample - 1) rows.
     nodes = built.toPandas().sort_values(["tree", "node"], ignore_index=True)
     forest = Forest(nodes, tuple(columns), size, version=version)

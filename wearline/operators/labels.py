@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wearline.functions.columns import MICROS_PER_HOUR, alert, hours_between
-from wearline.operators.ordered import exact_quantiles, running, shifted
-from wearline.session import broadcast_if_small
+from wearline.operators.ordered import ROWS_PER_BUCKET, Cuts, exact_quantiles, running, shifted
+from wearline.session import MAX_BROADCAST_ROWS, broadcast_if_small
 
 DROP = -1
 
@@ -29,8 +29,25 @@ def _slots(low: Column, high: Column, width: int) -> Column:
     return F.explode(F.sequence(first, last))
 
 
+def _extent(events: DataFrame, low: Column, high: Column, width: int) -> tuple[int, int]:
+    """Number of events, and of the time slots they can touch in all."""
+    slots = F.greatest(F.floor((high - low) / width), F.lit(0)) + 2
+    row = events.agg(F.count("*"), F.sum(slots)).first()
+    return row[0], row[1] or 0
+
+
+def _small(df: DataFrame, rows_at_most: int) -> DataFrame:
+    """Broadcast only what the bound proves small."""
+    return F.broadcast(df) if rows_at_most <= MAX_BROADCAST_ROWS else df
+
+
 def label_segments(
-    events: DataFrame, *, warn_hours: float, active: bool, keys: Sequence[str] = ()
+    events: DataFrame,
+    *,
+    warn_hours: float,
+    active: bool,
+    keys: Sequence[str] = (),
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Disjoint labelled time segments [from, to) in µs, per key.
 
@@ -54,8 +71,8 @@ def label_segments(
         .groupBy(*keys, "at")
         .agg(F.sum("w").alias("w"), F.sum("f").alias("f"))
     )
-    swept = running(points, ["at"], {"warnings": ("sum", "w"), "failures": ("sum", "f")}, keys)
-    spans = shifted(swept, ["at"], {"until": ("at", 1)}, keys)
+    swept = running(points, ["at"], {"warnings": ("sum", "w"), "failures": ("sum", "f")}, keys, cuts=cuts)
+    spans = shifted(swept, ["at"], {"until": ("at", 1)}, keys, cuts=cuts)
     label = (
         F.when(F.col("failures") > 0, F.lit(1 if active else DROP))
         .when(F.col("warnings") > 0, F.lit(1))
@@ -85,7 +102,15 @@ def interval_labels(
     """
     keys = list(keys)
     width = int(slot_hours * MICROS_PER_HOUR)
-    segments = label_segments(events, warn_hours=warn_hours, active=active, keys=keys)
+    warn = int(round(warn_hours * MICROS_PER_HOUR))
+    n, slots = _extent(events, _micros("start") - warn, _micros("end"), width)
+    segments = label_segments(
+        events,
+        warn_hours=warn_hours,
+        active=active,
+        keys=keys,
+        cuts=Cuts() if 3 * n <= ROWS_PER_BUCKET else None,
+    )
     slotted = segments.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("from").alias("_from"),
@@ -103,7 +128,8 @@ def interval_labels(
     )
     for k in keys:
         match = match & (F.col(k) == F.col(f"_k_{k}"))
-    joined = timed.join(broadcast_if_small(slotted), match, "left")
+    # An event adds at most three segment borders, each of which repeats one slot.
+    joined = timed.join(_small(slotted, slots + 3 * n), match, "left")
     return joined.select(*df.columns, F.coalesce("_label", F.lit(0)).cast("int").alias(name))
 
 
@@ -128,13 +154,13 @@ def lead_times(
     width, back = int(slot_hours * MICROS_PER_HOUR), int(round(lookback_hours * MICROS_PER_HOUR))
     identity = [*keys, "start", "end"]
     spans = events.select(*identity).distinct()
+    low, high = _micros("start") - back, F.greatest(_micros("start"), _micros("end"))
+    _, bound = _extent(events, low, high, width)
     slotted = spans.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         "start",
         "end",
-        _slots(_micros("start") - back, F.greatest(_micros("start"), _micros("end")), width).alias(
-            "_slot"
-        ),
+        _slots(low, high, width).alias("_slot"),
     )
     hits = df.where(alert(score, threshold)).select(
         *keys, F.col(ts).cast("timestamp").alias("_ts"), _micros(ts).alias("_at")
@@ -146,7 +172,7 @@ def lead_times(
     for k in keys:
         match = match & (F.col(k) == F.col(f"_k_{k}"))
     found = (
-        hits.join(broadcast_if_small(slotted), match)
+        hits.join(_small(slotted, bound), match)
         .groupBy(*identity)
         .agg(F.min(F.when(before, F.col("_ts"))).alias("_first"), F.max(during).alias("_during"))
     )
@@ -157,30 +183,36 @@ def lead_times(
     )
 
 
-def healthy_period(
+def mark_healthy(
     df: DataFrame,
     events: DataFrame,
     *,
     ts: str = "window_start",
     keys: Sequence[str] = (),
-    healthy: bool = True,
+    name: str = "healthy",
 ) -> DataFrame:
-    """Rows strictly before the first failure (``healthy=False``: all other rows).
+    """Add whether a row lies strictly before the first failure (of its key).
 
     A key without failures is healthy throughout.
     """
     keys = list(keys)
     if not keys:
         first = events.agg(F.min(_micros("start"))).first()[0]
-        if first is None:
-            return df if healthy else df.where(F.lit(False))
-        # Folded to a literal bound, which reaches the scan.
-        early = F.col(ts) < F.timestamp_micros(F.lit(first))
-        return df.where(early if healthy else ~early)
+        # Folded to a literal bound, which a filter on the flag takes to the scan.
+        early = F.lit(True) if first is None else F.col(ts) < F.timestamp_micros(F.lit(first))
+        return df.withColumn(name, early)
     firsts = events.groupBy(*keys).agg(F.min("start").alias("_first"))
     joined = df.join(broadcast_if_small(firsts), keys, "left")
     early = F.col("_first").isNull() | (F.col(ts) < F.col("_first"))
-    return joined.where(early if healthy else ~early).select(*df.columns)
+    return joined.select(*df.columns, early.alias(name))
+
+
+def healthy_period(
+    df: DataFrame, events: DataFrame, *, ts: str = "window_start", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Rows strictly before the first failure."""
+    marked = mark_healthy(df, events, ts=ts, keys=keys, name="_healthy")
+    return marked.where("_healthy").drop("_healthy")
 
 
 def label_free_threshold(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wearline.functions.columns import whole_days
-from wearline.session import broadcast_if_small
+from wearline.session import broadcast_if_small, materialize
 
 # Cohort date and horizon, pseudo-count of the prior.
 REFERENCE_DATE = "2022-01-01"
@@ -75,13 +75,18 @@ def fleet_totals(df: DataFrame) -> DataFrame:
 def rate_prior(
     train: DataFrame, key: str, y: str, *, smoothing: float = SMOOTHING
 ) -> tuple[DataFrame, float]:
-    """Smoothed failure rate per key, and the overall rate (one number)."""
-    overall = train.agg(F.avg(F.col(y).cast("double"))).first()[0]
-    rate = F.lit(float(overall) if overall is not None else float("nan"))
-    prior = train.groupBy(key).agg(
-        ((F.sum(F.col(y).cast("double")) + smoothing * rate) / (F.count(y) + smoothing)).alias("prior")
+    """Smoothed failure rate per key, and the overall rate (one number).
+
+    The training rows are read once: the written per-key sums give both.
+    """
+    label = F.col(y).cast("double")
+    sums = materialize(train.groupBy(key).agg(F.sum(label).alias("s"), F.count(y).alias("n")))
+    overall = sums.agg(F.sum("s") / F.sum("n")).first()[0]
+    rate = float(overall) if overall is not None else float("nan")
+    prior = sums.select(
+        key, ((F.col("s") + smoothing * F.lit(rate)) / (F.col("n") + smoothing)).alias("prior")
     )
-    return prior, overall
+    return prior, rate
 
 
 def target_encode(

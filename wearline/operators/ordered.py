@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from wearline.session import materialize
+
 _B, _S = "_bucket", "_sub"
 
 ROWS_PER_BUCKET = 1_000_000
@@ -270,6 +272,20 @@ def count_values(
     return df.groupBy(*keys, value).agg(F.count("*").alias("n"), *extra)
 
 
+def settle(
+    df: DataFrame, counted: DataFrame, value: str, keys: Sequence[str], rows_per_bucket: int
+) -> tuple[DataFrame, Cuts]:
+    """Get value counts of ``df`` ready for an ordered pass: (counts, cuts).
+
+    Few rows need no cuts. Otherwise the counts are written once, so that finding the cuts,
+    the range totals and the ordered pass do not scan the raw rows again.
+    """
+    if df.count() <= rows_per_bucket:
+        return counted, Cuts()
+    written = materialize(counted)
+    return written, find_cuts(written, [value], keys, rows_per_bucket=rows_per_bucket)
+
+
 def mean_rank(
     df: DataFrame,
     score: str,
@@ -278,10 +294,8 @@ def mean_rank(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """One row per distinct score: its count and the mean 1-based rank of its ties."""
-    counted = count_values(df, score, keys)
-    ranked = running(
-        counted, [score], {"_upto": ("sum", "n")}, keys, rows_per_bucket=rows_per_bucket
-    )
+    counted, cuts = settle(df, count_values(df, score, keys), score, keys, rows_per_bucket)
+    ranked = running(counted, [score], {"_upto": ("sum", "n")}, keys, cuts=cuts)
     rank = F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2.0
     return ranked.withColumn("mean_rank", rank).drop("_upto")
 
@@ -295,14 +309,9 @@ def ecdf(
 ) -> DataFrame:
     """One row per distinct value with the share of rows at or below it."""
     keys = list(keys)
-    counted = count_values(df, value, keys)
+    counted, cuts = settle(df, count_values(df, value, keys), value, keys, rows_per_bucket)
     with_total = running(
-        counted,
-        [value],
-        {"_upto": ("sum", "n")},
-        keys,
-        grand={"_total": "n"},
-        rows_per_bucket=rows_per_bucket,
+        counted, [value], {"_upto": ("sum", "n")}, keys, grand={"_total": "n"}, cuts=cuts
     )
     return with_total.withColumn("ecdf", F.col("_upto") / F.col("_total")).drop("_upto", "_total")
 
@@ -322,14 +331,10 @@ def exact_quantiles(
     """
     keys = list(keys)
     present = df.select(*keys, value).where(F.col(value).isNotNull())
-    counted = count_values(present, value, keys)
+    counts = count_values(present, value, keys)
+    counted, cuts = settle(present, counts, value, keys, rows_per_bucket)
     sized = running(
-        counted,
-        [value],
-        {"_upto": ("sum", "n")},
-        keys,
-        grand={"_total": "n"},
-        rows_per_bucket=rows_per_bucket,
+        counted, [value], {"_upto": ("sum", "n")}, keys, grand={"_total": "n"}, cuts=cuts
     )
     first, last = F.col("_upto") - F.col("n"), F.col("_upto") - 1
     picks = []
@@ -362,6 +367,7 @@ def shifted(
     columns: Mapping[str, tuple[str, int]],
     keys: Sequence[str] = (),
     *,
+    cuts: Cuts | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add neighbours' values: ``{new_column: (column, offset)}``, negative = earlier row.
@@ -373,7 +379,7 @@ def shifted(
     def neighbour(window, name: str, offset: int) -> Column:
         return F.lag(name, -offset).over(window) if offset < 0 else F.lead(name, offset).over(window)
 
-    cuts = find_cuts(df, order, keys, rows_per_bucket=rows_per_bucket)
+    cuts = find_cuts(df, order, keys, rows_per_bucket=rows_per_bucket) if cuts is None else cuts
     if cuts.trivial:
         window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
         return df.select("*", *[neighbour(window, c, o).alias(n) for n, (c, o) in columns.items()])

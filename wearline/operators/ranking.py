@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wearline.functions.columns import alert, ratio
-from wearline.operators.cost import confusion, score_curve
+from wearline.operators.cost import curve_of, score_counts, score_curve
 from wearline.operators.labels import interval_labels
 from wearline.operators.ordered import ROWS_PER_BUCKET
+from wearline.session import materialize
 
 
 def ranking_metrics(
@@ -26,7 +27,11 @@ def ranking_metrics(
     it is null with one class only. Average precision is the step sum of precision over
     recall, 0 without failures.
     """
-    curve = score_curve(df, y, score, by, rows_per_bucket=rows_per_bucket)
+    return metrics_of(score_curve(df, y, score, by, rows_per_bucket=rows_per_bucket), by)
+
+
+def metrics_of(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`ranking_metrics` from a finished cutoff curve."""
     wins = F.col("pos") * (F.col("total_neg") - F.col("fp") + F.col("neg") / 2.0)
     steps = F.when(F.col("pos") > 0, F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     summed = curve.groupBy(*by).agg(
@@ -67,16 +72,34 @@ def backfill_performance(
     by: Sequence[str] = (),
     at: str = "",
 ) -> DataFrame:
-    """True performance of stored predictions once failure reports are in."""
+    """True performance of stored predictions once failure reports are in.
+
+    The range join with the reports runs once: its result is counted per score and
+    decision, written, and everything else is derived from those counts.
+    """
+    by = list(by)
     labelled = interval_labels(
         predictions, events, ts=ts, warn_hours=warn_hours, active=True, keys=keys, name="_y"
     )
-    counts = confusion(
-        labelled, "_y", alert(score, threshold), by, extra=[F.count("*").alias("n")]
+    decided = labelled.withColumn("_hit", alert(score, threshold))
+    counted = materialize(score_counts(decided, "_y", score, [*by, "_hit"]))
+    hit, pos, neg = F.col("_hit"), F.col("pos"), F.col("neg")
+    counts = counted.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        *[
+            F.coalesce(F.sum(F.when(which, what)), F.lit(0)).alias(name)
+            for name, which, what in (
+                ("tp", hit, pos),
+                ("fp", hit, neg),
+                ("fn", ~hit, pos),
+                ("tn", ~hit, neg),
+            )
+        ],
     )
-    ranks = roc_auc(labelled, "_y", score, by)
+    merged = counted.groupBy(*by, "_score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ranks = metrics_of(curve_of(merged, by, None), by).select(*by, "roc_auc")
     if by:
-        joined = counts.join(ranks, list(by), "left")
+        joined = counts.join(ranks, by, "left")
     else:
         joined = counts.join(F.broadcast(ranks), F.lit(True), "left")
     return joined.select(
@@ -88,8 +111,8 @@ def backfill_performance(
         "fp",
         "fn",
         "tn",
-        "precision",
-        "recall",
+        ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
+        ratio("tp", F.col("tp") + F.col("fn")).alias("recall"),
         "roc_auc",
     )
 

@@ -221,30 +221,31 @@ def _row_index_fleet(spark, sf):
 
 
 _FOLD_ROWS = """folded AS (
-  SELECT i.ws, f.fold, CASE WHEN i.at < f.size * (f.fold + 1) - 2 THEN 'train'
-                            WHEN i.at >= f.size * (f.fold + 1) AND (f.fold = 4 OR i.at < f.size * (f.fold + 2)) THEN 'test' END AS role
-  FROM (SELECT ws, row_number() OVER (ORDER BY ws) - 1 AS at FROM tiles) i,
-       (SELECT range AS fold, (SELECT count(*) FROM tiles) // 6 AS size FROM range(5)) f)"""
+  SELECT i.seq, f.fold, CASE WHEN i.at < f.size * (f.fold + 1) - 28 THEN 'train'
+                             WHEN i.at >= f.size * (f.fold + 1) AND (f.fold = 4 OR i.at < f.size * (f.fold + 2)) THEN 'test' END AS role
+  FROM (SELECT seq, row_number() OVER (ORDER BY ts, seq) - 1 AS at FROM tele) i,
+       (SELECT range AS fold, (SELECT count(*) FROM tele) // 6 AS size FROM range(5)) f)"""
 
 
 def _folds(spark, sf):
-    embargo = splits.embargo_rows(2.0, 1.0)
-    rows = views.tiles(spark, sf).select("window_start")
-    return splits.assign_folds(rows, ["window_start"], n_splits=5, embargo=embargo)
+    # About 14 readings an hour, two hours of look-ahead.
+    embargo = splits.embargo_rows(2.0, 14.0)
+    rows = views.tele(spark, sf).select("seq", "ts")
+    return splits.assign_folds(rows, ["ts", "seq"], n_splits=5, embargo=embargo)
 
 
 @query(
     "temporal_folds",
-    with_(TELE, TILES, _FOLD_ROWS)
-    + f"SELECT {sql_clock('ws')} AS window_start, CAST(fold AS BIGINT) AS fold, role FROM folded WHERE role IS NOT NULL",
+    with_(TELE, _FOLD_ROWS)
+    + "SELECT seq, CAST(fold AS BIGINT) AS fold, role FROM folded WHERE role IS NOT NULL",
 )
 def _temporal_folds(spark, sf):
-    return _folds(spark, sf).select(clock("window_start", "window_start"), big("fold"), "role")
+    return _folds(spark, sf).select("seq", big("fold"), "role")
 
 
 @query(
     "fold_counts",
-    with_(TELE, TILES, _FOLD_ROWS)
+    with_(TELE, _FOLD_ROWS)
     + "SELECT CAST(fold AS BIGINT) AS fold, role, count(*) AS n FROM folded WHERE role IS NOT NULL GROUP BY fold, role",
 )
 def _fold_counts(spark, sf):

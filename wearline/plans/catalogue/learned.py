@@ -8,6 +8,7 @@ from functools import partial
 from wearline.operators import splits
 from wearline.operators.labels import interval_labels
 from wearline.operators.supervised import fit_forest
+from wearline.operators.tiles import window_features
 from wearline.plans import crossval, detector, fleet, views
 from wearline.plans.catalogue.base import FEATURES, clock, query, r6
 
@@ -50,7 +51,8 @@ def _fleet_risk(spark, sf):
 
 @query("temporal_cv")
 def _temporal_cv(spark, sf):
-    labelled = interval_labels(views.tiles(spark, sf), views.reports(spark), name="y")
+    tiles = views.tiles(spark, sf, min_rows=1)
+    labelled = interval_labels(tiles, views.reports(spark), name="y")
     return crossval.temporal_cv(
         labelled,
         FEATURES,
@@ -62,3 +64,15 @@ def _temporal_cv(spark, sf):
     )
 
 
+
+
+@query("iforest_fleet")
+def _iforest_fleet(spark, sf):
+    """One detector for all devices, healthy until each device's own first report."""
+    tiles = window_features(
+        views.tele(spark, sf), views.SIGNALS, width="1 day", min_rows=1, keys=["device"]
+    )
+    report = detector.evaluate_detector(
+        tiles, views.device_reports(spark, sf), FEATURES, keys=["device"], trees=100, warn_hours=24.0
+    )
+    return report.metrics

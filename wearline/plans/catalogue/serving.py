@@ -33,13 +33,13 @@ buckets AS (SELECT le, sum(CASE WHEN score <= le THEN 1 ELSE 0 END)::BIGINT AS n
     "score_histogram",
     with_(TELE, _SERVED, _BUCKETS)
     + """SELECT CASE WHEN isinf(le) THEN 'inf' ELSE printf('%.2f', le) END AS le, n, (SELECT count(*) FROM served) AS score_count,
-  (SELECT round(sum(score), 4) FROM served) AS score_sum FROM buckets""",
+  (SELECT round(sum(score), 6) FROM served) AS score_sum FROM buckets""",
 )
 def _score_histogram(spark, sf):
     out = ops.score_histogram(_served(spark, sf), "score")
     bound = F.when(F.col("le") == float("inf"), F.lit("inf")).otherwise(F.format_string("%.2f", "le"))
     return out.select(
-        bound.alias("le"), "n", "score_count", F.round("score_sum", 4).alias("score_sum")
+        bound.alias("le"), "n", "score_count", r6("score_sum")
     )
 
 
@@ -103,7 +103,7 @@ def _alert_surge(spark, sf):
 
 @query(
     "request_rollup",
-    """SELECT endpoint, n_requests, round(duration_s, 2) AS duration_s, round(p50, 4) AS p50_ms, round(p99, 4) AS p99_ms,
+    """SELECT endpoint, n_requests, floor(duration_s)::BIGINT AS duration_s, round(p50, 4) AS p50_ms, round(p99, 4) AS p99_ms,
   max_ms, errors, p99 <= 50 AND errors = 0 AS passed FROM (
   SELECT event_type AS endpoint, count(*) AS n_requests,
     (max(epoch_us(ts) + value * 1000.0) - min(epoch_us(ts))) / 1e6::DOUBLE AS duration_s,
@@ -121,7 +121,7 @@ def _request_rollup(spark, sf):
     )
     out = ops.request_rollup(log, by=["endpoint"])
     return out.select(
-        "endpoint", "n_requests", F.round("duration_s", 2).alias("duration_s"), "p50_ms", "p99_ms", "max_ms", "errors", "passed"
+        "endpoint", "n_requests", F.floor("duration_s").alias("duration_s"), "p50_ms", "p99_ms", "max_ms", "errors", "passed"
     )
 
 

@@ -17,7 +17,7 @@ from wearline.operators.iforest import (
     score_iforest,
     score_with_prefixes,
 )
-from wearline.operators.labels import healthy_period, interval_labels, lead_times
+from wearline.operators.labels import interval_labels, lead_times, mark_healthy
 from wearline.operators.ordered import exact_quantiles
 from wearline.operators.ranking import ranking_metrics
 from wearline.session import materialize
@@ -31,17 +31,6 @@ class DetectorReport:
     scored: DataFrame
 
 
-def _with_health(
-    tiles: DataFrame, events: DataFrame, keys: Sequence[str], ts: str
-) -> tuple[DataFrame, DataFrame]:
-    calm = healthy_period(tiles, events, ts=ts, keys=keys)
-    other = healthy_period(tiles, events, ts=ts, keys=keys, healthy=False)
-    marked = calm.withColumn("healthy", F.lit(True)).unionByName(
-        other.withColumn("healthy", F.lit(False))
-    )
-    return calm, marked
-
-
 def _metrics(scored: DataFrame, score: str, threshold: float) -> DataFrame:
     """One row of metrics over the rows after the healthy period."""
     test = scored.where(~F.col("healthy"))
@@ -76,8 +65,8 @@ def evaluate_detector(
     version: str = "",
 ) -> DetectorReport:
     """Fit without labels, score everything once, then measure against the reports."""
-    tiles = materialize(tiles.select(*keys, ts, *features))
-    calm, marked = _with_health(tiles, events, keys, ts)
+    marked = materialize(mark_healthy(tiles.select(*keys, ts, *features), events, ts=ts, keys=keys))
+    calm = marked.where("healthy")
     forest = fit_iforest(
         calm, features, ident=[*keys, ts], trees=trees, contamination=contamination, seed=seed, version=version
     )
@@ -109,8 +98,8 @@ def ensemble_sweep(
     seed: int = 42,
 ) -> DataFrame:
     """Ranking quality by number of trees. One fit and one scoring pass serve all sizes."""
-    tiles = materialize(tiles.select(*keys, ts, *features))
-    calm, marked = _with_health(tiles, events, keys, ts)
+    marked = materialize(mark_healthy(tiles.select(*keys, ts, *features), events, ts=ts, keys=keys))
+    calm = marked.where("healthy")
     forest = fit_iforest(calm, features, ident=[*keys, ts], trees=max(sizes), seed=seed)
     labelled = interval_labels(marked, events, ts=ts, warn_hours=warn_hours, keys=keys, name="y")
     scored = materialize(

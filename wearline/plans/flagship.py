@@ -8,10 +8,12 @@ from wearline.functions.columns import alert
 from wearline.operators.cost import DEFAULT_COST, confusion
 from wearline.operators.labels import interval_labels, threshold_value
 from wearline.plans import views
+from wearline.session import materialize
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = views.tiles(spark, sf_dir)
+    # Read three times below; the raw readings are scanned once.
+    tiles = materialize(views.tiles(spark, sf_dir))
     reports = views.reports(spark)
     limit = threshold_value(tiles, reports, score="a1_max")
     labelled = interval_labels(tiles, reports).withColumn(
