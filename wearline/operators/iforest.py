@@ -216,7 +216,9 @@ def anomaly(
     return out
 
 
-def _points(batch: Sequence[pd.Series]) -> np.ndarray:
+def _points(batch: Sequence[pd.Series] | pd.Series) -> np.ndarray:
+    # A single column arrives as itself, not as a tuple of one.
+    batch = [batch] if isinstance(batch, pd.Series) else batch
     return np.column_stack([np.nan_to_num(s.to_numpy(float)) for s in batch])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wearline.functions.columns import ratio
 from wearline.operators.ordered import exact_quantiles
@@ -136,23 +136,28 @@ def request_rollup(
     ok: str = "ok",
     started: str = "started",
     by: Sequence[str] = (),
+    places: int | None = 2,
 ) -> DataFrame:
     """Requests, throughput, p50/p99/max latency, errors and the verdict of a request log.
 
-    Percentiles are exact, interpolated, and rounded to two places like the maximum.
+    Percentiles are exact and interpolated; ``places`` rounds latencies (None: as they are).
     """
+
+    def rounded(c) -> Column:
+        return c if places is None else F.bround(c, places)
+
     micros = F.unix_micros(F.col(started).cast("timestamp"))
     finish = micros + F.col(latency) * 1000.0
     base = df.groupBy(*by).agg(
         F.count("*").alias("n_requests"),
         ((F.max(finish) - F.min(micros)) / 1e6).alias("duration_s"),
-        F.bround(F.max(latency), 2).alias("max_ms"),
+        rounded(F.max(latency)).alias("max_ms"),
         F.count_if(~F.coalesce(F.col(ok), F.lit(False))).alias("errors"),
     )
     marks = exact_quantiles(df, latency, [0.5, 0.99], by)
     pair = marks.groupBy(*by).agg(
-        F.bround(F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))), 2).alias("p50_ms"),
-        F.bround(F.max(F.when(F.col("prob") == 0.99, F.col("quantile"))), 2).alias("p99_ms"),
+        rounded(F.max(F.when(F.col("prob") == 0.5, F.col("quantile")))).alias("p50_ms"),
+        rounded(F.max(F.when(F.col("prob") == 0.99, F.col("quantile")))).alias("p99_ms"),
     )
     joined = base.join(pair, list(by), "left") if by else base.join(F.broadcast(pair))
     throughput = F.bround(ratio("n_requests", "duration_s"), 1)

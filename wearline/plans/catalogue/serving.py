@@ -103,14 +103,12 @@ def _alert_surge(spark, sf):
 
 @query(
     "request_rollup",
-    """SELECT endpoint, n_requests, floor(duration_s)::BIGINT AS duration_s, round(p50, 4) AS p50_ms, round(p99, 4) AS p99_ms,
-  max_ms, errors, p99 <= 50 AND errors = 0 AS passed FROM (
+    """SELECT endpoint, n_requests, floor(duration_s)::BIGINT AS duration_s, round(p50, 6) AS p50_ms,
+  round(p99, 6) AS p99_ms, max_ms, errors, p99 <= 50 AND errors = 0 AS passed FROM (
   SELECT event_type AS endpoint, count(*) AS n_requests,
     (max(epoch_us(ts) + value * 1000.0) - min(epoch_us(ts))) / 1e6::DOUBLE AS duration_s,
     quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, max(value) AS max_ms,
-    count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY 1) t""".replace(
-        "round(p50, 4)", "round_even(p50, 2)"
-    ).replace("round(p99, 4)", "round_even(p99, 2)"),
+    count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY 1) t""",
 )
 def _request_rollup(spark, sf):
     log = views.table(spark, sf, "events").select(
@@ -119,9 +117,9 @@ def _request_rollup(spark, sf):
         (F.col("event_type") != "error").alias("ok"),
         F.col("ts").cast("timestamp").alias("started"),
     )
-    out = ops.request_rollup(log, by=["endpoint"])
+    out = ops.request_rollup(log, by=["endpoint"], places=None)
     return out.select(
-        "endpoint", "n_requests", F.floor("duration_s").alias("duration_s"), "p50_ms", "p99_ms", "max_ms", "errors", "passed"
+        "endpoint", "n_requests", F.floor("duration_s").alias("duration_s"), r6("p50_ms"), r6("p99_ms"), "max_ms", "errors", "passed"
     )
 
 
