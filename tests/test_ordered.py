@@ -143,3 +143,38 @@ def test_mean_rank_and_ecdf(frame, size):
     shares = o.ecdf(df, "v", rows_per_bucket=size).toPandas().set_index("v")["ecdf"]
     assert np.isclose(shares.max(), 1.0)
     assert np.isclose(shares.loc[0.0], (data["v"] <= 0).mean())
+
+
+def test_only_large_keys_are_cut(frame):
+    _, df = frame
+    cuts = o.find_cuts(df, ["ts", "id"], ["key"], rows_per_bucket=600)
+    assert cuts.hot == (("hot",),)
+    ranged = o.assign_ranges(df, ["ts", "id"], cuts, ["key"])
+    parts = {r["key"]: r["p"] for r in ranged.groupBy("key").agg(F.count_distinct("_bucket", "_sub").alias("p")).collect()}
+    assert parts.pop("hot") > 2 and set(parts.values()) == {1}
+    got = o.row_index(df, ["ts", "id"], ["key"], rows_per_bucket=600)
+    assert got.groupBy("key", "row_index").count().where("count > 1").count() == 0
+
+
+def test_narrowing_keeps_few_values_and_is_exact(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=40_000)
+    df = spark.createDataFrame(pd.DataFrame({"_value": v, "k": np.where(v > 2, "x", "y")}))
+    probs = [0.0, 0.25, 0.99, 1.0]
+    cells = o._count_cells(o._narrow(df, probs, []), [])
+    assert cells.count() < 300
+    got = o.exact_quantiles(df, "_value", probs, rows_per_bucket=1000).orderBy("prob").toPandas()
+    assert np.allclose(got["quantile"], np.quantile(v, probs))
+    per_key = o.exact_quantiles(df, "_value", [0.5], ["k"], rows_per_bucket=1000).toPandas().set_index("k")
+    assert np.isclose(per_key["quantile"]["x"], np.median(v[v > 2]))
+    assert np.isclose(per_key["quantile"]["y"], np.median(v[v <= 2]))
+
+
+def test_a_missed_bracket_falls_back(spark, monkeypatch):
+    """Brackets in the wrong place leave the ranks in gaps; the plain way answers."""
+    v = np.arange(5_000.0)
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    narrow = o._narrow
+    monkeypatch.setattr(o, "_narrow", lambda d, probs, keys: narrow(d, [0.9], keys))
+    got = o.exact_quantiles(df, "v", [0.5], rows_per_bucket=100).first()["quantile"]
+    assert got == 2499.5

@@ -23,6 +23,10 @@ _B, _S = "_bucket", "_sub"
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
+MAX_HOT_KEYS = 1000
+MAX_SKETCHES = 100
+NARROW_BUCKETS = 20
+_SKETCH_ACCURACY = 10_000
 
 
 @dataclass(frozen=True)
@@ -31,10 +35,12 @@ class Cuts:
 
     ``heavy`` holds, for a value that fills whole ranges by itself, the span of the second
     ordering column and the number of equal sub-ranges: (value, low, high, parts).
+    ``hot`` lists the keys to cut; all others are one range each. None cuts every key.
     """
 
     bounds: tuple[float, ...] = ()
     heavy: tuple[tuple[float, float, float, int], ...] = field(default=())
+    hot: tuple[tuple, ...] | None = None
 
     @property
     def trivial(self) -> bool:
@@ -61,19 +67,27 @@ def find_cuts(
 ) -> Cuts:
     """Look at group sizes and, if needed, at quantiles of the first ordering column.
 
-    Only counts and at most ``max_buckets`` boundaries reach the driver.
+    Only group sizes above the limit and at most ``max_buckets`` boundaries reach the driver.
     """
+    keys, hot = list(keys), None
     if keys:
-        sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-        row = sizes.agg(F.max("n"), F.sum("n")).first()
-        largest, total = row[0] or 0, row[1] or 0
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+        large = sizes.where(F.col("_n") > rows_per_bucket).limit(MAX_HOT_KEYS + 1).collect()
+        if not large:
+            return Cuts()
+        if len(large) <= MAX_HOT_KEYS:
+            hot = tuple(tuple(r[k] for k in keys) for r in large)
+            total = sum(r["_n"] for r in large)
+        else:
+            total = sizes.agg(F.sum("_n")).first()[0]
     else:
-        largest = total = df.count()
-    if largest <= rows_per_bucket:
-        return Cuts()
+        total = df.count()
+        if total <= rows_per_bucket:
+            return Cuts()
 
-    # Global quantiles bound every range to about total / parts rows over all keys together,
-    # so they bound the rows of any one key in a range as well.
+    # Quantiles over all keys to be cut bound a range to about total / parts rows, and with
+    # it the rows of any one key in a range.
+    df = _mark_hot(df, keys, hot).where("_hot").drop("_hot") if hot else df
     parts = max(2, int(min(max_buckets, -(-total // rows_per_bucket))))
     first = _as_number(df, order[0])
     quantiles = (
@@ -102,10 +116,23 @@ def find_cuts(
                 for r in spans
                 if r["lo"] is not None and r["hi"] > r["lo"]
             ]
-    return Cuts(bounds, tuple(sorted(heavy)))
+    return Cuts(bounds, tuple(sorted(heavy)), hot)
+
+
+def _mark_hot(df: DataFrame, keys: Sequence[str], hot: tuple[tuple, ...]) -> DataFrame:
+    """Add ``_hot``: whether the row's key is one of the listed ones (at most MAX_HOT_KEYS)."""
+    schema = T.StructType([T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys])
+    listed = df.sparkSession.createDataFrame(list(hot), schema).withColumn("_hot", F.lit(True))
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    joined = df.join(F.broadcast(listed), match, "left")
+    return joined.select(*df.columns, F.coalesce("_hot", F.lit(False)).alias("_hot"))
 
 
-def assign_ranges(df: DataFrame, order: Sequence[str], cuts: Cuts) -> DataFrame:
+def assign_ranges(
+    df: DataFrame, order: Sequence[str], cuts: Cuts, keys: Sequence[str] = ()
+) -> DataFrame:
     """Add the range number (``_bucket``, ``_sub``), non-decreasing in the ordering."""
     if cuts.trivial:
         return df.withColumn(_B, F.lit(0)).withColumn(_S, F.lit(0))
@@ -140,7 +167,12 @@ def assign_ranges(df: DataFrame, order: Sequence[str], cuts: Cuts) -> DataFrame:
         ).drop("_heavy", "_lo", "_hi", "_parts")
     else:
         out = out.withColumn(_S, F.lit(0))
-    return out.drop("_number", "_cut")
+    out = out.drop("_number", "_cut")
+    if cuts.hot is None:
+        return out
+    marked = _mark_hot(out, keys, cuts.hot)
+    whole = {c: F.when(F.col("_hot"), F.col(c)).otherwise(0) for c in (_B, _S)}
+    return marked.withColumns(whole).drop("_hot")
 
 
 def running(
@@ -172,7 +204,7 @@ def running(
             *[F.sum(c).over(whole).alias(n) for n, c in grand.items()],
         )
 
-    ranged = assign_ranges(df, order, cuts)
+    ranged = assign_ranges(df, order, cuts, keys)
     place = [*keys, _B, _S]
     window = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select(
@@ -327,38 +359,104 @@ def exact_quantiles(
     """Exact linearly interpolated quantiles per key: one row per (key, prob).
 
     Values are counted, cumulated over ranges and picked by rank; no task holds a whole
-    column, unlike ``percentile``. Missing values are skipped.
+    column, unlike ``percentile``. Large inputs with few keys are narrowed first: a sketch
+    gives a bracket around each quantile, values outside the brackets are only counted, and
+    the few inside are ranked exactly. If a bracket misses, the plain way is taken.
+    Missing values are skipped.
     """
     keys = list(keys)
-    present = df.select(*keys, value).where(F.col(value).isNotNull())
-    counts = count_values(present, value, keys)
-    counted, cuts = settle(present, counts, value, keys, rows_per_bucket)
+    present = df.select(*keys, F.col(value).alias("_value")).where(F.col(value).isNotNull())
+    rows = present.count()
+    if rows <= rows_per_bucket:
+        counted = present.withColumn("_gap", F.lit(0))
+        return _pick(_count_cells(counted, keys), probs, keys, Cuts())
+    few = rows > NARROW_BUCKETS * rows_per_bucket and (
+        not keys
+        or present.select(*keys).distinct().limit(MAX_SKETCHES + 1).count() <= MAX_SKETCHES
+    )
+    if few:
+        narrowed = materialize(_count_cells(_narrow(present, probs, keys), keys))
+        cuts = find_cuts(narrowed, ["_value", "_gap"], keys, rows_per_bucket=rows_per_bucket)
+        # At most MAX_SKETCHES keys times the asked quantiles.
+        found = _pick(narrowed, probs, keys, cuts)
+        answers = found.collect()
+        if all(r["quantile"] is not None for r in answers):
+            return df.sparkSession.createDataFrame(answers, found.schema)
+    counts = materialize(_count_cells(present.withColumn("_gap", F.lit(0)), keys))
+    cuts = find_cuts(counts, ["_value"], keys, rows_per_bucket=rows_per_bucket)
+    return _pick(counts, probs, keys, cuts)
+
+
+def _count_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys, "_value", "_gap").agg(F.count("*").alias("n"))
+
+
+def _narrow(df: DataFrame, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """Keep values inside a bracket; turn others into the border below them, ``_gap`` 1.
+
+    The brackets reach three times the sketch's rank error to both sides.
+    """
+    reach = 3.0 / _SKETCH_ACCURACY
+    pairs = [(max(0.0, p - reach), min(1.0, p + reach)) for p in probs]
+    asked = [q for pair in pairs for q in pair]
+    value = F.col("_value").cast("double")
+    sketch = F.percentile_approx(value, asked, _SKETCH_ACCURACY).alias("_borders")
+    # One row per key.
+    borders = (df.groupBy(*keys) if keys else df).agg(sketch)
+    if keys:
+        renamed = borders.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_borders")
+        match = F.lit(True)
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        joined = df.join(F.broadcast(renamed), match, "left")
+        border = [F.col("_borders")[i] for i in range(len(asked))]
+    else:
+        joined = df
+        border = [F.lit(b) for b in (borders.first()["_borders"] or [])]
+    inside, below = F.lit(False), F.lit(float("-inf"))
+    for i, (low_p, high_p) in enumerate(pairs):
+        low, high = border[2 * i], border[2 * i + 1]
+        over, under = (value >= low) | F.lit(low_p == 0.0), (value <= high) | F.lit(high_p == 1.0)
+        inside = inside | (over & under)
+        # Outside all brackets, a value lies just above the highest bracket end below it.
+        below = F.greatest(below, F.when(value > high, high).otherwise(F.lit(float("-inf"))))
+    return joined.select(
+        *keys,
+        F.when(inside, value).otherwise(below).alias("_value"),
+        F.when(inside, 0).otherwise(1).alias("_gap"),
+    )
+
+
+def _pick(
+    counted: DataFrame, probs: Sequence[float], keys: Sequence[str], cuts: Cuts
+) -> DataFrame:
+    """Quantiles from counted cells in order; null where a rank falls into a gap."""
     sized = running(
-        counted, [value], {"_upto": ("sum", "n")}, keys, grand={"_total": "n"}, cuts=cuts
+        counted,
+        ["_value", "_gap"],
+        {"_upto": ("sum", "n")},
+        keys,
+        grand={"_total": "n"},
+        cuts=cuts,
     )
     first, last = F.col("_upto") - F.col("n"), F.col("_upto") - 1
+    kept = F.when(F.col("_gap") == 0, F.col("_value"))
     picks = []
     for i, p in enumerate(probs):
         rank = (F.col("_total") - 1) * F.lit(float(p))
         low, high = F.floor(rank), F.ceil(rank)
         picks += [
-            F.max(F.when((first <= low) & (low <= last), F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when((first <= high) & (high <= last), F.col(value))).alias(f"_hi{i}"),
+            F.max(F.when((first <= low) & (low <= last), kept)).alias(f"_lo{i}"),
+            F.max(F.when((first <= high) & (high <= last), kept)).alias(f"_hi{i}"),
             F.max(rank - low).alias(f"_w{i}"),
         ]
-    wide = sized.groupBy(*keys).agg(*picks) if keys else sized.agg(*picks)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(
-                    "quantile"
-                ),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    return wide.select(*keys, F.inline(rows))
+    wide = (sized.groupBy(*keys) if keys else sized).agg(*picks)
+    rows = []
+    for i, p in enumerate(probs):
+        low, high, weight = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_w{i}")
+        at = (low + (high - low) * weight).cast("double")
+        rows.append(F.struct(F.lit(float(p)).alias("prob"), at.alias("quantile")))
+    return wide.select(*keys, F.inline(F.array(*rows)))
 
 
 def shifted(
