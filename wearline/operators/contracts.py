@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -47,20 +47,25 @@ class Check:
         return ~F.coalesce(self.ok, F.lit(False))
 
 
-def _check_signals(
-    get, ranges: Mapping[str, tuple[float, float]], states: Sequence[str]
-) -> list[Check]:
-    checks = []
+def _present(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value)
+
+
+def _signal_rules(
+    ranges: Mapping[str, tuple[float, float]], states: Sequence[str]
+) -> list[tuple[str, str, Callable[[Column], Column]]]:
+    """(signal, rule, test of its value); a missing value breaks ``not_null`` only."""
+
+    def inside(low: float, high: float) -> Callable[[Column], Column]:
+        return lambda value: ~_present(value) | value.between(low, high)
+
+    rules: list[tuple[str, str, Callable[[Column], Column]]] = []
     for name, (low, high) in ranges.items():
-        value = get(name)
-        checks.append(Check(name, "not_null", value.isNotNull() & ~F.isnan(value)))
-        inside = value.between(low, high) | value.isNull() | F.isnan(value)
-        checks.append(Check(name, "in_range", inside))
+        rules += [(name, "not_null", _present), (name, "in_range", inside(low, high))]
     for name in states:
-        value = get(name)
-        checks.append(Check(name, "not_null", value.isNotNull() & ~F.isnan(value)))
-        checks.append(Check(name, "binary", value.isin(0.0, 1.0) | value.isNull() | F.isnan(value)))
-    return checks
+        binary = lambda value: ~_present(value) | value.isin(0.0, 1.0)
+        rules += [(name, "not_null", _present), (name, "binary", binary)]
+    return rules
 
 
 def telemetry_contract(
@@ -71,7 +76,11 @@ def telemetry_contract(
 ) -> list[Check]:
     """Time present, analogs present and in range, states present and 0 or 1."""
     timed = Check(ts, "not_null", F.col(ts).isNotNull())
-    return [timed, *_check_signals(lambda c: F.col(c).cast("double"), ranges, states)]
+    signals = [
+        Check(name, rule, test(F.col(name).cast("double")))
+        for name, rule, test in _signal_rules(ranges, states)
+    ]
+    return [timed, *signals]
 
 
 def lifetime_contract() -> list[Check]:
@@ -182,16 +191,12 @@ def request_contract(
     """Add ``accepted`` and ``reasons``: a request needs readings and every one in contract."""
     cells, reasons = F.col(readings), []
 
-    def checks(get) -> list[Check]:
-        return _check_signals(get, ranges, states)
-
-    def breaks(i: int):
-        return lambda reading: checks(lambda c: reading[c].cast("double"))[i].bad
+    def breaks(name: str, test: Callable[[Column], Column]):
+        return lambda reading: ~test(reading[name].cast("double"))
 
-    for i, named in enumerate(checks(lambda c: F.lit(None).cast("double"))):
-        any_bad = F.exists(cells, breaks(i))
-        text = F.lit(f"{named.column}:{named.rule}")
-        reasons.append(F.when(F.coalesce(any_bad, F.lit(False)), text))
+    for name, rule, test in _signal_rules(ranges, states):
+        any_bad = F.coalesce(F.exists(cells, breaks(name, test)), F.lit(False))
+        reasons.append(F.when(any_bad, F.lit(f"{name}:{rule}")))
     empty = F.coalesce(F.size(cells) <= 0, F.lit(True)) | cells.isNull()
     reasons.append(F.when(empty, F.lit("readings:not_empty")))
     listed = df.withColumn("reasons", F.array_compact(F.array(*reasons)))
