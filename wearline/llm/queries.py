@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wearline.llm import mixing, quality, tokens
+from wearline.llm import language, mixing, quality, tokens, toxicity
 from wearline.llm.shared import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,29 @@ def piece_tokens(spark, sf_dir):
     return tokens.count_tokens(docs, path).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+@query("op4_rank_order_language")
+def rank_order_language(spark, sf_dir):
+    docs = read_documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    profiles = language.learn(docs.where(_remainder(4) != 2))
+    found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), profiles)
+    return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score")
+
+
+@query("op6_factorization_toxicity")
+def factorization_toxicity(spark, sf_dir):
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    labels = read_documents(spark, sf_dir, "labels")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    machine = toxicity.train(docs, labels.where(_remainder(3) != 1))
+    scored = toxicity.score(docs.withColumn("held_out", held_out), machine)
+    return scored.select("doc.doc_id", "doc.held_out", "score", "predicted")
+
+
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # White space of the word rule: blank and the controls from tab to carriage return.
 SPACES = r"[ \t\n\x0B\f\r]+"
 WORD = r"[^ \t\n\x0B\f\r]+"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def limit_batches(spark: SparkSession) -> None:
