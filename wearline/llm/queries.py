@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wearline.llm import language, mixing, quality, tokens, toxicity
+from wearline.llm import language, licenses, mixing, quality, tokens, topk, toxicity
 from wearline.llm.shared import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,25 @@ def rank_order_language(spark, sf_dir):
     return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score")
 
 
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    list_sum(list_transform(range(1, least(len(q.e), len(v.e)) + 1), lambda i: q.e[i] * v.e[i]))::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5"""
+
+
+@query("op5_no_random_access_top", TOP_SQL)
+def no_random_access_top(spark, sf_dir):
+    vectors = read_documents(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
+
+
 @query("op6_factorization_toxicity")
 def factorization_toxicity(spark, sf_dir):
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
@@ -130,6 +149,19 @@ def factorization_toxicity(spark, sf_dir):
     return scored.select("doc.doc_id", "doc.held_out", "score", "predicted")
 
 
+@query("op9_license_compression")
+def license_compression(spark, sf_dir):
+    found = licenses.scan_licenses(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc.doc_id",
+        "start",
+        "license",
+        F.round("saved", 6).alias("saved"),
+        F.size("missing").alias("n_missing"),
+        F.size("extra").alias("n_extra"),
+    )
+
+
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
