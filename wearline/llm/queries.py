@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wearline.llm import language, licenses, mixing, quality, tokens, topk, toxicity
+from wearline.llm import language, licenses, mixing, near, quality, tokens, topk, toxicity
 from wearline.llm.shared import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,12 @@ def quality_divergence(spark, sf_dir):
     return judged.select("doc.doc_id", *counts, "base_failed", "kept")
 
 
+@query("op2_odd_sketch_near")
+def odd_sketch_near(spark, sf_dir):
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return near.near_duplicates(docs, near.Near(shingle=2))
+
+
 @query("op3_piece_tokens")
 def piece_tokens(spark, sf_dir):
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
