@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wearline.llm import language, licenses, mixing, near, quality, tokens, topk, toxicity
+from wearline.llm import language, licenses, lines, mixing, near, quality, tokens, topk, toxicity
 from wearline.llm.shared import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,3 +222,14 @@ def pareto_mix(spark, sf_dir):
     return mixed.select(
         "doc.doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken"
     )
+
+
+@query("op10_fuzzy_lines")
+def fuzzy_lines(spark, sf_dir):
+    found = lines.removals(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        "removed",
+    )
