@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wearline.llm import language, licenses, lines, mixing, near, quality, tokens, topk, toxicity
+from wearline.llm import language, licenses, lines, mixing, near, packing, quality, tokens, topk, toxicity
 from wearline.llm.shared import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,3 +233,12 @@ def fuzzy_lines(spark, sf_dir):
         F.size("removed").cast("long").alias("n_removed"),
         "removed",
     )
+
+
+@query("op8_deficit_packing")
+def deficit_packing(spark, sf_dir):
+    docs = read_documents(spark, sf_dir)
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
