@@ -85,7 +85,7 @@ def simhash(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
         for k in range(at, to) if size[at] > CHUNK_WORDS else ():
             for piece in range(0, size[k], CHUNK_WORDS):
                 part = hashes[begin[k] + piece : begin[k] + min(piece + CHUNK_WORDS, size[k])]
-                out[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+                out[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         if size[at] <= CHUNK_WORDS:
             first = np.cumsum(size[at:to]) - size[at:to]
             taken = np.repeat(begin[at:to] - first, size[at:to]) + np.arange(int(size[at:to].sum()))

@@ -164,11 +164,15 @@ def layout(
     at, to = F.col("before"), F.col("before") + F.col("n_tokens")
 
     def window_of(token: Column) -> Column:
-        """The window that serves the queue's token of this number."""
-        near = F.floor(token / F.col("credit"))
+        """The window that serves the queue's token of this number (from 0)."""
+        near = F.ceil((token + 1) / F.col("credit")) - 1
         return near - (_served(near) > token).cast("long") + (_served(near + 1) <= token).cast("long")
 
-    pieces = placed.withColumn("window", F.explode(F.sequence(window_of(at), window_of(to - 1))))
+    # A queue with less than one token a window has a window for each token, and many without.
+    windows = F.when(
+        F.col("credit") >= 1, F.sequence(window_of(at), window_of(to - 1))
+    ).otherwise(F.array_distinct(F.transform(F.sequence(at, to - 1), window_of)))
+    pieces = placed.withColumn("window", F.explode(windows))
     pieces = pieces.select(
         "row_key",
         "source",

@@ -67,6 +67,7 @@ def fit(
     rate: float = 0.05,
     decay: float = 1e-4,
     terms: int = 4096,
+    least_association: float = 3.0,
     seed: int = 7,
 ) -> Machine:
     """Adagrad on the logistic loss, over the ``terms`` buckets most associated with the label.
@@ -84,9 +85,9 @@ def fit(
     share = (hit + miss) / len(labels)
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (hit / ones - miss / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
-    z = np.where((hit + miss >= 5) & np.isfinite(z), np.abs(z), 0)
+    z = np.where((hit + miss >= 5) & np.isfinite(z), np.abs(z), -1)
     best = np.argsort(-z, kind="stable")[:terms]
-    buckets = np.sort(best[z[best] >= 3]).astype(np.int32)
+    buckets = np.sort(best[z[best] >= least_association]).astype(np.int32)
     if not len(buckets):
         return empty
     known = []
