@@ -70,22 +70,68 @@ def test_nulls_and_nan_in_the_order(spark):
         assert got == {1: 1, 8: 9, 4: 13, 16: 29, 2: 31}
 
 
-def test_no_single_task_sort_of_large_inputs(frame, plan):
+def test_plan_has_one_shuffle_after_the_layout(frame, plan):
     _, df = frame
-    text = plan(o.row_index(df, ["ts", "id"], rows_per_bucket=97))
-    assert "_bucket" in text
-    # The only window without a range column runs over the range totals.
+    text = plan(o.row_index(df, ["ts", "id"], ["key"], rows_per_bucket=97))
+    # The layout is written; what is left is one shuffle for the windows and a small broadcast.
+    assert len(re.findall(r"(?<!Broadcast)Exchange hash", text)) <= 2
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
     for spec in re.findall(r"Window \[.*", text):
-        assert "_bucket" in spec
+        assert "_range" in spec
 
 
-def test_heavy_value_is_split(frame):
+def odd_orders():
+    import decimal
+
+    n = 900
+    rng = np.random.default_rng(5)
+    big = 2**60
+    return {
+        "text": ("string", [f"é{i % 7}x{i:04d}" for i in rng.permutation(n)]),
+        "decimal": ("decimal(38,10)", [decimal.Decimal(int(i)) / 8 for i in rng.permutation(n)]),
+        "long": ("long", [big + int(i) for i in rng.permutation(n)]),
+        "infinite": ("double", [(float("-inf"), float("inf"), 1.5)[i % 3] for i in range(n)]),
+        "missing": ("double", [(None, float("nan"), 0.0, -1.0)[i % 4] for i in range(n)]),
+    }
+
+
+@pytest.mark.parametrize("kind", ("text", "decimal", "long", "infinite", "missing"))
+@pytest.mark.parametrize("keys", ([], ["key"]))
+def test_ranges_equal_a_plain_window_for_every_type(spark, kind, keys):
+    dtype, values = odd_orders()[kind]
+    rows = [(i, "hot" if i % 3 else f"k{i % 9}", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, f"id long, key string, x {dtype}").repartition(6)
+    cut, plain = (
+        {r["id"]: r["row_index"] for r in o.row_index(df, ["x", "id"], keys, rows_per_bucket=size).collect()}
+        for size in (70, 10**6)
+    )
+    assert cut == plain and len(cut) == len(rows)
+
+
+def test_a_hot_value_with_an_outlier_is_spread(spark):
+    rows = [(500, i) for i in range(3999)] + [(500, 10**15)]
+    ranged = o.arrange(spark.createDataFrame(rows, "ts long, id long"), ["ts", "id"], rows_per_bucket=400)
+    sizes = [r["count"] for r in ranged.frame.groupBy("_range").count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 800
+
+
+def test_a_hot_key_is_spread_and_offsets_stay_few(frame):
     _, df = frame
-    cuts = o.find_cuts(df, ["ts", "id"], rows_per_bucket=97)
-    assert [h[0] for h in cuts.heavy] == [500.0]
-    ranged = o.assign_ranges(df, ["ts", "id"], cuts)
-    largest = ranged.groupBy("_bucket", "_sub").count().agg(F.max("count")).first()[0]
-    assert largest < 400
+    ranged = o.arrange(df, ["ts", "id"], ["key"], rows_per_bucket=100)
+    sizes = [r["count"] for r in ranged.frame.groupBy("_range").count().collect()]
+    assert max(sizes) <= 200
+    borders = ranged.frame.groupBy("key").agg(F.count_distinct("_range").alias("n")).where("n > 1")
+    assert borders.agg(F.sum("n")).first()[0] <= 2 * len(sizes)
+
+
+def test_layouts_are_kept_between_passes(frame):
+    data, df = frame
+    ranged = o.arrange(df, ["ts", "id"], ["key"], rows_per_bucket=97)
+    twice = o.add_running(o.add_running(ranged, {"a": ("sum", "v")}), {"b": ("max", "a")})
+    got = twice.plain().toPandas().set_index("id")
+    s = data.sort_values(["ts", "id"]).set_index("id")
+    want = s.groupby("key")["v"].cumsum().groupby(s["key"]).cummax()
+    assert np.allclose(got["b"].loc[s.index], want)
 
 
 @pytest.mark.parametrize("size", SIZES)
@@ -145,17 +191,6 @@ def test_mean_rank_and_ecdf(frame, size):
     assert np.isclose(shares.loc[0.0], (data["v"] <= 0).mean())
 
 
-def test_only_large_keys_are_cut(frame):
-    _, df = frame
-    cuts = o.find_cuts(df, ["ts", "id"], ["key"], rows_per_bucket=600)
-    assert cuts.hot == (("hot",),)
-    ranged = o.assign_ranges(df, ["ts", "id"], cuts, ["key"])
-    parts = {r["key"]: r["p"] for r in ranged.groupBy("key").agg(F.count_distinct("_bucket", "_sub").alias("p")).collect()}
-    assert parts.pop("hot") > 2 and set(parts.values()) == {1}
-    got = o.row_index(df, ["ts", "id"], ["key"], rows_per_bucket=600)
-    assert got.groupBy("key", "row_index").count().where("count > 1").count() == 0
-
-
 def test_narrowing_keeps_few_values_and_is_exact(spark):
     rng = np.random.default_rng(12)
     v = rng.normal(size=40_000)
@@ -178,3 +213,11 @@ def test_a_missed_bracket_falls_back(spark, monkeypatch):
     monkeypatch.setattr(o, "_narrow", lambda d, probs, keys: narrow(d, [0.9], keys))
     got = o.exact_quantiles(df, "v", [0.5], rows_per_bucket=100).first()["quantile"]
     assert got == 2499.5
+
+
+def test_one_type_rule_for_quantiles(spark, monkeypatch):
+    """Longs and decimals count as doubles, narrowed or not."""
+    df = spark.createDataFrame([(2**53 + i,) for i in range(2000)], "v long")
+    want = o.exact_quantiles(df, "v", [0.25, 0.5]).collect()
+    monkeypatch.setattr(o, "NARROW_BUCKETS", 1)
+    assert o.exact_quantiles(df, "v", [0.25, 0.5], rows_per_bucket=100).collect() == want

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wearline.functions.columns import alert, col, ratio
 from wearline.operators.ordered import (
     ROWS_PER_BUCKET,
-    Cuts,
     count_values,
     row_index,
     running,
-    settle,
 )
 
 
@@ -110,7 +108,9 @@ def score_counts(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> D
     return count_values(usable, "_score", by, pos=bad.cast("long"), neg=(~bad).cast("long"))
 
 
-def curve_of(counted: DataFrame, by: Sequence[str], cuts: Cuts | None) -> DataFrame:
+def curve_of(
+    counted: DataFrame, by: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """The cutoff curve from :func:`score_counts` rows."""
     below = running(
         counted,
@@ -118,7 +118,7 @@ def curve_of(counted: DataFrame, by: Sequence[str], cuts: Cuts | None) -> DataFr
         {"_pos_upto": ("sum", "pos"), "_neg_upto": ("sum", "neg")},
         by,
         grand={"total_pos": "pos", "total_neg": "neg"},
-        cuts=cuts,
+        rows_per_bucket=rows_per_bucket,
     )
     # Missing scores sort first, so they are below every cutoff.
     return below.where(F.col("_score").isNotNull()).select(
@@ -146,9 +146,7 @@ def score_curve(
     Rows are counted per score first, so the ordered part sees distinct scores only. Rows
     without a score never alert but stay in the totals.
     """
-    counts = score_counts(df, y, score, by)
-    counted, cuts = settle(df, counts, "_score", by, rows_per_bucket)
-    return curve_of(counted, by, cuts)
+    return curve_of(score_counts(df, y, score, by), by, rows_per_bucket)
 
 
 def cost_curve(
@@ -160,7 +158,10 @@ def cost_curve(
     *,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Price of every distinct score as cutoff, and of a cutoff one above the highest."""
+    """Price of every distinct score as cutoff, and of a cutoff one above the highest.
+
+    A group without any score has one row: no cutoff, and the price of missing everything.
+    """
     curve = score_curve(df, y, score, by, rows_per_bucket=rows_per_bucket)
     missed = F.col("total_pos") - F.col("tp")
     real = curve.select(
@@ -169,8 +170,9 @@ def cost_curve(
     silent = df.groupBy(*by).agg(
         (F.max(F.when(~F.isnan(score), F.col(score))).cast("double") + 1.0).alias("threshold"),
         cost.price(F.lit(0), F.lit(0), _count(_positive(y))).alias("cost"),
+        F.count("*").alias("n"),
     )
-    return real.unionByName(silent.where(F.col("threshold").isNotNull()))
+    return real.unionByName(silent.where(F.col("n") > 0).drop("n"))
 
 
 def optimal_threshold(

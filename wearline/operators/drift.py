@@ -13,14 +13,12 @@ from wearline.operators.ordered import (
     count_values,
     exact_quantiles,
     running,
-    settle,
 )
 
-# Verdict limits, floor of a bin's share, largest sample for the exact p-value.
+# Verdict limits, floor of a bin's share.
 PSI_LIMIT = 0.2
 KS_LIMIT = 0.05
 SHARE_FLOOR = 1e-6
-EXACT_KS_ROWS = 10_000
 
 
 def pair_by_feature(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -148,25 +146,28 @@ def ks_series(distance: Column, n: Column, m: Column) -> Column:
 def exact_ks_tail(distance: float, n: int, m: int) -> float:
     """Probability that a random interleaving of n and m values reaches ``distance``.
 
-    Walks the interleaving step by step over all splits of the step between both samples,
-    taking out the mass that reaches the distance.
+    Walks the interleaving step by step over the splits of the step between both samples, within
+    the band in which the distance is not reached; the mass that leaves the band is summed.
     """
     reach = round(distance * n * m)
     if reach <= 0:
         return 1.0
-    mass, lost = np.zeros(n + 1), 0.0
-    mass[0] = 1.0
-    taken = np.arange(n + 1)
+    # After ``step`` values, i of them from the first sample: |i m - (step - i) n| < reach.
+    low, mass, lost = 0, np.ones(1), 0.0
     for step in range(n + m):
-        other = step - taken
-        left = n + m - step
+        taken = np.arange(low, low + len(mass))
+        other, left = step - taken, n + m - step
         to_first = np.where((other >= 0) & (other <= m), (n - taken) / left, 0.0)
         to_other = np.where((other >= 0) & (other < m), (m - other) / left, 0.0)
-        moved = mass * to_other
-        moved[1:] += (mass * to_first)[:-1]
-        out = np.abs(taken * m - (step + 1 - taken) * n) >= reach
-        lost += moved[out].sum()
-        mass = np.where(out, 0.0, moved)
+        moved = np.append(mass * to_other, 0.0)
+        moved[1:] += mass * to_first
+        taken = np.arange(low, low + len(moved))
+        inside = np.flatnonzero(np.abs(taken * m - (step + 1 - taken) * n) < reach)
+        if not len(inside):
+            return float(min(1.0, lost + moved.sum()))
+        first, last = inside[0], inside[-1] + 1
+        lost += moved[:first].sum() + moved[last:].sum()
+        low, mass = low + int(first), moved[first:last]
     return float(min(1.0, lost))
 
 
@@ -174,7 +175,7 @@ def exact_ks_tail(distance: float, n: int, m: int) -> float:
 def _exact_p(distance: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series(
         [
-            None if max(a, b) > EXACT_KS_ROWS else exact_ks_tail(d, int(a), int(b))
+            exact_ks_tail(d, int(a), int(b))
             for d, a, b in zip(distance, n, m)
         ],
         dtype="float64",
@@ -186,35 +187,35 @@ def ks_2samp(
     current: DataFrame,
     features: Sequence[str],
     *,
-    method: str = "auto",
+    method: str = "series",
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Two-sample distance and p-value per feature.
 
-    ``auto`` is exact while neither sample has over 10,000 rows and the series beyond;
-    ``series`` always uses the series.
+    ``series`` is the large-sample p-value, ``exact`` the exact one, each at any size. The exact
+    walk takes time in proportion to both sample sizes times the distance.
     """
-    if method not in ("auto", "series"):
+    if method not in ("exact", "series"):
         raise ValueError(f"unknown method {method!r}")
     ref, cur = F.col("is_ref").cast("long"), (~F.col("is_ref")).cast("long")
     pairs = pair_by_feature(reference, current, features)
     counts = count_values(pairs, "value", ["feature"], ref=ref, cur=cur)
-    counted, cuts = settle(pairs, counts, "value", ["feature"], rows_per_bucket)
     steps = running(
-        counted,
+        counts,
         ["value"],
         {"_ref": ("sum", "ref"), "_cur": ("sum", "cur")},
         ["feature"],
         grand={"n_ref": "ref", "n_cur": "cur"},
-        cuts=cuts,
+        rows_per_bucket=rows_per_bucket,
     )
     gap = F.abs(F.col("_ref") / F.col("n_ref") - F.col("_cur") / F.col("n_cur"))
     found = steps.groupBy("feature").agg(
         F.max(gap).alias("ks_distance"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur")
     )
-    p = ks_series(F.col("ks_distance"), F.col("n_ref"), F.col("n_cur"))
-    if method == "auto":
-        p = F.coalesce(_exact_p("ks_distance", "n_ref", "n_cur"), p)
+    if method == "exact":
+        p = _exact_p("ks_distance", "n_ref", "n_cur")
+    else:
+        p = ks_series(F.col("ks_distance"), F.col("n_ref"), F.col("n_cur"))
     return found.select("feature", "ks_distance", p.alias("ks_pvalue"))
 
 
@@ -223,7 +224,7 @@ def feature_drift(
     current: DataFrame,
     features: Sequence[str],
     *,
-    method: str = "auto",
+    method: str = "series",
     bins: int = 10,
     edges: dict[str, list[float]] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
@@ -258,5 +259,5 @@ def decide_retrain(verdict: DataFrame) -> DataFrame:
     if "drifted_features" in verdict.columns:
         names = F.coalesce(F.array_join("drifted_features", ", "), F.lit(""))
     go = F.coalesce(flag, F.lit(False))
-    reason = F.when(go, F.concat(F.lit("drift on "), names)).otherwise(F.lit("no drift"))
+    reason = F.when(go, F.concat(F.lit("moved: "), names)).otherwise(F.lit("no drift found"))
     return verdict.select(go.alias("retrain"), reason.alias("reason"))

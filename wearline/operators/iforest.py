@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -40,6 +40,7 @@ class Forest:
     offset: float = 0.0
     threshold: float | None = None
     version: str = ""
+    metrics: dict[str, float] = field(default_factory=dict)
 
     @property
     def trees(self) -> int:
@@ -58,31 +59,33 @@ def tree_samples(
 ) -> DataFrame:
     """At most ``sample`` rows for each tree as (tree, point), drawn by seeded hashes.
 
-    The draw depends on a row's identity, not on partitioning. One scan: each row gets a few
-    chances to be thrown into some tree, about ``trees * sample`` in all, so most rows of a
-    large table are dropped by one hash comparison and never shuffled.
+    The draw depends on a row's identity, not on partitioning. Each row gets a few chances to be
+    thrown into some tree, about ``trees * sample`` in all, so most rows of a large table are
+    dropped by one hash comparison and never shuffled. A row's chances go to different trees, until
+    every tree has had one. Without ``ident`` equal rows are counted first and have the chances
+    of all their copies together, so a value weighs as often as it occurs.
     """
-    wanted = sample * _SLACK
-    served = trees * min(1.0, wanted / total)
-    who = F.xxhash64(*[F.col(c) for c in ident])
+    who = F.xxhash64(*[F.col(c) for c in (ident or df.columns)])
     point = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
     rows = df.select(who.alias("who"), point.alias("point"))
-    salted = F.xxhash64("who", "chance", F.lit(seed))
-    if total <= 4 * sample:
-        # Few rows: every row stands for every tree.
-        thrown = rows.withColumn("chance", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        thrown = thrown.withColumn("tree", F.col("chance").cast("int"))
+    if ident:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
     else:
-        chances = math.ceil(served)
-        thrown = rows.withColumn("chance", F.explode(F.sequence(F.lit(1), F.lit(chances))))
-        luck = F.pmod(salted, F.lit(2**32)) / F.lit(float(2**32))
-        thrown = thrown.where(luck < served / chances).withColumn(
-            "tree", F.pmod(F.xxhash64("who", "chance", F.lit(seed + 1)), F.lit(trees)).cast("int")
-        )
-        # Two chances of one row may hit the same tree; it is drawn once.
-        thrown = thrown.dropDuplicates(["who", "tree"])
-    drawn = thrown.withColumn("draw", F.xxhash64("who", "tree", F.lit(seed + 2)))
-    order = Window.partitionBy("tree").orderBy("draw", "who")
+        rows = rows.groupBy("who", "point").agg(F.count("*").alias("copies"))
+    served = trees * min(1.0, sample * _SLACK / total)
+    expected = F.col("copies") * F.lit(served)
+    chances = F.ceil(expected)
+    thrown = rows.withColumn("chance", F.explode(F.sequence(F.lit(1).cast("long"), chances)))
+    luck = F.pmod(F.xxhash64("who", "chance", F.lit(seed)), F.lit(2**32)) / F.lit(float(2**32))
+    thrown = thrown.where(luck < expected / chances)
+    # Steps prime to the number of trees visit all of them before one comes again.
+    steps = F.array(*[F.lit(k) for k in range(1, trees + 1) if math.gcd(k, trees) == 1])
+    start, step = F.xxhash64("who", F.lit(seed + 1)), F.xxhash64("who", F.lit(seed + 3))
+    chosen = F.element_at(steps, (F.pmod(step, F.size(steps)) + 1).cast("int"))
+    tree = F.pmod(F.pmod(start, F.lit(trees)) + F.col("chance") * chosen, F.lit(trees))
+    thrown = thrown.withColumn("tree", tree.cast("int"))
+    drawn = thrown.withColumn("draw", F.xxhash64("who", "chance", F.lit(seed + 2)))
+    order = Window.partitionBy("tree").orderBy("draw", "who", "chance")
     # The rank limit also runs before the shuffle, so a tree never receives many more rows.
     ranked = drawn.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= sample).select("tree", "rank", "point")
@@ -138,7 +141,7 @@ def fit_iforest(
 ) -> Forest:
     """Fit on (healthy) rows without labels.
 
-    ``ident`` names columns that identify a row; by default all of them. A group is one
+    ``ident`` names columns that identify a row, which saves counting equal rows. A group is one
     tree's sample, so trees grow in parallel in bounded memory. Scaling the columns would
     change nothing, so there is no scaler.
     """
@@ -147,7 +150,7 @@ def fit_iforest(
         raise ValueError("no rows to fit on")
     size = min(sample, total)
     draws = tree_samples(
-        df, columns, ident=list(ident) or df.columns, total=total, trees=trees, sample=size, seed=seed
+        df, columns, ident=list(ident), total=total, trees=trees, sample=size, seed=seed
     )
     # The samples are small, and trees cost CPU: spread them over all cores.
     tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
@@ -269,7 +272,7 @@ def save_forest(forest: Forest, spark: SparkSession, path: str, metrics: dict |
             forest.offset,
             forest.threshold,
             forest.version,
-            {k: float(v) for k, v in (metrics or {}).items()},
+            {k: float(v) for k, v in (forest.metrics if metrics is None else metrics).items()},
         )
     ]
     schema = (
@@ -296,6 +299,7 @@ def load_forest(spark: SparkSession, path: str) -> Forest:
         about["offset"],
         about["threshold"],
         about["version"],
+        dict(about["metrics"] or {}),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wearline.functions.columns import MICROS_PER_HOUR, alert, hours_between
-from wearline.operators.ordered import ROWS_PER_BUCKET, Cuts, exact_quantiles, running, shifted
+from wearline.operators.ordered import ROWS_PER_BUCKET, add_running, add_shifted, arrange, exact_quantiles
 from wearline.session import MAX_BROADCAST_ROWS, broadcast_if_small
 
 DROP = -1
@@ -47,7 +47,7 @@ def label_segments(
     warn_hours: float,
     active: bool,
     keys: Sequence[str] = (),
-    cuts: Cuts | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Disjoint labelled time segments [from, to) in µs, per key.
 
@@ -71,8 +71,9 @@ def label_segments(
         .groupBy(*keys, "at")
         .agg(F.sum("w").alias("w"), F.sum("f").alias("f"))
     )
-    swept = running(points, ["at"], {"warnings": ("sum", "w"), "failures": ("sum", "f")}, keys, cuts=cuts)
-    spans = shifted(swept, ["at"], {"until": ("at", 1)}, keys, cuts=cuts)
+    laid = arrange(points, ["at"], keys, rows_per_bucket=rows_per_bucket)
+    swept = add_running(laid, {"warnings": ("sum", "w"), "failures": ("sum", "f")})
+    spans = add_shifted(swept, {"until": ("at", 1)}, rows_per_bucket=rows_per_bucket)
     label = (
         F.when(F.col("failures") > 0, F.lit(1 if active else DROP))
         .when(F.col("warnings") > 0, F.lit(1))
@@ -109,7 +110,6 @@ def interval_labels(
         warn_hours=warn_hours,
         active=active,
         keys=keys,
-        cuts=Cuts() if 3 * n <= ROWS_PER_BUCKET else None,
     )
     slotted = segments.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],

@@ -1,178 +1,124 @@
 """Ordered computations without a one-task sort: running totals, row numbers, row frames.
 
 ``Window.orderBy`` with no partition, or with one very large partition, sends those rows to
-one task. Here the ordering value is cut into ranges first; each (key, range) is one window
-partition, and the totals of the ranges before it are added. The cuts are plain literals, so
-a retried or recomputed task always assigns the same range.
+one task. Above ``rows_per_bucket`` rows the table is therefore partitioned by ranges of the keys
+and the whole order, in their own types, and written once with its range numbers. Each (key, range)
+is one window partition, and the totals of a key's earlier ranges are added. As ranges follow keys
+and order together, a hot key or a hot value is spread by what comes after it, and only keys
+that lie in several ranges need totals: never more than two per range.
 
-Cuts are only made when some group is larger than ``rows_per_bucket``; smaller inputs use a
-plain window per key.
+Smaller inputs use a plain window per key, which puts the rows in the same order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wearline.session import materialize
 
-_B, _S = "_bucket", "_sub"
+_R = "_range"
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
-MAX_HOT_KEYS = 1000
+# Choices of plan only; results are the same on both sides.
 MAX_SKETCHES = 100
 NARROW_BUCKETS = 20
 _SKETCH_ACCURACY = 10_000
 
 
 @dataclass(frozen=True)
-class Cuts:
-    """Range boundaries on the first ordering column, and how its heavy values are split.
+class Ranged:
+    """A table laid out for ordered passes by ``keys`` and ``order``.
 
-    ``heavy`` holds, for a value that fills whole ranges by itself, the span of the second
-    ordering column and the number of equal sub-ranges: (value, low, high, parts).
-    ``hot`` lists the keys to cut; all others are one range each. None cuts every key.
+    If ``cut``, ``frame`` has a column with the range numbers, fixed by having been written.
     """
 
-    bounds: tuple[float, ...] = ()
-    heavy: tuple[tuple[float, float, float, int], ...] = field(default=())
-    hot: tuple[tuple, ...] | None = None
+    frame: DataFrame
+    order: tuple[str, ...]
+    keys: tuple[str, ...]
+    cut: bool
 
-    @property
-    def trivial(self) -> bool:
-        return not self.bounds and not self.heavy
+    def over(self, frame: DataFrame) -> Ranged:
+        """The same layout with further columns."""
+        return replace(self, frame=frame)
 
+    def plain(self) -> DataFrame:
+        return self.frame.drop(_R)
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """The ordering column as a double that sorts the same way."""
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+    def window(self):
+        """Rows of a key in order, as far as they lie in one range."""
+        place = [*self.keys, *([_R] if self.cut else [])]
+        return Window.partitionBy(*(place or [F.lit(0)])).orderBy(*self.order)
 
 
-def find_cuts(
+def arrange(
     df: DataFrame,
     order: Sequence[str],
     keys: Sequence[str] = (),
     *,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
-) -> Cuts:
-    """Look at group sizes and, if needed, at quantiles of the first ordering column.
-
-    Only group sizes above the limit and at most ``max_buckets`` boundaries reach the driver.
-    """
-    keys, hot = list(keys), None
-    if keys:
-        sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-        large = sizes.where(F.col("_n") > rows_per_bucket).limit(MAX_HOT_KEYS + 1).collect()
-        if not large:
-            return Cuts()
-        if len(large) <= MAX_HOT_KEYS:
-            hot = tuple(tuple(r[k] for k in keys) for r in large)
-            total = sum(r["_n"] for r in large)
-        else:
-            total = sizes.agg(F.sum("_n")).first()[0]
-    else:
-        total = df.count()
-        if total <= rows_per_bucket:
-            return Cuts()
-
-    # Quantiles over all keys to be cut bound a range to about total / parts rows, and with
-    # it the rows of any one key in a range.
-    df = _mark_hot(df, keys, hot).where("_hot").drop("_hot") if hot else df
-    parts = max(2, int(min(max_buckets, -(-total // rows_per_bucket))))
-    first = _as_number(df, order[0])
-    quantiles = (
-        df.select(first.alias("_v"))
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)))
-        .first()[0]
-    ) or []
-    bounds = tuple(sorted(set(quantiles)))
-
-    heavy: list[tuple[float, float, float, int]] = []
-    if len(order) > 1:
-        # A value that is a boundary twice fills at least one whole range by itself.
-        crowded = {v: quantiles.count(v) for v in bounds if quantiles.count(v) > 1}
-        if crowded:
-            second = _as_number(df, order[1])
-            spans = (
-                df.select(first.alias("_v"), second.alias("_t"))
-                .where(F.col("_v").isin(list(crowded)))
-                .groupBy("_v")
-                .agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"))
-                .collect()
-            )
-            heavy = [
-                (r["_v"], r["lo"], r["hi"], crowded[r["_v"]] + 1)
-                for r in spans
-                if r["lo"] is not None and r["hi"] > r["lo"]
-            ]
-    return Cuts(bounds, tuple(sorted(heavy)), hot)
-
-
-def _mark_hot(df: DataFrame, keys: Sequence[str], hot: tuple[tuple, ...]) -> DataFrame:
-    """Add ``_hot``: whether the row's key is one of the listed ones (at most MAX_HOT_KEYS)."""
-    schema = T.StructType([T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys])
-    listed = df.sparkSession.createDataFrame(list(hot), schema).withColumn("_hot", F.lit(True))
+) -> Ranged:
+    """Lay ``df`` out once for any number of ordered passes: one count, and above it one shuffle."""
+    rows = df.count()
+    if rows <= rows_per_bucket:
+        return Ranged(df, tuple(order), tuple(keys), False)
+    parts = -(-rows // rows_per_bucket)
+    placed = df.repartitionByRange(parts, *keys, *order).withColumn(_R, F.spark_partition_id())
+    return Ranged(materialize(placed), tuple(order), tuple(keys), True)
+
+
+_FUNCTIONS = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def add_running(
+    ranged: Ranged, totals: Mapping[str, tuple[str, str]], grand: Mapping[str, str] | None = None
+) -> Ranged:
+    """:func:`running` on an arranged table, which stays arranged."""
+    grand = dict(grand or {})
+    upto = ranged.window().rowsBetween(Window.unboundedPreceding, 0)
+    whole = ranged.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    frame = ranged.frame
+    local = frame.select(
+        "*",
+        *[_FUNCTIONS[how](c).over(upto).alias(n) for n, (how, c) in totals.items()],
+        *[F.sum(c).over(whole).alias(n) for n, c in grand.items()],
+    )
+    if not ranged.cut:
+        return ranged.over(local)
+    keys = list(ranged.keys)
+    per_range = frame.groupBy(*keys, _R).agg(
+        *[_FUNCTIONS[how](c).alias(f"_t_{n}") for n, (how, c) in totals.items()],
+        *[F.sum(c).alias(f"_g_{n}") for n, c in grand.items()],
+    )
+    ranges = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_R)
+    all_ranges = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        *[F.col(c).alias(f"_k_{c}") for c in [*keys, _R]],
+        *[_FUNCTIONS[how](f"_t_{n}").over(before).alias(f"_o_{n}") for n, (how, _) in totals.items()],
+        *[F.sum(f"_g_{n}").over(all_ranges).alias(f"_w_{n}") for n in grand],
+        F.count("*").over(all_ranges).alias("_parts"),
+    )
+    # Keys of several ranges only: at most two (key, range) pairs per range border.
+    offsets = F.broadcast(materialize(offsets.where(F.col("_parts") > 1).drop("_parts")))
     match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-    joined = df.join(F.broadcast(listed), match, "left")
-    return joined.select(*df.columns, F.coalesce("_hot", F.lit(False)).alias("_hot"))
+    for c in [*keys, _R]:
+        match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
 
+    def combine(name: str, how: str) -> Column:
+        mine, earlier = F.col(name), F.col(f"_o_{name}")
+        if how == "sum":
+            both = mine + earlier
+        else:
+            both = F.least(mine, earlier) if how == "min" else F.greatest(mine, earlier)
+        # ``least``/``greatest`` skip nulls; a sum with a missing part keeps the other part.
+        return F.coalesce(both, mine, earlier).alias(name)
 
-def assign_ranges(
-    df: DataFrame, order: Sequence[str], cuts: Cuts, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Add the range number (``_bucket``, ``_sub``), non-decreasing in the ordering."""
-    if cuts.trivial:
-        return df.withColumn(_B, F.lit(0)).withColumn(_S, F.lit(0))
-    infinity = float("inf")
-    splits = [-infinity, *cuts.bounds, infinity]
-    with_number = df.withColumn("_number", _as_number(df, order[0]))
-    if len(splits) > 2:
-        cut = Bucketizer(splits=splits, inputCol="_number", outputCol="_cut", handleInvalid="keep")
-        with_number = cut.transform(with_number)
-    else:
-        with_number = with_number.withColumn("_cut", F.lit(0.0))
-    # Nulls sort first in an ascending Spark order.
-    out = with_number.withColumn(_B, F.coalesce(F.col("_cut").cast("int"), F.lit(-1)))
-    if cuts.heavy:
-        spark = df.sparkSession
-        spans = spark.createDataFrame(
-            list(cuts.heavy), "_heavy double, _lo double, _hi double, _parts int"
-        )
-        # At most one row per boundary, so the broadcast is bounded by MAX_BUCKETS.
-        out = out.join(F.broadcast(spans), F.col("_number") == F.col("_heavy"), "left")
-        second = _as_number(df, order[1])
-        inside = F.floor((second - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts"))
-        clipped = F.greatest(F.lit(0), F.least(inside, F.col("_parts") - 1))
-        # A heavy value is the lower bound of its range, so larger values of the same range
-        # come after all of its sub-ranges.
-        below = F.lit(2 * MAX_BUCKETS + 2)
-        out = out.withColumn(
-            _S,
-            F.when(F.col("_heavy").isNotNull(), F.coalesce(clipped, F.lit(-1)))
-            .otherwise(below)
-            .cast("int"),
-        ).drop("_heavy", "_lo", "_hi", "_parts")
-    else:
-        out = out.withColumn(_S, F.lit(0))
-    out = out.drop("_number", "_cut")
-    if cuts.hot is None:
-        return out
-    marked = _mark_hot(out, keys, cuts.hot)
-    whole = {c: F.when(F.col("_hot"), F.col(c)).otherwise(0) for c in (_B, _S)}
-    return marked.withColumns(whole).drop("_hot")
+    combined = [combine(n, how) for n, (how, _) in totals.items()]
+    grands = [F.coalesce(f"_w_{n}", n).alias(n) for n in grand]
+    return ranged.over(local.join(offsets, match, "left").select(*frame.columns, *combined, *grands))
 
 
 def running(
@@ -182,7 +128,6 @@ def running(
     keys: Sequence[str] = (),
     *,
     grand: Mapping[str, str] | None = None,
-    cuts: Cuts | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add inclusive running values: ``totals = {new_column: ("sum"|"min"|"max", column)}``.
@@ -191,56 +136,8 @@ def running(
     Rows equal in ``order`` get an arbitrary but fixed sequence, so make ``order`` unique per
     key, or aggregate by it first.
     """
-    keys, grand = list(keys), dict(grand or {})
-    functions = {"sum": F.sum, "min": F.min, "max": F.max}
-    cuts = find_cuts(df, order, keys, rows_per_bucket=rows_per_bucket) if cuts is None else cuts
-    if cuts.trivial:
-        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        upto = window.rowsBetween(Window.unboundedPreceding, 0)
-        whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.select(
-            "*",
-            *[functions[how](c).over(upto).alias(n) for n, (how, c) in totals.items()],
-            *[F.sum(c).over(whole).alias(n) for n, c in grand.items()],
-        )
-
-    ranged = assign_ranges(df, order, cuts, keys)
-    place = [*keys, _B, _S]
-    window = Window.partitionBy(*place).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select(
-        "*", *[functions[how](c).over(window).alias(f"_l_{n}") for n, (how, c) in totals.items()]
-    )
-    per_range = ranged.groupBy(*place).agg(
-        *[functions[how](c).alias(f"_t_{n}") for n, (how, c) in totals.items()],
-        *[F.sum(c).alias(f"_g_{n}") for n, c in grand.items()],
-    )
-    # One row per range and key: the ranges of one key are bounded by the number of cuts.
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_B, _S)
-    whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(
-        *[F.col(c).alias(f"_k_{c}") for c in place],
-        *[functions[how](f"_t_{n}").over(before).alias(f"_o_{n}") for n, (how, _) in totals.items()],
-        *[F.sum(f"_g_{n}").over(whole).alias(n) for n in grand],
-    )
-    if not keys:
-        offsets = F.broadcast(offsets)
-    match = F.lit(True)
-    for c in place:
-        match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    joined = local.join(offsets, match, "left")
-
-    def combine(name: str, how: str) -> Column:
-        mine, earlier = F.col(f"_l_{name}"), F.col(f"_o_{name}")
-        if how == "sum":
-            both = mine + earlier
-        else:
-            both = F.least(mine, earlier) if how == "min" else F.greatest(mine, earlier)
-        # ``least``/``greatest`` skip nulls; a sum with a missing part keeps the other part.
-        return F.coalesce(both, mine, earlier).alias(name)
-
-    combined = [combine(n, how) for n, (how, _) in totals.items()]
-    return joined.select(*df.columns, *combined, *grand)
+    ranged = arrange(df, order, keys, rows_per_bucket=rows_per_bucket)
+    return add_running(ranged, totals, grand).plain()
 
 
 def row_index(
@@ -304,20 +201,6 @@ def count_values(
     return df.groupBy(*keys, value).agg(F.count("*").alias("n"), *extra)
 
 
-def settle(
-    df: DataFrame, counted: DataFrame, value: str, keys: Sequence[str], rows_per_bucket: int
-) -> tuple[DataFrame, Cuts]:
-    """Get value counts of ``df`` ready for an ordered pass: (counts, cuts).
-
-    Few rows need no cuts. Otherwise the counts are written once, so that finding the cuts,
-    the range totals and the ordered pass do not scan the raw rows again.
-    """
-    if df.count() <= rows_per_bucket:
-        return counted, Cuts()
-    written = materialize(counted)
-    return written, find_cuts(written, [value], keys, rows_per_bucket=rows_per_bucket)
-
-
 def mean_rank(
     df: DataFrame,
     score: str,
@@ -326,8 +209,8 @@ def mean_rank(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """One row per distinct score: its count and the mean 1-based rank of its ties."""
-    counted, cuts = settle(df, count_values(df, score, keys), score, keys, rows_per_bucket)
-    ranked = running(counted, [score], {"_upto": ("sum", "n")}, keys, cuts=cuts)
+    counted = count_values(df, score, keys)
+    ranked = running(counted, [score], {"_upto": ("sum", "n")}, keys, rows_per_bucket=rows_per_bucket)
     rank = F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2.0
     return ranked.withColumn("mean_rank", rank).drop("_upto")
 
@@ -341,9 +224,13 @@ def ecdf(
 ) -> DataFrame:
     """One row per distinct value with the share of rows at or below it."""
     keys = list(keys)
-    counted, cuts = settle(df, count_values(df, value, keys), value, keys, rows_per_bucket)
     with_total = running(
-        counted, [value], {"_upto": ("sum", "n")}, keys, grand={"_total": "n"}, cuts=cuts
+        count_values(df, value, keys),
+        [value],
+        {"_upto": ("sum", "n")},
+        keys,
+        grand={"_total": "n"},
+        rows_per_bucket=rows_per_bucket,
     )
     return with_total.withColumn("ecdf", F.col("_upto") / F.col("_total")).drop("_upto", "_total")
 
@@ -362,29 +249,25 @@ def exact_quantiles(
     column, unlike ``percentile``. Large inputs with few keys are narrowed first: a sketch
     gives a bracket around each quantile, values outside the brackets are only counted, and
     the few inside are ranked exactly. If a bracket misses, the plain way is taken.
-    Missing values are skipped.
+    Missing values are skipped. Values count as doubles, on either way.
     """
     keys = list(keys)
-    present = df.select(*keys, F.col(value).alias("_value")).where(F.col(value).isNotNull())
+    number = F.col(value).cast("double")
+    present = df.select(*keys, number.alias("_value")).where(F.col("_value").isNotNull())
     rows = present.count()
-    if rows <= rows_per_bucket:
-        counted = present.withColumn("_gap", F.lit(0))
-        return _pick(_count_cells(counted, keys), probs, keys, Cuts())
     few = rows > NARROW_BUCKETS * rows_per_bucket and (
         not keys
         or present.select(*keys).distinct().limit(MAX_SKETCHES + 1).count() <= MAX_SKETCHES
     )
     if few:
         narrowed = materialize(_count_cells(_narrow(present, probs, keys), keys))
-        cuts = find_cuts(narrowed, ["_value", "_gap"], keys, rows_per_bucket=rows_per_bucket)
         # At most MAX_SKETCHES keys times the asked quantiles.
-        found = _pick(narrowed, probs, keys, cuts)
+        found = _pick(narrowed, probs, keys, rows_per_bucket)
         answers = found.collect()
         if all(r["quantile"] is not None for r in answers):
             return df.sparkSession.createDataFrame(answers, found.schema)
-    counts = materialize(_count_cells(present.withColumn("_gap", F.lit(0)), keys))
-    cuts = find_cuts(counts, ["_value"], keys, rows_per_bucket=rows_per_bucket)
-    return _pick(counts, probs, keys, cuts)
+    counts = _count_cells(present.withColumn("_gap", F.lit(0)), keys)
+    return _pick(counts, probs, keys, rows_per_bucket)
 
 
 def _count_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -399,7 +282,7 @@ def _narrow(df: DataFrame, probs: Sequence[float], keys: Sequence[str]) -> DataF
     reach = 3.0 / _SKETCH_ACCURACY
     pairs = [(max(0.0, p - reach), min(1.0, p + reach)) for p in probs]
     asked = [q for pair in pairs for q in pair]
-    value = F.col("_value").cast("double")
+    value = F.col("_value")
     sketch = F.percentile_approx(value, asked, _SKETCH_ACCURACY).alias("_borders")
     # One row per key.
     borders = (df.groupBy(*keys) if keys else df).agg(sketch)
@@ -428,7 +311,7 @@ def _narrow(df: DataFrame, probs: Sequence[float], keys: Sequence[str]) -> DataF
 
 
 def _pick(
-    counted: DataFrame, probs: Sequence[float], keys: Sequence[str], cuts: Cuts
+    counted: DataFrame, probs: Sequence[float], keys: Sequence[str], rows_per_bucket: int
 ) -> DataFrame:
     """Quantiles from counted cells in order; null where a rank falls into a gap."""
     sized = running(
@@ -437,7 +320,7 @@ def _pick(
         {"_upto": ("sum", "n")},
         keys,
         grand={"_total": "n"},
-        cuts=cuts,
+        rows_per_bucket=rows_per_bucket,
     )
     first, last = F.col("_upto") - F.col("n"), F.col("_upto") - 1
     kept = F.when(F.col("_gap") == 0, F.col("_value"))
@@ -465,7 +348,6 @@ def shifted(
     columns: Mapping[str, tuple[str, int]],
     keys: Sequence[str] = (),
     *,
-    cuts: Cuts | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add neighbours' values: ``{new_column: (column, offset)}``, negative = earlier row.
@@ -473,22 +355,31 @@ def shifted(
     ``order`` must be unique per key. Large keys go through row numbers and blocks.
     """
     keys = list(keys)
+    ranged = arrange(df, order, keys, rows_per_bucket=rows_per_bucket)
+    return add_shifted(ranged, columns, rows_per_bucket=rows_per_bucket)
+
+
+def add_shifted(
+    ranged: Ranged, columns: Mapping[str, tuple[str, int]], *, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """:func:`shifted` on an arranged table."""
 
     def neighbour(window, name: str, offset: int) -> Column:
         return F.lag(name, -offset).over(window) if offset < 0 else F.lead(name, offset).over(window)
 
-    cuts = find_cuts(df, order, keys, rows_per_bucket=rows_per_bucket) if cuts is None else cuts
-    if cuts.trivial:
-        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        return df.select("*", *[neighbour(window, c, o).alias(n) for n, (c, o) in columns.items()])
-    ones = df.withColumn("_one", F.lit(1).cast("long"))
-    indexed = running(ones, order, {"_at": ("sum", "_one")}, keys, cuts=cuts).drop("_one")
+    if not ranged.cut:
+        window = ranged.window()
+        return ranged.frame.select(
+            "*", *[neighbour(window, c, o).alias(n) for n, (c, o) in columns.items()]
+        )
+    ones = ranged.over(ranged.frame.withColumn("_one", F.lit(1).cast("long")))
+    indexed = add_running(ones, {"_at": ("sum", "_one")}).plain().drop("_one")
     offsets = [o for _, o in columns.values()]
     framed = with_frames(
         indexed,
         "_at",
         {n: (lambda w, c=c, o=o: neighbour(w, c, o)) for n, (c, o) in columns.items()},
-        keys,
+        ranged.keys,
         before=max([0, *[-o for o in offsets]]),
         after=max([0, *offsets]),
         block_rows=rows_per_bucket,

@@ -11,6 +11,7 @@ from wearline.plans.catalogue import (  # noqa: F401  (each module registers its
     serving,
     streams,
 )
+from wearline.plans.catalogue import ranges  # noqa: F401  (repeats definitions of the others)
 from wearline.plans.catalogue.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

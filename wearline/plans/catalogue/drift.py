@@ -73,7 +73,7 @@ def _ks_2samp(spark, sf):
 @query("ks_2samp_exact")
 def _ks_2samp_exact(spark, sf):
     reference, current = views.samples(spark, sf)
-    out = ops.ks_2samp(reference, current, _FEATURES)
+    out = ops.ks_2samp(reference, current, _FEATURES, method="exact")
     return out.select("feature", r6("ks_distance"), r6("ks_pvalue"))
 
 
@@ -100,8 +100,8 @@ def _drift_verdict(spark, sf):
 @query(
     "retrain_decision",
     with_(*_ALL, _ROLLED)
-    + """SELECT drift_detected AS retrain, CASE WHEN drift_detected THEN 'drift on ' || drifted_features
-  ELSE 'no drift' END AS reason FROM rolled""",
+    + """SELECT drift_detected AS retrain, CASE WHEN drift_detected THEN 'moved: ' || drifted_features
+  ELSE 'no drift found' END AS reason FROM rolled""",
 )
 def _retrain_decision(spark, sf):
     return ops.decide_retrain(ops.drift_verdict(_features(spark, sf)))

@@ -44,10 +44,10 @@ present AS (SELECT DISTINCT model FROM metrics WHERE version = 'v7')"""
     with_(_METRICS, _GATES, _LIVE)
     + """SELECT model, version, CASE WHEN gated THEN false WHEN no_prod THEN true WHEN cand IS NULL OR prod IS NULL THEN false
     ELSE cand >= prod - 0.01::DOUBLE END AS promote,
-  CASE WHEN gated THEN 'candidate failed metric gate' WHEN no_prod THEN 'no production model yet'
-    WHEN cand IS NULL OR prod IS NULL THEN 'missing ''roc_auc'' on candidate or production'
-    WHEN cand >= prod - 0.01::DOUBLE THEN printf('candidate roc_auc=%.3f >= production %.3f - 0.01', cand, prod)
-    ELSE printf('candidate roc_auc=%.3f regresses vs production %.3f', cand, prod) END AS reason
+  CASE WHEN gated THEN 'a gate was missed' WHEN no_prod THEN 'no production version to compare with'
+    WHEN cand IS NULL OR prod IS NULL THEN 'roc_auc is missing on one side'
+    WHEN cand >= prod - 0.01::DOUBLE THEN printf('roc_auc %.3f holds against %.3f, 0.01 allowed', cand, prod)
+    ELSE printf('roc_auc would regress from %.3f to %.3f', prod, cand) END AS reason
 FROM (SELECT r.model, r.version, c.value AS cand, l.prod, p.model IS NULL AS no_prod,
     EXISTS (SELECT 1 FROM missed m WHERE m.model = r.model AND m.version = r.version) AS gated
   FROM (SELECT DISTINCT model, version FROM metrics) r

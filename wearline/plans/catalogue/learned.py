@@ -16,7 +16,7 @@ from wearline.plans.catalogue.base import FEATURES, clock, query, r6
 @query("iforest_scores")
 def _iforest_scores(spark, sf):
     report = detector.evaluate_detector(
-        views.tiles(spark, sf), views.reports(spark), FEATURES, trees=100
+        views.tiles(spark, sf), views.reports(spark), FEATURES
     )
     return report.scored.select(clock("window_start", "window_start"), "healthy", r6("score"))
 
@@ -24,7 +24,7 @@ def _iforest_scores(spark, sf):
 @query("iforest_eval")
 def _iforest_eval(spark, sf):
     report = detector.evaluate_detector(
-        views.tiles(spark, sf), views.reports(spark), FEATURES, trees=100
+        views.tiles(spark, sf), views.reports(spark), FEATURES
     )
     return report.metrics
 
@@ -32,7 +32,7 @@ def _iforest_eval(spark, sf):
 @query("iforest_lead_times")
 def _iforest_lead_times(spark, sf):
     report = detector.evaluate_detector(
-        views.tiles(spark, sf), views.reports(spark), FEATURES, trees=100
+        views.tiles(spark, sf), views.reports(spark), FEATURES
     )
     return report.lead_times
 
@@ -40,13 +40,13 @@ def _iforest_lead_times(spark, sf):
 @query("ensemble_sweep")
 def _ensemble_sweep(spark, sf):
     return detector.ensemble_sweep(
-        views.tiles(spark, sf), views.reports(spark), FEATURES, sizes=(100, 50, 20)
+        views.tiles(spark, sf), views.reports(spark), FEATURES, sizes=(300, 100, 50)
     )
 
 
 @query("fleet_risk")
 def _fleet_risk(spark, sf):
-    return fleet.fleet_risk(views.life(spark, sf), reference="1998-01-01", trees=20, depth=8)
+    return fleet.fleet_risk(views.life(spark, sf), reference="1998-01-01")
 
 
 @query("temporal_cv")
@@ -57,7 +57,7 @@ def _temporal_cv(spark, sf):
         labelled,
         FEATURES,
         ["window_start"],
-        partial(fit_forest, features=FEATURES, trees=20, depth=8),
+        partial(fit_forest, features=FEATURES),
         model="random_forest",
         embargo=splits.embargo_rows(2.0, 1.0),
         windows_per_day=24.0,
@@ -73,6 +73,6 @@ def _iforest_fleet(spark, sf):
         views.tele(spark, sf), views.SIGNALS, width="1 day", min_rows=1, keys=["device"]
     )
     report = detector.evaluate_detector(
-        tiles, views.device_reports(spark, sf), FEATURES, keys=["device"], trees=100, warn_hours=24.0
+        tiles, views.device_reports(spark, sf), FEATURES, keys=["device"], warn_hours=24.0
     )
     return report.metrics

@@ -70,11 +70,7 @@ def _stream_rates(spark, sf):
   FROM tele, (VALUES (50), (100), (1000000)) b(le) GROUP BY 1, 2) t WHERE {_CLOSED}""",
 )
 def _stream_histogram(spark, sf):
-    from wearline.operators.rates import score_histogram
-
-    timed = views.tele_stream(spark, sf).withWatermark("ts", "1 hour")
-    tiled = timed.withColumn("tile", F.window("ts", "1 hour"))
-    out = score_histogram(tiled, "a1", ["tile"], bounds=[50.0, 100.0])
+    out = jobs.stream_histogram(views.tele_stream(spark, sf), "a1", width="1 hour", bounds=[50.0, 100.0])
     rows = _run(spark, out.select("tile", "le", "n"))
     return rows.select(
         clock("tile.start", "window_start"),

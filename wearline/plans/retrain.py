@@ -69,8 +69,14 @@ def heal(
     *,
     gates: Mapping[str, float] = GATES,
 ) -> dict:
-    """Judge one candidate, record it, and promote it if it wins."""
+    """Judge one candidate, record it, and promote it if it wins.
+
+    A version is registered once: a known one is refused before anything is written.
+    """
     spark = registry.spark
+    known = (F.col("model") == model) & (F.col("version") == version)
+    if registry.audit().where(known & (F.col("action") == "register")).take(1):
+        raise ValueError(f"{model} already has a version {version}")
     rows = [(model, version, k, float(v)) for k, v in metrics.items()]
     candidate = spark.createDataFrame(rows, METRIC_SCHEMA)
     decided = promotion_decision(candidate, registry.production(model), gates=gates).first()

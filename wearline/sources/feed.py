@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# The fields of the feed's records, and the names and defaults of its request.
 RECORD = "struct<period:string,respondent:string,type:string,value:string>"
 PAYLOAD_SCHEMA = f"response struct<data:array<{RECORD}>>"
 
@@ -33,7 +34,7 @@ def demand(
     ``start`` and ``end`` are inclusive hours written like ``2024-01-31T05``.
     """
     if length < 1:
-        raise ValueError(f"length must be positive, got {length}")
+        raise ValueError(f"a request needs at least one row, not {length}")
     kept = records.where((F.col("type") == "D") & (F.col("respondent") == respondent))
     if start:
         kept = kept.where(F.col("period") >= start)
@@ -48,5 +49,6 @@ def read_demand_feed(spark: SparkSession, path: str, **request) -> DataFrame:
 
 
 def non_null_values(records: DataFrame, value: str = "value") -> DataFrame:
-    """Records that have a value, with the value as a number."""
-    return records.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    """Records with a value, as a number; what is not a number counts as missing."""
+    numbers = records.withColumn(value, F.col(value).try_cast("double"))
+    return numbers.where(F.col(value).isNotNull())

@@ -13,8 +13,11 @@ def append_performance(records: DataFrame, path: str) -> None:
 
 
 def write_mart(df: DataFrame, path: str, *, fmt: str = "parquet", files: int = 1) -> None:
-    """Write an aggregated table; ``files`` is for results that are small by construction."""
-    writer = df.coalesce(files).write.mode("overwrite").format(fmt)
+    """Write an aggregated table; ``files`` is for results that are small by construction.
+
+    The rows are gathered by a shuffle, so that the aggregation before it keeps its tasks.
+    """
+    writer = df.repartition(files).write.mode("overwrite").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
@@ -26,7 +29,7 @@ def run_log(
     step: str | None = None,
     params: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """Metrics as (run, step, kind, name, value) rows, with parameters as text values."""
+    """Metrics as (run, step, kind, name, value) rows; a run's parameters once, as text, without step."""
     run = F.concat_ws("/", *[F.col(c).cast("string") for c in by])
     steps = F.col(step).cast("long") if step else F.lit(None).cast("long")
     cells = [
@@ -35,11 +38,16 @@ def run_log(
         )
         for n in names
     ]
-    cells += [
+    logged = metrics.select(run.alias("run"), steps.alias("step"), F.inline(F.array(*cells)))
+    if not params:
+        return logged
+    given = [
         F.struct(F.lit("param").alias("kind"), F.lit(k).alias("name"), F.lit(str(v)).alias("value"))
-        for k, v in (params or {}).items()
+        for k, v in params.items()
     ]
-    return metrics.select(run.alias("run"), steps.alias("step"), F.inline(F.array(*cells)))
+    runs = metrics.select(run.alias("run")).distinct()
+    once = runs.select("run", F.lit(None).cast("long").alias("step"), F.inline(F.array(*given)))
+    return logged.unionByName(once)
 
 
 def log_run_metrics(metrics: DataFrame, path: str, names: Sequence[str], **options) -> None:

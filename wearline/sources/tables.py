@@ -29,8 +29,9 @@ LIFETIME_SCHEMA = T.StructType(
 
 def _read(spark: SparkSession, path: str | Sequence[str], fmt: str, schema: T.StructType) -> DataFrame:
     if fmt == "csv":
-        # Columns are matched to the header by name, in any order; others are ignored.
-        header = spark.read.option("header", True).csv(path)
+        # Columns are matched to the header by name, in any order; others are ignored. Spark names
+        # the columns of all files by one header, so files that differ from it must fail.
+        header = spark.read.option("header", True).option("enforceSchema", False).csv(path)
         missing = [n for n in schema.fieldNames() if n not in header.columns]
         if missing:
             raise ValueError(f"missing columns: {missing}")

@@ -58,11 +58,12 @@ def stream_histogram(
     ts: str = "ts",
     width: str = "5 minutes",
     lateness: str = "1 hour",
+    bounds: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Cumulative score counts per tile."""
+    """Cumulative score counts per tile, at ``bounds`` or the usual ones."""
     timed = predictions.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
     tiled = timed.withColumn("tile", F.window(ts, width))
-    return score_histogram(tiled, score, ["tile"])
+    return score_histogram(tiled, score, ["tile"], **({"bounds": bounds} if bounds else {}))
 
 
 def stream_dedupe(
@@ -131,7 +132,7 @@ def drift_batches(
     edges: dict[str, list[float]],
     out: str,
     *,
-    method: str = "auto",
+    method: str = "series",
 ) -> BatchFunction:
     """Sink that compares each batch with the reference, on stored bin edges."""
 
