@@ -97,7 +97,7 @@ def backfill_performance(
         ],
     )
     merged = counted.groupBy(*by, "_score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranks = metrics_of(curve_of(merged, by, None), by).select(*by, "roc_auc")
+    ranks = metrics_of(curve_of(merged, by), by).select(*by, "roc_auc")
     if by:
         joined = counts.join(ranks, by, "left")
     else:
