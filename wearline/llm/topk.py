@@ -24,54 +24,60 @@ STOPS: Sequence[float] = (0.3, 0.5, 0.7, 0.8, 0.87, 0.92, 0.96, 1.0)
 
 
 class Block:
-    """Sorted lists of a block of integer vectors."""
+    """Sorted lists of a block of integer vectors, one per dimension.
+
+    ``place`` holds every entry's place in its ascending list. A list read to a depth has shown
+    the entries with places within the depth, from the end that the query's sign asks for.
+    """
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, 0).astype(float)
+        order = np.argsort(values, axis=0, kind="stable")
+        kind = np.int16 if len(ids) < 1 << 15 else np.int32
+        self.place = np.empty(values.shape, kind)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=kind)[:, None], 0)
+        # Bounds are kept in single precision, with a slack for its rounding; scores are exact.
+        self.sorted = np.take_along_axis(values, order, 0).astype(np.float32)
+        self.numbers = values.astype(np.float32)
+        self.reversed = (len(ids) - 1 - self.place).astype(kind)
+        self.first = 0  # the stop at which bounds are compared first
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
         """(ids, scores, share of the lists read) of the k best rows other than the query's id.
 
         Ties at the k-th place go to smaller ids.
         """
-        n = len(self.ids)
-        used = np.flatnonzero(query)
         other = self.ids != query_id
-        if not len(used) or other.sum() <= k:
+        if not query.any() or other.sum() <= k:
             open_rows, read = np.flatnonzero(other), 0.0
         else:
-            open_rows, read = self._read(used, query[used].astype(float), other, k, n)
+            open_rows, read = self._read(query, other, k)
         scores = self.values[open_rows] @ query
         order = np.lexsort((self.ids[open_rows], -scores))[:k]
         return self.ids[open_rows][order], scores[order], read
 
-    def _read(self, used, weights, other, k, n):
-        # Best first: descending where the query's component is positive, else ascending.
-        down = weights > 0
-        rows = np.where(down, self.order[::-1, used], self.order[:, used])
-        gains = np.where(down, self.sorted[::-1, used], self.sorted[:, used]) * weights
-        worst = gains[-1]
-        unread = np.ones((n, len(used)))
-        columns = np.arange(len(used))
-        known = np.zeros(n)
-        at = 0
-        for share in STOPS:
-            to = max(at + 1, int(np.ceil(share * n)))
-            if to > n:
-                break
-            seen = rows[at:to]
-            known += np.bincount(seen.ravel(), gains[at:to].ravel(), n)
-            unread[seen, columns] = 0
-            at = to
-            head = gains[at] if at < n else worst
-            lower = known + unread @ worst
-            upper = known + unread @ head
-            kth = np.partition(lower[other], -k)[-k]
+    def _read(self, query: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+        """Rows that can still be among the k best once they are few, and the share read."""
+        n, weights = len(self.ids), query.astype(np.float32)
+        down = weights > 0  # best first: from the large end where the weight is positive
+        columns = self.sorted * weights
+        depth = np.where(down, self.reversed, self.place)
+        worst = np.where(down, columns[0], columns[-1])
+        above = self.numbers * weights - worst  # what reading an entry adds to its least
+        least = worst.sum()
+        slack = np.float32(1e-6) * len(query) * np.abs(columns[[0, -1]]).max(0).sum()
+        # Queries on a block stop at about the same depth; one step earlier is tried each time.
+        for stop in range(self.first, len(STOPS)):
+            at = min(n, int(np.ceil(STOPS[stop] * n)))
+            read = (depth < at).astype(np.float32)
+            lower = least + np.einsum("ij,ij->i", read, above)
+            room = np.where(down, columns[n - 1 - at], columns[at]) - worst if at < n else 0 * worst
+            upper = lower + (room.sum() - read @ room)
+            kth = np.partition(lower[other], -k)[-k] - 2 * slack
             open_rows = np.flatnonzero((upper >= kth) & other)
-            if len(open_rows) <= max(4 * k, n // 64):
+            if len(open_rows) <= max(4 * k, n // 32):
                 break
+        self.first = max(0, stop - 1)
         return open_rows, at / n
 
 
