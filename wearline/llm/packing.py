@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wearline.llm.shared import limit_batches
 from wearline.session import broadcast_if_small, materialize
 
-CACHED = 150_000
+CACHED = 250_000
 LONGEST = 40
 ROWS_PER_BUCKET = 20_000
 # White space to Python but not surely to the tokenizer; texts with it are encoded whole.
@@ -32,49 +33,72 @@ _ODD = "\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2
 class WordEncoder:
     """Ids as the tokenizer's ``encode`` gives them, remembered by white-space separated chunks.
 
-    The tokenizer drops white space and never merges across it, so chunks are encoded alone.
-    Texts with a special token's string, or with white space that libraries see differently, are
-    encoded whole.
+    The tokenizer drops white space, lower-cases, cuts chunks into words and never merges across
+    words, so chunks and words are encoded alone. The merges are used directly for words of
+    Latin letters, single digits and ASCII signs. Other chunks go to the library, and so do whole
+    texts with a special token's string or with white space that libraries see differently.
     """
 
-    pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    def _plain(self, chunk: str) -> bytes:
-        """Ids of a printable ASCII chunk, straight from the merges."""
-        tokens = [t.id for word in self.pattern.findall(chunk.lower()) for t in self.tokenizer.model.tokenize(word)]
-        return np.array(tokens, "<u4").tobytes()
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        plain = [w for w in missing if w.isascii() and w.isprintable()]
-        found = {w: self._plain(w) for w in plain}
-        others = [w for w in missing if w not in found]
-        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            found[w] = np.array(e.ids, "<u4").tobytes()
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        self.cache.update((w, b) for w, b in found.items() if len(w) <= LONGEST)
+        # A chunk enters ``fresh`` first and stays in ``known`` once it comes again, so that words
+        # seen once do not drive out the others.
+        self.known: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # Byte-level models name every byte by a printable character.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(printable)]
+        self.names = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    @staticmethod
+    def _simple(chunk: str) -> bool:
+        """Printable ASCII and Latin letters, whose case and class are the same everywhere."""
+        if chunk.isascii():
+            return chunk.isprintable()
+        return chunk.isprintable() and all(c < "\x7f" or c < "\u0250" and c.isalpha() for c in chunk)
+
+    def _merged(self, word: str) -> bytes:
+        named = word if word.isascii() else "".join([self.names[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.known.get(chunk)
+        if found is not None:
+            return found
+        found = self.fresh.get(chunk)
+        if found is not None:
+            if len(self.known) >= CACHED:
+                self.known.clear()
+            self.known[chunk] = found
+            return found
+        if self._simple(chunk):
+            words = self.pattern.findall(chunk.lower())
+            found = self._merged(chunk) if words == [chunk] else b"".join(map(self._chunk, words))
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            found = array("I", ids).tobytes()
+        if len(chunk) <= LONGEST:
+            if len(self.fresh) >= CACHED:
+                self.fresh.clear()
+            self.fresh[chunk] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
+        """Ids as native 32-bit numbers, little-endian on the machines Spark runs on."""
         if any(c in text for c in _ODD) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         chunks = text.split()
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in chunks])
-        except KeyError:
-            distinct = set(chunks)
-            known = {w: cache[w] for w in distinct if w in cache}
-            known.update(self._learn([w for w in distinct if w not in known]))
-            return b"".join([known[w] for w in chunks])
+        parts = list(map(self.known.get, chunks))
+        if None in parts:
+            one = self._chunk
+            parts = [one(c) if p is None else p for c, p in zip(chunks, parts)]
+        return b"".join(parts)
 
 
 @functools.lru_cache(maxsize=2)
