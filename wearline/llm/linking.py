@@ -67,29 +67,68 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select("node", F.col("root").alias("component"))
 
 
-def link(members: DataFrame, fits: Callable[[Column, Column], Column], screen: Step, confirm: Step) -> DataFrame:
+def _open_rows(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with their ``component``.
+
+    Components only grow, so the other buckets have nothing left to compare.
+    """
+    named = rows.select("bucket", "node", "mark").join(
+        grouped.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left"
+    )
+    named = materialize(named.withColumn("component", F.coalesce("component", "node")).drop("of"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = mixed.where(F.col("low") != F.col("high")).select("bucket")
+    return materialize(named.join(mixed, "bucket", "left_semi"))
+
+
+def link(
+    members: DataFrame,
+    fits: Callable[[Column, Column], Column],
+    screen: Step,
+    confirm: Step,
+    narrow: Step | None = None,
+    rounds: int = 1,
+) -> DataFrame:
     """(node, component) by all confirmed links between nodes that share a bucket.
 
     ``members`` has long ``bucket, node, mark``. ``fits(mark, mark)`` and ``screen``, on distinct pairs
-    ``a < b``, are cheap necessary conditions; ``confirm`` keeps the true links.
+    ``a < b``, are cheap necessary conditions; ``confirm`` keeps the true links. ``narrow`` gives
+    the nodes that are still open better marks, for which ``fits`` must hold too.
 
     First every node is compared to the smallest fitting of its buckets' smallest nodes. Groups of
-    near copies collapse there, with one comparison per node. Then pairs in one bucket are compared
-    where the two nodes are in different components. So no link that could join two components is
-    left out, and the pairs inside a component are never made.
+    near copies collapse there, with one comparison per node. In each of ``rounds`` more, nodes
+    outside are compared to one node per bucket, chosen by a hash, as long as their components
+    differ. At last all pairs in one bucket are compared whose components still differ. So no link
+    that could join two components is left out, and the pairs inside a component are not made.
     """
-    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
-    centres = centres.where(F.col("centre") != F.col("last")).select(F.col("bucket").alias("of"), "centre")
+    centres = members.groupBy("bucket").agg(
+        F.min("node").alias("centre"), F.max("node").alias("last"), F.min_by("mark", "node").alias("mark_centre")
+    )
+    centres = centres.where(F.col("centre") != F.col("last")).drop("last").withColumnRenamed("bucket", "of")
     shared = materialize(members.join(centres, F.col("bucket") == F.col("of")).drop("of"))
-    star = shared.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    star = shared.where((F.col("node") != F.col("centre")) & fits(F.col("mark"), F.col("mark_centre")))
+    star = star.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     nearest = screen(star.distinct()).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = materialize(confirm(nearest))
-    grouped = components(first).withColumnRenamed("node", "of")
-    labelled = shared.drop("centre").join(grouped, F.col("node") == F.col("of"), "left")
-    labelled = materialize(labelled.withColumn("component", F.coalesce("component", "node")).drop("of"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.where(F.col("low") != F.col("high")).select("bucket")
-    rows = materialize(labelled.join(mixed, "bucket", "left_semi"))
+    links = materialize(confirm(nearest))
+    rows = _open_rows(shared, components(links))
+    for seed in range(rounds):
+        place = F.xxhash64(F.lit(seed), "node")
+        chosen = rows.groupBy("bucket").agg(
+            F.min_by("node", place).alias("centre"),
+            F.min_by("component", place).alias("of_centre"),
+            F.min_by("mark", place).alias("mark_centre"),
+        )
+        chosen = chosen.withColumnRenamed("bucket", "of")
+        met = rows.join(chosen, F.col("bucket") == F.col("of")).where(
+            (F.col("component") != F.col("of_centre")) & fits(F.col("mark"), F.col("mark_centre"))
+        )
+        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        links = materialize(links.select("a", "b").union(confirm(screen(pairs.distinct())).select("a", "b")))
+        rows = _open_rows(rows, components(links))
+    if narrow is not None:
+        marks = materialize(narrow(rows.select("node").distinct()).select(F.col("node").alias("of"), "better"))
+        rows = rows.join(marks, F.col("node") == F.col("of")).drop("mark").withColumnRenamed("better", "mark")
+        rows = materialize(rows)
     left, right = (
         rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("bucket", "node", "mark", "component")])
         for side in "ab"
@@ -101,5 +140,5 @@ def link(members: DataFrame, fits: Callable[[Column, Column], Column], screen: S
         & (F.col("component_a") != F.col("component_b"))
         & fits(F.col("mark_a"), F.col("mark_b")),
     )
-    second = confirm(screen(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()))
-    return components(first.select("a", "b").union(second.select("a", "b")))
+    last = confirm(screen(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()))
+    return components(links.union(last.select("a", "b")))

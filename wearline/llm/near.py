@@ -44,8 +44,11 @@ class Near:
         return self.bands * self.rows
 
     def fits(self, x: Column, y: Column) -> Column:
-        """Set sizes that allow the similarity."""
-        return 100 * F.least(x, y) >= self.percent * F.greatest(x, y)
+        """Sizes that allow the similarity; ``x`` and ``y`` are marks as :func:`_mark` makes them."""
+        low = (1 << 31) - 1
+        size_x, size_y = F.shiftright(x, 31), F.shiftright(y, 31)
+        common = F.least(x.bitwiseAND(F.lit(low)), y.bitwiseAND(F.lit(low)))
+        return (100 + self.percent) * common >= self.percent * (size_x + size_y)
 
     def sketch_limit(self) -> int:
         """Differing bits that a pair at the similarity exceeds with a chance below one in a million.
@@ -53,15 +56,21 @@ class Near:
         Differing values are binomial; each differing value toggles one bit per side at random.
         """
         away = 1 - self.percent / 100
-        differing = self.values * away + 5 * math.sqrt(self.values * away * (1 - away))
-        bits = SKETCH_BITS / 2 * (1 - math.exp(-4 * differing / SKETCH_BITS))
-        share = bits / SKETCH_BITS
-        return math.ceil(bits + 5 * math.sqrt(SKETCH_BITS * share * (1 - share)))
+        share = (1 - math.exp(-4 * self.values * away / SKETCH_BITS)) / 2
+        slope = 2 * math.exp(-4 * self.values * away / SKETCH_BITS)
+        drawn = slope * math.sqrt(self.values * away * (1 - away))
+        placed = math.sqrt(SKETCH_BITS * share * (1 - share))
+        return math.ceil(SKETCH_BITS * share + 5 * math.hypot(drawn, placed))
 
 
 DEFAULT = Near()
 
 
+def _mark(size: Column, most: Column) -> Column:
+    """A set's size, and how many of its shingles can be in another set, as one number."""
+    return F.shiftleft(size.cast("long"), 31).bitwiseOR(most.cast("long"))
+
+
 def shingle_sets(column: pa.Array, length: int) -> Iterator[np.ndarray]:
     """Each text's distinct shingles as ascending 64-bit hashes.
 
@@ -172,12 +181,13 @@ def _both(pairs: DataFrame, frame: DataFrame, value: str) -> DataFrame:
 
 def _screen(items: DataFrame, near: Near):
     """Drops pairs whose sizes or odd sketches rule the similarity out."""
-    marks = items.select("node", F.struct("n_shingles", "sketch").alias("m"))
+    size = F.col("n_shingles")
+    marks = items.select("node", F.struct(_mark(size, size).alias("mark"), "sketch").alias("m"))
 
     def screen(pairs: DataFrame) -> DataFrame:
         bits = F.zip_with("m_a.sketch", "m_b.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
         differing = F.aggregate(bits, F.lit(0), lambda total, b: total + b)
-        likely = _both(pairs, marks, "m").where(near.fits(F.col("m_a.n_shingles"), F.col("m_b.n_shingles")))
+        likely = _both(pairs, marks, "m").where(near.fits(F.col("m_a.mark"), F.col("m_b.mark")))
         return likely.where(differing <= near.sketch_limit()).select("a", "b")
 
     return screen
@@ -199,6 +209,21 @@ def _confirm(docs: DataFrame, near: Near):
     return confirm
 
 
+def _narrow(docs: DataFrame, near: Near):
+    """Marks of open nodes in which shingles that no other open node has do not count as common."""
+
+    def narrow(nodes: DataFrame) -> DataFrame:
+        sets = full_sets(docs, nodes, near).select("node", F.explode("shingles").alias("shingle"))
+        alone = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+        sizes = sets.groupBy("node").agg(F.count("*").alias("size"))
+        alone = alone.where(F.col("n") == 1).groupBy(F.col("node").alias("of")).agg(F.count("*").alias("own"))
+        both = sizes.join(alone, F.col("node") == F.col("of"), "left")
+        most = F.col("size") - F.coalesce("own", F.lit(0))
+        return both.select("node", _mark(F.col("size"), most).alias("better"))
+
+    return narrow
+
+
 def near_duplicates(docs: DataFrame, near: Near = DEFAULT) -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id, kept`` (doc_id = component_id).
 
@@ -226,8 +251,10 @@ def near_duplicates(docs: DataFrame, near: Near = DEFAULT) -> DataFrame:
         )
     )
     items = placed.where(F.col("bands").isNotNull())
-    members = items.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("mark"))
-    grouped = link(members, near.fits, _screen(items, near), _confirm(docs, near)).withColumnRenamed("node", "of")
+    size = F.col("n_shingles")
+    members = items.select(F.explode("bands").alias("bucket"), "node", _mark(size, size).alias("mark"))
+    grouped = link(members, near.fits, _screen(items, near), _confirm(docs, near), _narrow(docs, near))
+    grouped = grouped.withColumnRenamed("node", "of")
     result = placed.select("doc_id", "n_shingles", "node").join(grouped, F.col("node") == F.col("of"), "left")
     component = F.coalesce("component", "node", "doc_id")
     return result.select(
