@@ -123,3 +123,33 @@ def test_edge_rows(spark):
     assert lines.removals(empty(spark)).count() == 0
     assert lines.dedup_lines(odd(spark)).columns == odd(spark).columns
     assert lines.dedup_lines(empty(spark)).count() == 0
+
+
+def test_production_rule_equals_brute_force_by_edit_similarity(spark):
+    rng = random.Random(12)
+    bases = [[f"w{rng.choice('abcdefghij')}{rng.choice('klmnop')}" for _ in range(n)] for n in (9, 10, 12, 19, 20, 27, 29, 30, 31, 45, 60, 100, 140)]
+    rows = []
+    for ws in bases:
+        for k in range(9):
+            out = list(ws)
+            for _ in range(rng.randrange(0, 3 + len(ws) // 12)):
+                at = rng.randrange(len(out))
+                out[at : at + 1] = rng.choice(([f"q{rng.choice('abcdef')}"], [], [out[at], "more"]))
+            rows.append((len(rows), " ".join(out), "en", "a", 1))
+    where = [norm(r[1]) for r in rows]
+    longer = lambda i, j: max(len(where[i]), len(where[j]))
+    linked = lambda i, j: 100 * (longer(i, j) - edits(where[i], where[j])) >= 90 * longer(i, j)
+    want = groups(len(rows), linked)
+    got = {r["doc_id"] for r in lines.removals(spark.createDataFrame(rows, DOCS).repartition(4)).where("size(removed) > 0").collect()}
+    assert got == {i for i, first in enumerate(want) if first != i} and len(got) > 30
+
+
+def test_one_replaced_word_in_ten_is_a_repeat(spark):
+    base = [f"{a}{b}" for a in "klmnpr" for b in "aeiou"]
+    texts = []
+    for k in range(20):
+        ws = random.Random(k).sample(base, 9) + [f"own{'abcdefghijklmnopqrst'[k]}"]
+        texts += [" ".join(ws), " ".join([*ws[:4], "other", *ws[5:]])]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["removed"] for r in lines.removals(frame).collect()}
+    assert all(got[i] == ([0] if i % 2 else []) for i in got)

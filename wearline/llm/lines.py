@@ -1,9 +1,14 @@
-"""Fuzzy line dedup by SimHash, pigeonhole blocks and edit similarity.
+"""Fuzzy line dedup by edit similarity in words, on candidates that share rare words.
 
-Lines are normalised to words. Equal lines are one item. Every distinct line gets a 64-bit SimHash
-of its words. Two lines within ``bits`` differing bits agree on at least two of ``bits + 2`` blocks,
-so they share the bucket of one pair of blocks. Candidates are confirmed by their edit similarity
-in words, and one occurrence per connected group of lines stays: the first by doc_id and position.
+Lines are normalised to words. Equal lines are one item. Two lines whose edit distance is at most
+``k`` for a longer length of ``n`` words have ``n - k`` words in common, so they share one of each
+line's first ``k + 1`` words, and two of its first ``k + 2``, in any order of all words. Rare words
+come first in that order, which makes small buckets and leaves no pair out. Candidates are confirmed
+by their edit similarity, and one occurrence per connected group of lines stays: the first by doc_id
+and position.
+
+A rule ``within_bits`` also wants SimHashes of at most ``bits`` differing bits. Such lines agree on at
+least two of ``bits + 2`` blocks, so they share the bucket of one pair of blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +34,10 @@ PLAIN[48:58] = 48
 BETWEEN = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 FEED = 10
 CHUNK_WORDS = 1 << 14
+# Words are ordered by how often their hash, cut to this many values, occurs.
+ORDER_SLOTS = 1 << 18
+PARITY_BITS = 48
+LONGEST_MARK = (1 << 15) - 1
 
 
 @dataclass(frozen=True)
@@ -38,6 +47,19 @@ class FuzzyLines:
     min_words: int = 8
     bits: int = 3
     percent: int = 90
+    within_bits: bool = True
+
+    def __post_init__(self):
+        if not 50 < self.percent <= 100:
+            raise ValueError("percent is above 50 and at most 100")
+
+    @property
+    def away(self) -> int:
+        return 100 - self.percent
+
+    def length_of(self, edits: int) -> int:
+        """Words from which on a line may differ in so many edits."""
+        return -(-100 * edits // self.away)
 
     def blocks(self) -> list[tuple[int, int]]:
         """(shift, width) of the blocks that cut 64 bits."""
@@ -46,7 +68,8 @@ class FuzzyLines:
         return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-DEFAULT = FuzzyLines()
+# Edit similarity alone decides.
+DEFAULT = FuzzyLines(within_bits=False)
 
 
 @dataclass
@@ -95,11 +118,79 @@ def simhash(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
     return np.packbits(2 * out > size[:, None], axis=1).view(np.int64).ravel()
 
 
+def word_order(docs: DataFrame) -> np.ndarray:
+    """How often each slot of word hashes occurs in all lines; of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_SLOTS, np.int64)
+        for batch in batches:
+            slots = lines_of(batch.column("text")).hashes % np.uint64(ORDER_SLOTS)
+            total += np.bincount(slots.astype(np.int64), minlength=ORDER_SLOTS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()
+    out = np.zeros(ORDER_SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def parity(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A line's length, and for each of 48 groups of words whether it has an odd number of them.
+
+    Replacing a word changes at most two of the bits, adding or removing one changes one.
+    """
+    bit = np.uint64(1) << (mix(words, 33) % np.uint64(PARITY_BITS))
+    length = np.minimum(size, LONGEST_MARK).astype(np.uint64) << np.uint64(PARITY_BITS)
+    return (np.bitwise_xor.reduceat(bit, first) | length).view(np.int64)
+
+
+def rare_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.ndarray, rule: FuzzyLines) -> pa.Array:
+    """Per line the buckets that it shares with every line of enough edit similarity.
+
+    A word's second and further occurrences in a line count as other words. If the longer of two
+    lines may have two edits at most, the buckets are pairs of words, else single words; lines of
+    lengths that can be in both cases have both.
+    """
+    kind = pa.list_(pa.int64())
+    if not rule.away:
+        return pa.array([[]] * len(size), kind)
+    own = np.repeat(np.arange(len(size)), size)
+    by = np.lexsort((words, order[(words % np.uint64(ORDER_SLOTS)).astype(np.int64)], own))
+    words = words[by]
+    again = np.zeros(len(words), bool)
+    again[1:] = (words[1:] == words[:-1]) & (own[1:] == own[:-1])
+    at = np.arange(len(words))
+    number = at - np.maximum.accumulate(np.where(again, 0, at))
+    words = mix(words + mix(number.astype(np.uint64), 34), 34)
+    edits = size * rule.away // 100
+    three = rule.length_of(3)
+    lines, keys = [], []
+    single = np.flatnonzero(size >= three - 3)
+    taken = edits[single] + 1
+    lines.append(np.repeat(single, taken))
+    place = np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken)
+    keys.append(mix(words[np.repeat(first[single], taken) + place], 31))
+    # The shorter line may have one word less than the shortest line with an edit.
+    paired = np.flatnonzero((size >= max(2, rule.length_of(1) - 1)) & (size < three))
+    for i, j in combinations(range(4), 2):
+        now = paired[(j < edits[paired] + 2) & (j < size[paired])]
+        lines.append(now)
+        keys.append(mix(words[first[now] + i] + mix(words[first[now] + j], 32), 32))
+    lines, keys = np.concatenate(lines), np.concatenate(keys)
+    by = np.argsort(lines, kind="stable")
+    ends = np.searchsorted(lines[by], np.arange(len(size) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[by].view(np.int64)))
+
+
 def occurrences(docs: DataFrame, rule: FuzzyLines) -> DataFrame:
-    """Every long enough line: ``doc_id, text_key, place, h1, h2, sim, n_words``.
+    """Every long enough line: ``doc_id, text_key, place, h1, h2, sim, n_words, keys``.
 
     A document is known by doc_id and a hash of its text, a line by two hashes of its words in order.
+    ``sim`` is the SimHash if the rule has bits, else the word parity; ``keys`` are the buckets then.
     """
+    order = None if rule.within_bits else word_order(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,6 +206,10 @@ def occurrences(docs: DataFrame, rule: FuzzyLines) -> DataFrame:
             words = lines.hashes[taken]
             h1, h2 = (np.add.reduceat(mix(words + mix(place, s), s), first).view(np.int64) for s in (21, 22))
             rows = pa.array(lines.text[kept])
+            if rule.within_bits:
+                sim, keys = simhash(lines.hashes, begin, size), pa.nulls(len(size), pa.list_(pa.int64()))
+            else:
+                sim, keys = parity(words, first, size), rare_keys(words, first, size, order, rule)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(rows),
@@ -122,13 +217,14 @@ def occurrences(docs: DataFrame, rule: FuzzyLines) -> DataFrame:
                     pa.array(lines.place[kept].astype(np.int32)),
                     pa.array(h1),
                     pa.array(h2),
-                    pa.array(simhash(lines.hashes, begin, size)),
+                    pa.array(sim),
                     pa.array(size.astype(np.int32)),
+                    keys,
                 ],
-                ["doc_id", "text_key", "place", "h1", "h2", "sim", "n_words"],
+                ["doc_id", "text_key", "place", "h1", "h2", "sim", "n_words", "keys"],
             )
 
-    schema = "doc_id long, text_key long, place int, h1 long, h2 long, sim long, n_words int"
+    schema = "doc_id long, text_key long, place int, h1 long, h2 long, sim long, n_words int, keys array<long>"
     return _keyed(docs).mapInArrow(run, schema)
 
 
@@ -181,8 +277,9 @@ def _word_codes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
     """The line occurrences to remove: ``doc_id, text_key, place`` (from 0, by line feeds).
 
-    Lines are linked if their SimHashes differ in at most ``rule.bits`` bits and their edit similarity,
-    1 less the edit distance in words over the longer length, is at least ``rule.percent``.
+    Lines are linked if their edit similarity, 1 less the edit distance in words over the longer
+    length, is at least ``rule.percent``, and if the rule is ``within_bits``, their SimHashes differ in at
+    most ``rule.bits`` bits.
     """
     limit_batches(docs.sparkSession)
     all_lines = materialize(occurrences(docs, rule))
@@ -192,10 +289,27 @@ def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
     )
     # The id is fixed once the rows are written.
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
-    members = distinct.select(F.explode(_buckets(F.col("sim"), rule)).alias("bucket"), "node", F.col("sim").alias("mark"))
+    if rule.within_bits:
+        buckets = distinct.select(_buckets(F.col("sim"), rule).alias("keys"), "node", F.col("sim").alias("mark"))
+    else:
+        # The keys of a line's first occurrence; the place spreads lines that occur very often.
+        leads = distinct.select("first.*", "node", F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+        leads = leads.select(*[F.col(c).alias(f"_{c}") for c in leads.columns])
+        same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in ("doc_id", "text_key", "place")]
+        same += [F.col("_k1") == F.col("h1"), F.col("_k2") == F.col("h2")]
+        long_enough = all_lines.where(F.size("keys") > 0)
+        buckets = long_enough.join(leads, same).select("keys", F.col("_node").alias("node"), F.col("sim").alias("mark"))
+    members = buckets.select(F.explode("keys").alias("bucket"), "node", "mark")
 
     def fits(x: Column, y: Column) -> Column:
-        return F.bit_count(x.bitwiseXOR(y)) <= rule.bits
+        if rule.within_bits:
+            return F.bit_count(x.bitwiseXOR(y)) <= rule.bits
+        size_x, size_y = F.shiftright(x, PARITY_BITS), F.shiftright(y, PARITY_BITS)
+        shorter, longer = F.least(size_x, size_y), F.greatest(size_x, size_y)
+        flipped = F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit((1 << PARITY_BITS) - 1)))
+        # Each of the edits flips two bits at most; one that changes the length flips one.
+        near = 100 * (flipped + longer - shorter) <= 2 * rule.away * longer
+        return near & (100 * shorter >= rule.percent * longer)
 
     def both(pairs: DataFrame, frame: DataFrame, value: str) -> DataFrame:
         for side in ("b", "a"):
