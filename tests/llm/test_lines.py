@@ -153,3 +153,9 @@ def test_one_replaced_word_in_ten_is_a_repeat(spark):
     frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
     got = {r["doc_id"]: r["removed"] for r in lines.removals(frame).collect()}
     assert all(got[i] == ([0] if i % 2 else []) for i in got)
+
+
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "read more here\n\n...\nShare", "en", "a", 1), (2, "Read more here!\n\n...\nshare this", "en", "a", 1), (3, "share\n...", "en", "a", 1)]
+    got = {r["doc_id"]: r["removed"] for r in lines.removals(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: [], 2: [0], 3: [0]}

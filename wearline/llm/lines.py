@@ -42,9 +42,9 @@ LONGEST_MARK = (1 << 15) - 1
 
 @dataclass(frozen=True)
 class FuzzyLines:
-    """Lines of fewer than ``min_words`` words are left alone: short lines recur by chance."""
+    """Lines of fewer than ``min_words`` words are left alone."""
 
-    min_words: int = 8
+    min_words: int = 1
     bits: int = 3
     percent: int = 90
     within_bits: bool = True
