@@ -55,3 +55,14 @@ def test_all_planted_statements_are_found(spark):
             if licenses.TEMPLATES[name][0] in r["text"]:
                 want.add((r["doc_id"], name))
     assert want and want == got
+
+
+def test_a_verbatim_statement_is_found_at_any_rank(spark):
+    around = ("Anyone may redistribute and use this software with or without modification, provided that the terms and"
+              " conditions of the General Public License, version 3, of the Free Software Foundation are met.")
+    names = [(n, t) for n, texts in licenses.TEMPLATES.items() for t in texts]
+    scanner = licenses.scanner(tuple(names))
+    texts = [f"{around} {t} {around}" for _, t in names]
+    ranks = [[scanner.templates[i][0] for _, i in scanner.ranked(t)].index(n) for (n, _), t in zip(names, texts)]
+    assert max(ranks) >= 3
+    assert {(i, n) for i, n, _ in found(spark, texts)} >= {(i, n) for i, (n, _) in enumerate(names)}

@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-Blocks of text around license words are compressed with each template as a raw dictionary.
-The template that shrinks a block most is its likeliest license. The winner is confirmed by the exact
-differences in wording: words of the template that the block lacks, and words it has in between.
+Templates are confirmed in the blocks of text around license words by the exact differences in
+wording: words of the template that the text lacks, and words it has in between. Blocks are compressed
+with each template as a raw dictionary; of statements that overlap, the one whose template shrinks the
+block most is the likeliest.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import difflib
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -90,6 +92,7 @@ class Scanner:
 
         self.plain = zstandard.ZstdCompressor(level=3)
         self.templates = [(name, words(text)) for name, text in templates]
+        self.counts = [Counter(want) for _, want in self.templates]
         self.given = [
             zstandard.ZstdCompressor(
                 level=3,
@@ -107,27 +110,61 @@ class Scanner:
         saved = [(1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def differences(self, number: int, block: str) -> tuple[list[str], list[str]]:
-        """(template words that the block lacks, block words between the first and last match)."""
-        want, have = self.templates[number][1], words(block)
+    def differences(self, number: int, have: list[str]) -> tuple[int, int, list[str], list[str]]:
+        """(first and last + 1 matching word, template words lacking, words in between)."""
+        want = self.templates[number][1]
         runs = difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks()[:-1]
         if not runs:
-            return want, []
+            return 0, 0, want, []
         in_want = {i for r in runs for i in range(r.a, r.a + r.size)}
         in_have = {i for r in runs for i in range(r.b, r.b + r.size)}
+        first, end = runs[0].b, runs[-1].b + runs[-1].size
         missing = [w for i, w in enumerate(want) if i not in in_want]
-        extra = [have[i] for i in range(runs[0].b, runs[-1].b + runs[-1].size) if i not in in_have]
-        return missing, extra
-
-    def scan(self, block: str, tried: int, allowed: float) -> tuple[str, float, list[str], list[str]] | None:
-        """The best of the ``tried`` first templates whose wording is confirmed."""
-        for saved, number in self.ranked(block)[:tried]:
-            missing, extra = self.differences(number, block)
-            limit = allowed * len(self.templates[number][1])
-            naming = [w for w in missing + extra if w in self.naming or any(c.isdigit() for c in w)]
-            if saved > 0 and len(missing) <= limit and len(extra) <= limit and not naming:
-                return self.templates[number][0], saved, missing, extra
-        return None
+        return first, end, missing, [have[i] for i in range(first, end) if i not in in_have]
+
+    def confirmed(self, number: int, have: list[str], allowed: float) -> list[tuple[int, int, list[str], list[str]]]:
+        """The template's places in the words ``have``, the most alike first."""
+        want = self.templates[number][1]
+        limit = int(allowed * len(want) + 1e-9)
+        if (self.counts[number] - Counter(have)).total() > limit:
+            return []
+        # At most ``limit`` words lack, so one of the first ``limit + 1`` begins the statement.
+        begins, out = set(want[: limit + 1]), []
+        for at, word in enumerate(have):
+            if word not in begins:
+                continue
+            part = have[at : at + len(want) + limit]
+            if (self.counts[number] - Counter(part)).total() > limit:
+                continue
+            first, end, missing, extra = self.differences(number, part)
+            naming = any(w in self.naming or any(c.isdigit() for c in w) for w in missing + extra)
+            if len(missing) <= limit and len(extra) <= limit and not naming:
+                out.append((at + first, at + end, missing, extra))
+        return sorted(out, key=lambda x: (len(x[2]) + len(x[3]), x[0]))
+
+    def statements(self, block: str, tried: int | None, allowed: float) -> list[tuple[int, str, float, list[str], list[str]]]:
+        """(start, license, saved, missing, extra) of the block's statements, none over another.
+
+        ``tried`` looks at the templates of the best savings only, None at all.
+        """
+        places = [m.span() for m in _WORDS.finditer(block)]
+        have = [block[a:b].lower() for a, b in places]
+        numbers = range(len(self.templates)) if tried is None else [i for _, i in self.ranked(block)[:tried]]
+        known = {i: found for i in numbers if (found := self.confirmed(i, have, allowed))}
+        if not known:
+            return []
+        taken, out = bytearray(len(have)), []
+        for saved, number in self.ranked(block):
+            for first, end, missing, extra in known.get(number, ()):
+                if not any(taken[first:end]):
+                    taken[first:end] = b"\1" * (end - first)
+                    out.append((places[first][0], self.templates[number][0], saved, missing, extra))
+        return sorted(out)
+
+    def scan(self, block: str, tried: int | None, allowed: float) -> tuple[str, float, list[str], list[str]] | None:
+        """The statement of the best saving."""
+        found = self.statements(block, tried, allowed)
+        return max(found, key=lambda x: x[2])[1:] if found else None
 
     # Words that tell one license from another; a difference in them is never accepted.
     naming = frozenset(
@@ -144,14 +181,15 @@ def scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
 def scan_licenses(
     docs: DataFrame,
     templates: Mapping[str, Sequence[str]] = TEMPLATES,
-    tried: int = 3,
+    tried: int | None = None,
     allowed: float = 0.1,
 ) -> DataFrame:
     """Every license statement: ``doc``, ``start``, ``license``, ``saved``, ``missing``, ``extra``.
 
-    ``start`` is the block's first character; ``saved`` the share of its compressed size that the
-    template saves; ``missing`` and ``extra`` the differing words, at most ``allowed`` of the
-    template's words each. Statements of equal saving go to the earlier template. Null and empty
+    ``start`` is the statement's first character; ``saved`` the share of its block's compressed size
+    that the template saves; ``missing`` and ``extra`` the differing words, at most ``allowed`` of the
+    template's words each. All templates are compared, or the ``tried`` of the best savings. Of
+    statements that overlap the best saving stays, at equal saving the earlier template. Null and empty
     texts have none; texts are read whole; a repeated row repeats its rows; an empty table gives none.
     """
     listed = tuple((name, text) for name, texts in templates.items() for text in texts)
@@ -163,10 +201,8 @@ def scan_licenses(
             for text in batch:
                 rows = []
                 for start, block in blocks(text.as_py() or ""):
-                    found = known.scan(block, tried, allowed)
-                    if found:
-                        name, saved, missing, extra = found
-                        rows.append({"start": start, "license": name, "saved": saved, "missing": missing, "extra": extra})
+                    for at, name, saved, missing, extra in known.statements(block, tried, allowed):
+                        rows.append({"start": start + at, "license": name, "saved": saved, "missing": missing, "extra": extra})
                 out.append(rows)
             yield pa.array(out, kind)
 
