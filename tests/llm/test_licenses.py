@@ -66,3 +66,20 @@ def test_a_verbatim_statement_is_found_at_any_rank(spark):
     ranks = [[scanner.templates[i][0] for _, i in scanner.ranked(t)].index(n) for (n, _), t in zip(names, texts)]
     assert max(ranks) >= 3
     assert {(i, n) for i, n, _ in found(spark, texts)} >= {(i, n) for i, (n, _) in enumerate(names)}
+
+
+def test_wrapped_late_and_several_statements(spark):
+    wrapped = [t for texts in licenses.TEMPLATES.values() for t in texts if len(t.split()) > 12]
+    names = [n for n, texts in licenses.TEMPLATES.items() for t in texts if len(t.split()) > 12]
+    for width in (3, 6):
+        texts = []
+        for t in wrapped:
+            ws = t.split()
+            texts.append("\n".join("# " + " ".join(ws[i : i + width]) for i in range(0, len(ws), width)))
+        got = found(spark, texts)
+        assert [n for _, n, _ in got] == names
+    long_one = "The license. " + "word " * 55 + licenses.TEMPLATES["GPL-3.0"][1] + " word" * 9
+    both = "Released under the MIT License. Or: Licensed under CC BY 4.0.\nLicensed under CC BY-SA 4.0."
+    got = found(spark, [long_one, both])
+    assert [(i, n) for i, n, _ in got] == [(0, "GPL-3.0"), (1, "MIT"), (1, "CC-BY-4.0"), (1, "CC-BY-SA-4.0")]
+    assert [both[s:].startswith(("Released", "Licensed")) for i, _, s in got if i] == [True] * 3

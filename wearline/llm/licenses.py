@@ -55,9 +55,10 @@ TEMPLATES: Mapping[str, Sequence[str]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
-TRIGGER = r"(?i)licen[cs]e|permission is hereby|redistribution and use|public domain|copyleft"
-AROUND = 300  # characters of a block before and after a license word
+TRIGGER = r"(?i)licen[cs]e|permission\W+is\W+hereby|redistribution\W+and\W+use|public\W+domain|copyleft"
+AROUND = 600  # least characters of a block before and after a license word
 _FOUND = re.compile(TRIGGER[4:], re.IGNORECASE)
+_EMPTY_LINE = re.compile(r"\n[ \t\r]*\n")
 _WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -65,22 +66,25 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
+def blocks(text: str, reach: int = AROUND) -> Iterator[tuple[int, str]]:
     """(start, text) of the stretches around license words.
 
-    Each reaches ``AROUND`` characters to both sides but not past its line, plus the next line
-    if that is part of the sentence. Stretches that would overlap are cut where the next begins.
+    Each reaches ``reach`` characters to both sides of its license words, over line feeds but not
+    over empty lines. Stretches that touch are one.
     """
-    hits = [m.start() for m in _FOUND.finditer(text)]
-    end = 0
-    for k, hit in enumerate(hits):
-        line = text.rfind("\n", max(0, hit - AROUND), hit) + 1
-        start = max(line or hit - AROUND, end, 0)
-        if hit < end:
-            continue  # inside the stretch before
-        stop = text.find("\n", hit)
-        stop = len(text) if stop < 0 else stop
-        end = min(stop, hit + AROUND)
+    start = end = -1
+    for hit in _FOUND.finditer(text):
+        low, high = max(0, hit.start() - reach), min(len(text), hit.end() + reach)
+        for low in (m.end() for m in _EMPTY_LINE.finditer(text, low, hit.start())):
+            pass
+        gap = _EMPTY_LINE.search(text, hit.end(), high)
+        high = gap.start() if gap else high
+        if start >= 0 and low > end:
+            yield start, text[start:end]
+            start = low
+        start = low if start < 0 else start
+        end = max(end, high)
+    if start >= 0:
         yield start, text[start:end]
 
 
@@ -93,6 +97,8 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=3)
         self.templates = [(name, words(text)) for name, text in templates]
         self.counts = [Counter(want) for _, want in self.templates]
+        # Line feeds and comment marks stretch a notice.
+        self.reach = max([AROUND, *(2 * len(text) for _, text in templates)])
         self.given = [
             zstandard.ZstdCompressor(
                 level=3,
@@ -200,7 +206,7 @@ def scan_licenses(
             out = []
             for text in batch:
                 rows = []
-                for start, block in blocks(text.as_py() or ""):
+                for start, block in blocks(text.as_py() or "", known.reach):
                     for at, name, saved, missing, extra in known.statements(block, tried, allowed):
                         rows.append({"start": start + at, "license": name, "saved": saved, "missing": missing, "extra": extra})
                 out.append(rows)
