@@ -80,3 +80,11 @@ def test_shingles_are_those_of_the_words():
     sets = list(near.shingle_sets(pa.array(texts, pa.string()), 2))
     assert [len(s) for s in sets] == [len(shingles(t, 2)) for t in texts]
     assert set(sets[0]) == set(sets[1]) and not set(sets[2]) & set(sets[3])
+
+
+def test_narrow_marks_of_repeated_rows(spark):
+    rows = [(1, "a b c d e", "en", "a", 1), (1, "a b c d e", "en", "a", 1), (2, "a b c d x", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    nodes = spark.createDataFrame([(1,), (2,)], "node long")
+    got = {r["node"]: r["better"] for r in near._narrow(docs, near.Near(shingle=2))(nodes).collect()}
+    assert got == {1: 4 << 31 | 3, 2: 4 << 31 | 3}

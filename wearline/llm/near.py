@@ -214,6 +214,8 @@ def _narrow(docs: DataFrame, near: Near):
 
     def narrow(nodes: DataFrame) -> DataFrame:
         sets = full_sets(docs, nodes, near).select("node", F.explode("shingles").alias("shingle"))
+        # Repeated rows give their set again.
+        sets = sets.distinct()
         alone = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
         sizes = sets.groupBy("node").agg(F.count("*").alias("size"))
         alone = alone.where(F.col("n") == 1).groupBy(F.col("node").alias("of")).agg(F.count("*").alias("own"))
