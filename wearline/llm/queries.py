@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wearline.llm import language, licenses, lines, mixing, near, packing, quality, tokens, topk, toxicity
+from wearline.llm import (
+    interactions,
+    language,
+    licenses,
+    lines,
+    mixing,
+    near,
+    packing,
+    quality,
+    sharding,
+    tokens,
+    topk,
+    toxicity,
+    whitening,
+)
 from wearline.llm.shared import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,3 +256,103 @@ def deficit_packing(spark, sf_dir):
     return pieces.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+def _crc32_table(polynomial: int = 0xEDB88320) -> list[int]:
+    """What each byte value leaves of a reflected CRC of 32 bits."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (polynomial if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+SHARD_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+bytes AS (
+  SELECT doc_id, source, size,
+    list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: ('0x' || b)::BIGINT) AS b FROM docs),
+summed AS (
+  SELECT doc_id, source, size, xor(4294967295::BIGINT, list_reduce(b, lambda a, x:
+    xor(a >> 8, ({_crc32_table()})[(xor(a, x) & 255) + 1]::BIGINT), 4294967295::BIGINT)) AS crc FROM bytes),
+numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY doc_id, source, size, crc) - 1) // {sharding.TOGETHER} AS part FROM summed),
+drawn AS (
+  SELECT *, ('0x' || substr(md5('23:' || coalesce(doc_id::VARCHAR, '') || ':' || crc || ':' || part), 1, 12))::BIGINT AS u
+  FROM numbered),
+ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY source) AS n,
+    (('0x' || substr(md5('23:source:' || coalesce(source, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS shift,
+    row_number() OVER (PARTITION BY source ORDER BY u, doc_id NULLS FIRST, size, crc, part) - 1 AS r FROM drawn),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY (r + shift) / n::DOUBLE, u, doc_id NULLS FIRST, size, crc, part) - 1 AS place,
+    count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, place * 16 // total AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+  (place - (shard * total + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM cut"""
+
+
+@query("op11_stratified_interleaving", SHARD_SQL)
+def stratified_interleaving(spark, sf_dir):
+    placed = sharding.assign_shards(read_documents(spark, sf_dir), shards=16, carry=["doc_id"])
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc.doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+@query("op12_jacobi_davidson_whitening")
+def jacobi_davidson_whitening(spark, sf_dir):
+    white = whitening.whiten(read_documents(spark, sf_dir, "embeddings"), components=32)
+    entry = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "entry")
+    each = white.select("doc.vec_id", "n", "deviation", "identity_error", entry)
+    component = (F.col("place") + 1).alias("component")
+    return each.select(
+        "vec_id", component, "n", "deviation", "entry.whitened", "entry.explained", "identity_error"
+    )
+
+
+AUDIT_SQL = """
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+judged AS (
+  SELECT doc_id, part,
+    (len(w) < 200)::INTEGER + 2 * (100 * coalesce(len(list_distinct(w)), 0) < 50 * len(w))::INTEGER
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INTEGER
+    + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS mask
+  FROM docs),
+marks AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)::INTEGER) AS good, max(coalesce(toxic = 1, false)::INTEGER) AS toxic
+  FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, mask, count(*) AS docs, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM judged LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+letter(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+  FROM orders, range(1, 6) AS r(step)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(docs) FILTER (mask & (before + bit) = 0), 0) AS kept,
+    coalesce(sum(docs) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS removed,
+    coalesce(sum(docs) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS redundant,
+    coalesce(sum(docs) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted"""
+
+
+@query("op13_gray_code_audit", AUDIT_SQL)
+def gray_code_audit(spark, sf_dir):
+    return interactions.audit(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
