@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from wearline.operators import contracts, drift, iforest, rates, ranking, tiles
 from wearline.operators.tiles import Signals
+from wearline.session import materialize
 from wearline.sources import feed, sinks, tables
-from wearline.streaming import jobs
+from wearline.streaming import jobs, stores
 
 SIGNALS = Signals(("p",), ("on",))
 SCHEMA = "seq long, ts timestamp, dev string, p double, on double"
@@ -118,31 +119,130 @@ def test_dedupe(spark, tmp_path):
     assert spark.read.parquet(out).count() == 20
 
 
-def test_backfill(spark, source, tmp_path):
-    """Reports arrive in two files; after the second the truth covers both."""
-    reports = str(tmp_path / "reports")
-    rows = [("2024-01-01 01:00:00", "2024-01-01 01:20:00"), ("2024-01-01 05:00:00", "2024-01-01 05:10:00")]
-    schema = "start timestamp, end timestamp"
-    for a, b in rows:
-        one = pd.DataFrame({"start": [pd.Timestamp(a)], "end": [pd.Timestamp(b)]})
-        spark.createDataFrame(one, schema).coalesce(1).write.mode("append").parquet(reports)
+def test_open_tiles_in_update_mode(spark, source, tmp_path):
+    """Every batch replaces the tiles it touches; the last, open ones are there as well."""
+    served = stream(spark, source).withColumn("alert", F.col("p") > 1)
+    rates_ = jobs.stream_rates(served, lateness="1 minute", keys=["dev"])
+    for every in (2, 100):
+        sink = stores.KeyedSink(
+            str(tmp_path / f"tiles{every}"), rates_.schema, ["dev", "window_start"], every
+        )
+        jobs.run_batches(rates_, sink.write, str(tmp_path / f"check{every}"), mode="update")
+        want = rates.prediction_rates(batch(spark, source).withColumn("alert", F.col("p") > 1), keys=["dev"])
+        same(sink.read(spark), want)
+        merged = (tmp_path / f"tiles{every}" / "merged").exists()
+        assert merged == (every == 2)
+    sink.write(sink.read(spark).limit(0), 7)
+    assert sink.read(spark).count() == want.count()
+
+
+def test_repeated_batch_replaces_itself(spark, tmp_path):
+    sink = stores.KeyedSink(str(tmp_path / "t"), spark.range(0).selectExpr("id k", "id v").schema, ["k"], merge_every=2)
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long")
+    assert sink.read(spark).count() == 0
+    sink.write(rows((1, 1), (2, 1)), 0)
+    sink.write(rows((2, 2)), 1)
+    sink.write(rows((2, 2)), 1)
+    sink.write(rows((3, 3)), 2)
+    assert sorted(map(tuple, sink.read(spark).collect())) == [(1, 1), (2, 2), (3, 3)]
+
+
+REPORTS = [
+    ("2024-01-01 01:00:00", "2024-01-01 01:20:00"),
+    ("2024-01-01 05:00:00", "2024-01-01 05:10:00"),
+    ("2024-01-01 01:10:00", "2024-01-01 01:40:00"),
+    ("2024-01-01 03:00:00", "2024-01-01 02:59:00"),
+]
+
+
+def report(spark, a, b, dev="hot"):
+    frame = pd.DataFrame({"dev": [dev], "start": [pd.Timestamp(a)], "end": [pd.Timestamp(b)]})
+    return spark.createDataFrame(frame, "dev string, start timestamp, end timestamp")
+
+
+@pytest.mark.parametrize("keys, types", [((), ()), (("dev",), ("string",))])
+def test_truth_follows_reports(spark, source, tmp_path, keys, types):
+    """Overlapping reports in several batches; after each the counts equal a full recount."""
     stored = batch(spark, source).withColumnRenamed("p", "score")
-    out = str(tmp_path / "out")
-    sink = jobs.backfill_batches(lambda: stored, str(tmp_path / "seen"), out, 0.5, warn_hours=0.5)
-    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(reports)
-    jobs.run_batches(arriving, sink, str(tmp_path / "check"))
+    store = stores.TruthStore(str(tmp_path / "truth"), keys, 0.5, key_types=types)
+    store.add_predictions(stored.where("seq < 700"), 0)
+    seen = None
+    for i, span in enumerate(REPORTS):
+        one = report(spark, *span)
+        store.write(one, i)
+        store.write(one, i)  # a repeated batch changes nothing
+        if i == 2:
+            store.add_predictions(stored.where("seq >= 700"), 1)
+        seen = one if seen is None else seen.unionByName(one)
+        rows = stored if i >= 2 else stored.where("seq < 700")
+        want = ranking.backfill_performance(rows, seen, 0.5, warn_hours=0.5, keys=list(keys))
+        same(store.performance(spark, 0.5), want.drop("at"))
+
+
+def test_truth_without_reports_or_predictions(spark, source, tmp_path):
+    store = stores.TruthStore(str(tmp_path / "truth"), warn_hours=0.5)
+    store.write(report(spark, *REPORTS[0]), 0)
+    assert store.performance(spark, 0.5).first()["n"] == 0
+    store.add_predictions(batch(spark, source).withColumnRenamed("p", "score"), 0)
+    assert store.performance(spark, 0.5).first()["n_positives"] > 0
+
+
+def test_reports_read_only_their_days(spark, tmp_path, plan):
+    times = pd.date_range("2024-01-01", periods=400, freq="1h")
+    rows = spark.createDataFrame(pd.DataFrame({"ts": times, "score": np.arange(400.0)}))
+    store = stores.TruthStore(str(tmp_path / "truth"))
+    store.add_predictions(rows, 0)
+    store.write(report(spark, "2024-01-03 05:00:00", "2024-01-03 06:00:00"), 0)
+    assert store.performance(spark, 0.0).first()["n_positives"] == 4
+    days = spark.range(1).selectExpr("date'2024-01-03' day").where("day > date'2024-01-01'")
+    touched = store._predictions(spark).join(F.broadcast(days), "day", "left_semi")
+    assert "dynamicpruning" in plan(touched) or "PartitionFilters: [isnotnull(day" in plan(touched)
+
+
+def test_sequences_in_state(spark, source, tmp_path):
+    """Rows equal the batch form over four batches, and state outlives a restart."""
+    made = jobs.state_sequences(stream(spark, source), ["p", "on"], 3, keys=["dev"])
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    jobs.run_available(made, out, check)
+    jobs.run_available(made, out, check)
+    want = tiles.stack_sequences(batch(spark, source), ["p", "on"], 3, ["ts", "seq"], ["dev"])
     got = spark.read.parquet(out)
-    want = ranking.backfill_performance(stored, spark.read.schema(schema).parquet(reports), 0.5, warn_hours=0.5)
-    assert got.select("batch_id").distinct().count() == 2
-    same(got.where("batch_id = 1").drop("batch_id"), want)
+    assert got.where("late").count() == 0
+    as_text = F.array_join(F.transform("sequence", lambda v: v.cast("string")), ",").alias("s")
+    same(got.select("dev", "seq", as_text), want.select("dev", "seq", as_text))
+
+
+def test_late_and_expired_rows_in_state(spark, tmp_path):
+    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
+
+    def arrive(*rows):
+        data = [(s, pd.Timestamp(t), d, float(s), 0.0) for s, t, d in rows]
+        spark.createDataFrame(pd.DataFrame(data, columns=["seq", "ts", "dev", "p", "on"]), SCHEMA).write.mode("append").parquet(src)
+        made = jobs.state_sequences(stream(spark, src), ["p"], 2, keys=["dev"], expiry_hours=2.0)
+        jobs.run_available(made, out, check)
+
+    arrive((1, "2024-01-01 00:00", "a"), (2, "2024-01-01 00:10", "a"), (1, "2024-01-01 00:10", "b"))
+    arrive((3, "2024-01-01 00:05", "a"), (4, "2024-01-01 00:20", "a"))
+    arrive((5, "2024-01-01 05:00", "b"))
+    arrive((6, "2024-01-01 09:00", "b"))
+    arrive((7, "2024-01-01 09:10", "a"), (8, "2024-01-01 09:20", "a"))
+    rows = {(r["dev"], r["seq"]): (r["sequence"], r["late"]) for r in spark.read.parquet(out).collect()}
+    assert rows["a", 2] == ([1.0, 2.0], False) and rows["a", 3] == (None, True) and rows["a", 4] == ([2.0, 4.0], False)
+    assert ("a", 7) not in rows and rows["a", 8] == ([7.0, 8.0], False)
+    with pytest.raises(ValueError):
+        jobs.state_sequences(stream(spark, src), ["p"], 2, keys=[])
 
 
 def test_drift(spark, source, tmp_path):
     whole = batch(spark, source)
-    edges = drift.reference_edges(whole, ["p"])
+    counts = materialize(drift.sample_counts(whole, ["p"]))
+    edges = drift.edges_of_counts(counts, ["p"])
+    assert edges == drift.reference_edges(whole, ["p"])
+    halves = [drift.sample_counts(whole.where(f"seq % 2 = {i}"), ["p"]) for i in (0, 1)]
+    same(drift.merge_counts(*halves), counts)
     out = str(tmp_path / "out")
     shifted = stream(spark, source).withColumn("p", F.when(F.col("seq") < 600, F.col("p")).otherwise(F.col("p") + 5))
-    jobs.run_batches(shifted, jobs.drift_batches(whole, ["p"], edges, out), str(tmp_path / "check"))
+    jobs.run_batches(shifted, jobs.drift_batches(counts, ["p"], edges, out), str(tmp_path / "check"))
     flags = {r["batch_id"]: r["drift_detected"] for r in spark.read.parquet(out).collect()}
     assert flags[3] and not all(flags.values())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,10 @@ from wearline.operators.ordered import (
     ROWS_PER_BUCKET,
     count_values,
     exact_quantiles,
+    quantiles_of_counts,
     running,
 )
+from wearline.session import materialize
 
 # Verdict limits, floor of a bin's share.
 PSI_LIMIT = 0.2
@@ -44,11 +47,14 @@ def reference_edges(
     """Distinct reference quantiles per feature: at most ``bins + 1`` numbers each."""
     probs = [float(p) for p in np.linspace(0, 1, bins + 1)]
     values = pair_by_feature(reference, reference.limit(0), features)
-    rows = exact_quantiles(
-        values, "value", probs, ["feature"], rows_per_bucket=rows_per_bucket
-    ).collect()
+    rows = exact_quantiles(values, "value", probs, ["feature"], rows_per_bucket=rows_per_bucket)
+    return _edges(rows, features)
+
+
+def _edges(quantiles: DataFrame, features: Sequence[str]) -> dict[str, list[float]]:
+    """Distinct quantiles per feature, a few numbers each."""
     edges: dict[str, set[float]] = {f: set() for f in features}
-    for r in rows:
+    for r in quantiles.collect():
         edges[r["feature"]].add(r["quantile"])
     empty = [f for f, e in edges.items() if not e]
     if empty:
@@ -100,7 +106,11 @@ def psi(
         F.coalesce(F.sum(mine), F.lit(0)).alias("ref"),
         F.coalesce(F.sum(theirs), F.lit(0)).alias("cur"),
     )
-    # A feature has at most ``bins`` rows here.
+    return _index(per_bin, features, edges)
+
+
+def _index(per_bin: DataFrame, features: Sequence[str], edges: dict[str, list[float]]) -> DataFrame:
+    """The index from (feature, bin, ref, cur); a feature has at most as many rows as bins."""
     totals = per_bin.groupBy("feature").agg(
         F.sum("ref").alias("n_ref"),
         F.sum("cur").alias("n_cur"),
@@ -200,6 +210,11 @@ def ks_2samp(
     ref, cur = F.col("is_ref").cast("long"), (~F.col("is_ref")).cast("long")
     pairs = pair_by_feature(reference, current, features)
     counts = count_values(pairs, "value", ["feature"], ref=ref, cur=cur)
+    return _distance(counts, method, rows_per_bucket)
+
+
+def _distance(counts: DataFrame, method: str, rows_per_bucket: int) -> DataFrame:
+    """Distance and p-value from (feature, value, ref, cur)."""
     steps = running(
         counts,
         ["value"],
@@ -219,7 +234,29 @@ def ks_2samp(
     return found.select("feature", "ks_distance", p.alias("ks_pvalue"))
 
 
-def feature_drift(
+def sample_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """A sample as (feature, value, n): one scan, and mergeable by adding ``n`` (:func:`merge_counts`)."""
+    pairs = pair_by_feature(df, df.limit(0), features)
+    return count_values(pairs, "value", ["feature"])
+
+
+def merge_counts(*counts: DataFrame) -> DataFrame:
+    """The counts of all samples together."""
+    rows = reduce(DataFrame.unionByName, counts)
+    return rows.groupBy("feature", "value").agg(F.sum("n").alias("n"))
+
+
+def edges_of_counts(
+    counts: DataFrame, features: Sequence[str], bins: int = 10, *, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> dict[str, list[float]]:
+    """:func:`reference_edges` of a counted sample."""
+    probs = [float(p) for p in np.linspace(0, 1, bins + 1)]
+    wanted = counts.where(F.col("feature").isin(list(features)))
+    rows = quantiles_of_counts(wanted, "value", probs, ["feature"], rows_per_bucket=rows_per_bucket)
+    return _edges(rows, features)
+
+
+def drift_of_counts(
     reference: DataFrame,
     current: DataFrame,
     features: Sequence[str],
@@ -229,17 +266,59 @@ def feature_drift(
     edges: dict[str, list[float]] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Index, p-value and verdict per feature; one row for each, so the join is small."""
-    index = psi(
-        reference, current, features, bins=bins, edges=edges, rows_per_bucket=rows_per_bucket
+    """:func:`feature_drift` of two counted samples.
+
+    Both counts are merged and written once; edges, index and distance are read off that table.
+    """
+    if method not in ("exact", "series"):
+        raise ValueError(f"unknown method {method!r}")
+    none = F.lit(0).cast("long")
+    both = reference.select("feature", "value", F.col("n").alias("ref"), none.alias("cur")).unionByName(
+        current.select("feature", "value", none.alias("ref"), F.col("n").alias("cur"))
+    )
+    both = both.where(F.col("feature").isin(list(features)))
+    counts = materialize(
+        both.groupBy("feature", "value").agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    )
+    if edges is None:
+        seen = counts.where(F.col("ref") > 0).select("feature", "value", F.col("ref").alias("n"))
+        edges = edges_of_counts(seen, features, bins, rows_per_bucket=rows_per_bucket)
+    number = F.lit(None).cast("int")
+    for f in features:
+        number = F.when(F.col("feature") == f, _bin(F.col("value"), edges[f])).otherwise(number)
+    per_bin = counts.groupBy("feature", number.alias("bin")).agg(
+        F.sum("ref").alias("ref"), F.sum("cur").alias("cur")
     )
-    test = ks_2samp(reference, current, features, method=method, rows_per_bucket=rows_per_bucket)
+    index = _index(per_bin, features, edges)
+    test = _distance(counts, method, rows_per_bucket)
     verdict = (F.col("psi") > PSI_LIMIT) | (F.col("ks_pvalue") < KS_LIMIT)
     return index.join(F.broadcast(test), "feature").select(
         "feature", "psi", "ks_distance", "ks_pvalue", verdict.alias("drifted")
     )
 
 
+def feature_drift(
+    reference: DataFrame,
+    current: DataFrame,
+    features: Sequence[str],
+    *,
+    method: str = "series",
+    bins: int = 10,
+    edges: dict[str, list[float]] | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Index, p-value and verdict per feature, from one count of each sample."""
+    return drift_of_counts(
+        sample_counts(reference, features),
+        sample_counts(current, features),
+        features,
+        method=method,
+        bins=bins,
+        edges=edges,
+        rows_per_bucket=rows_per_bucket,
+    )
+
+
 def drift_verdict(per_feature: DataFrame) -> DataFrame:
     """One row: whether anything drifted, how many features and which."""
     names = F.sort_array(F.collect_list(F.when(F.col("drifted"), F.col("feature"))))

@@ -270,6 +270,19 @@ def exact_quantiles(
     return _pick(counts, probs, keys, rows_per_bucket)
 
 
+def quantiles_of_counts(
+    counted: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    keys: Sequence[str] = (),
+    *,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """:func:`exact_quantiles` of rows that are already counted, as (keys, value, n)."""
+    cells = counted.select(*keys, F.col(value).alias("_value"), F.lit(0).alias("_gap"), "n")
+    return _pick(cells.where(F.col("_value").isNotNull()), probs, list(keys), rows_per_bucket)
+
+
 def _count_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys, "_value", "_gap").agg(F.count("*").alias("n"))
 

@@ -10,10 +10,15 @@ from wearline.plans.catalogue.base import TELE, query, r6, with_
 
 _FEATURES = ["a1", "a2", "d1"]
 
-_LONG = f"""long AS (
+
+def _long(rows: str = "true") -> str:
+    return f"""long AS (
   SELECT f.feature, CASE f.feature WHEN 'a1' THEN a1 WHEN 'a2' THEN a2 ELSE d1 END AS value,
          ts < TIMESTAMP '{views.CURRENT_FROM}' AS is_ref
-  FROM tele, (VALUES ('a1'), ('a2'), ('d1')) f(feature))"""
+  FROM tele, (VALUES ('a1'), ('a2'), ('d1')) f(feature) WHERE {rows})"""
+
+
+_LONG = _long()
 _SIZES = """sizes AS (SELECT feature, sum(CASE WHEN is_ref THEN 1 ELSE 0 END) AS n_ref,
   sum(CASE WHEN is_ref THEN 0 ELSE 1 END) AS n_cur FROM long GROUP BY 1)"""
 _EDGES = "edges AS (" + "\nUNION ".join(
@@ -86,6 +91,13 @@ def _feature_drift(spark, sf):
     return _features(spark, sf).select("feature", r6("psi"), r6("ks_pvalue"), "drifted")
 
 
+def verdict_sql(rows: str) -> str:
+    """The verdict over the long rows that meet a condition."""
+    return with_(TELE, _long(rows), _SIZES, *_PSI_CTES, _KS, _VERDICT, _ROLLED) + (
+        "SELECT drift_detected, n_drifted FROM rolled"
+    )
+
+
 _ROLLED = """rolled AS (SELECT coalesce(bool_or(drifted), false) AS drift_detected,
   count(CASE WHEN drifted THEN 1 END) AS n_drifted,
   coalesce(string_agg(CASE WHEN drifted THEN feature END, ', ' ORDER BY feature), '') AS drifted_features FROM verdicts)"""

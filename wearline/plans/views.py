@@ -19,6 +19,7 @@ REPORTS = (
     ("2024-01-28 14:30:00", "2024-01-28 19:00:00"),
 )
 CURRENT_FROM = "2024-01-16 00:00:00"
+ARRIVALS = ("2024-01-09 00:00:00", CURRENT_FROM, "2024-01-24 00:00:00")
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -77,6 +78,17 @@ def tele_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_telemetry(files.parquet(sf_dir))
 
 
+def arrivals(spark: SparkSession, sf_dir: str, borders: tuple[str, ...] = ARRIVALS, overlap: str = "0 minutes") -> list[DataFrame]:
+    """Telemetry as it comes in, one table per arrival; each repeats the ``overlap`` before its border."""
+    rows = tele(spark, sf_dir)
+    since, until = [None, *borders], [*borders, None]
+    slices = []
+    for a, b in zip(since, until):
+        part = rows if a is None else rows.where(F.col("ts") >= F.to_timestamp(F.lit(a)) - F.expr(f"INTERVAL {overlap}"))
+        slices.append(part if b is None else part.where(F.col("ts") < F.to_timestamp(F.lit(b))))
+    return slices
+
+
 def tiles(spark: SparkSession, sf_dir: str, min_rows: int = 6) -> DataFrame:
     return window_features(tele(spark, sf_dir), SIGNALS, width="1 hour", min_rows=min_rows)
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wearline.operators.contracts import Check, is_valid
-from wearline.operators.drift import drift_verdict, feature_drift
+from wearline.operators.drift import drift_of_counts, drift_verdict, sample_counts
 from wearline.operators.iforest import Forest, predict
-from wearline.operators.ranking import backfill_performance
 from wearline.operators.rates import prediction_rates, score_histogram
 from wearline.operators.tiles import Signals, stack_sequences, window_features
+from wearline.streaming.stores import put
 
 BatchFunction = Callable[[DataFrame, int], None]
 
@@ -74,15 +77,6 @@ def stream_dedupe(
     return timed.dropDuplicatesWithinWatermark([*keys, ts])
 
 
-def _batch_path(path: str, batch: int) -> str:
-    """One folder per batch, so a repeated batch replaces its own output."""
-    return f"{path}/batch_id={batch}"
-
-
-def _put(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(_batch_path(path, batch))
-
-
 def validate_batches(contract: Sequence[Check], accepted: str, quarantined: str) -> BatchFunction:
     """Sink that writes rows in contract to one folder and all others to another."""
     ok = is_valid(contract)
@@ -90,42 +84,14 @@ def validate_batches(contract: Sequence[Check], accepted: str, quarantined: str)
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            _put(batch.where(ok), accepted, batch_id)
-            _put(batch.where(~ok), quarantined, batch_id)
+            put(batch.where(ok), accepted, batch_id)
+            put(batch.where(~ok), quarantined, batch_id)
         finally:
             batch.unpersist()
 
     return write
 
 
-def backfill_batches(
-    predictions: Callable[[], DataFrame],
-    reports_path: str,
-    out: str,
-    threshold: float | str,
-    *,
-    ts: str = "ts",
-    warn_hours: float = 2.0,
-    keys: Sequence[str] = (),
-) -> BatchFunction:
-    """Sink for failure reports: after each batch, truth over all reports received so far.
-
-    Reports come weeks after the predictions, too late for join state under a watermark, so
-    the stored prediction table is read instead.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _put(batch, reports_path, batch_id)
-        seen = spark.read.schema(batch.schema).parquet(reports_path)
-        truth = backfill_performance(
-            predictions(), seen, threshold, ts=ts, warn_hours=warn_hours, keys=keys
-        )
-        _put(truth, out, batch_id)
-
-    return write
-
-
 def drift_batches(
     reference: DataFrame,
     features: Sequence[str],
@@ -134,13 +100,18 @@ def drift_batches(
     *,
     method: str = "series",
 ) -> BatchFunction:
-    """Sink that compares each batch with the reference, on stored bin edges."""
+    """Sink that compares each batch with the reference's stored counts, on stored bin edges.
+
+    ``reference`` is a written table of :func:`sample_counts`; the reference's rows are not read again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.take(1):
             return
-        found = feature_drift(reference, batch, features, method=method, edges=edges)
-        _put(drift_verdict(found), out, batch_id)
+        found = drift_of_counts(
+            reference, sample_counts(batch, features), features, method=method, edges=edges
+        )
+        put(drift_verdict(found), out, batch_id)
 
     return write
 
@@ -165,23 +136,95 @@ def sequence_batches(
         fresh = batch.select(*keys, *order, *features).withColumn("_new", F.lit(True))
         rows = fresh
         if batch_id > 0 and k > 1:
-            kept = spark.read.schema(fresh.schema).parquet(_batch_path(tails, batch_id - 1))
+            kept = spark.read.schema(fresh.schema).parquet(f"{tails}/batch_id={batch_id - 1}")
             rows = fresh.unionByName(kept.withColumn("_new", F.lit(False)))
         rows = rows.persist()
         try:
             stacked = stack_sequences(rows, features, k, order, keys)
-            _put(stacked.where("_new").select(*keys, *order, "sequence"), out, batch_id)
+            put(stacked.where("_new").select(*keys, *order, "sequence"), out, batch_id)
             newest = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy(
                 *[F.desc(c) for c in order]
             )
             ranked = rows.withColumn("_rank", F.row_number().over(newest))
-            _put(ranked.where(F.col("_rank") <= max(k - 1, 1)).drop("_rank"), tails, batch_id)
+            put(ranked.where(F.col("_rank") <= max(k - 1, 1)).drop("_rank"), tails, batch_id)
         finally:
             rows.unpersist()
 
     return write
 
 
+def state_sequences(
+    stream: DataFrame,
+    features: Sequence[str],
+    k: int,
+    *,
+    keys: Sequence[str],
+    ts: str = "ts",
+    tie: str = "seq",
+    lateness: str = "1 hour",
+    expiry_hours: float = 24.0,
+) -> DataFrame:
+    """Row sequences with the last ``k - 1`` rows of every key held in state: ``sequence``, ``late``.
+
+    A row that is not after its key's newest row by (ts, tie) comes out at once, late and without a
+    sequence, and changes nothing. Rows behind the watermark are dropped, as by every event-time
+    operator. A key without rows for ``expiry_hours`` of event time is forgotten and starts anew. Rows
+    before a key's k-th are held only. State is k - 1 rows a key; one task holds a key's rows of a
+    batch, so size batches by the busiest key.
+    """
+    if k < 1 or not keys:
+        raise ValueError("k must be at least 1, and keys are needed")
+    width = len(features)
+    numbers = F.array(*[F.col(c).cast("double") for c in features])
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    rows = rows.select(*keys, ts, F.col(tie).cast("long").alias(tie), numbers.alias("_row"))
+    key_schema = "".join(f"{rows.schema[c].simpleString().replace(':', ' ')}, " for c in keys)
+    expiry = int(expiry_hours * 3_600_000)
+
+    def follow(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tail, last_at, last_tie = state.get if state.exists else ([], None, None)
+        tail = np.array(tail, float).reshape(-1, width)
+        frame = pd.concat(list(chunks), ignore_index=True).sort_values([ts, tie], ignore_index=True)
+        at = frame[ts].astype("datetime64[us]").astype("int64").to_numpy()
+        place = frame[tie].to_numpy()
+        late = np.zeros(len(frame), bool)
+        if last_at is not None:
+            late = (at < last_at) | ((at == last_at) & (place <= last_tie))
+        fresh = frame[~late]
+        if len(fresh):
+            values = np.vstack([tail, np.stack([np.array(r, float) for r in fresh["_row"]])])
+            first = len(tail)
+            found = [values[max(0, i - k + 1) : i + 1] for i in range(first, len(values))]
+            full = np.array([len(f) == k for f in found])
+            out = fresh[full]
+            yield _sequence_frame(key, out, [f.ravel() for f in found if len(f) == k], False)
+            kept = values[len(values) - min(k - 1, len(values)) :]
+            last_at, last_tie = int(at[~late][-1]), int(place[~late][-1])
+            state.update((kept.ravel().tolist(), last_at, last_tie))
+        if late.any():
+            yield _sequence_frame(key, frame[late], None, True)
+        if state.exists:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last_at // 1000) + expiry)
+
+    def _sequence_frame(key, frame: pd.DataFrame, sequences, late: bool) -> pd.DataFrame:
+        out = pd.DataFrame({c: [v] * len(frame) for c, v in zip(keys, key)})
+        out[ts], out[tie] = frame[ts].to_numpy(), frame[tie].to_numpy()
+        out["sequence"] = sequences if sequences is not None else [None] * len(frame)
+        out["late"] = late
+        return out
+
+    return rows.groupBy(*keys).applyInPandasWithState(
+        follow,
+        f"{key_schema}{ts} timestamp, {tie} long, sequence array<double>, late boolean",
+        "tail array<double>, last_at long, last_tie long",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def run_available(df: DataFrame, out: str, checkpoint: str, *, mode: str = "append") -> None:
     """Process everything that is there into parquet files, then stop."""
     query = (
