@@ -211,3 +211,47 @@ def test_stratified_split_is_exact_and_stable(spark):
     assert set(r["id"] for r in first.where("is_test").collect()) == set(
         r["id"] for r in second.where("is_test").collect()
     )
+
+
+def test_swept_labels_equal_the_slot_join(spark, monkeypatch):
+    """Small ranges, overlapping reports, rows at borders, without time or key, and repeated rows."""
+    rng = np.random.default_rng(5)
+    start = pd.Timestamp("2024-01-01")
+    n = 600
+    rows = pd.DataFrame(
+        {
+            "dev": rng.choice(["a", "b", None], n),
+            "window_start": [start + pd.Timedelta(minutes=int(m)) for m in rng.integers(0, 400, n)],
+            "tags": [["x"]] * n,
+        }
+    )
+    begins = [start + pd.Timedelta(minutes=int(m)) for m in rng.integers(0, 400, 25)]
+    spans = [b + pd.Timedelta(minutes=int(m)) for b, m in zip(begins, rng.integers(-5, 30, 25))]
+    events = spark.createDataFrame(
+        pd.DataFrame({"dev": rng.choice(["a", "b", None], 25), "start": begins, "end": spans})
+    )
+    df = spark.createDataFrame(rows).unionByName(
+        spark.sql("select 'a' dev, cast(null as timestamp) window_start, array('y') tags")
+    )
+    for keys in ([], ["dev"]):
+        for active in (True, False):
+            options = dict(warn_hours=0.1, active=active, keys=keys)
+            one, two = (
+                lb.interval_labels(df, events, sweep=s, rows_per_bucket=20, **options)
+                .groupBy("dev", "window_start", "label").count().toPandas()
+                .sort_values(["dev", "window_start", "label"], ignore_index=True)
+                for s in (True, False)
+            )
+            pd.testing.assert_frame_equal(one, two)
+    assert lb.interval_labels(df, events.limit(0), sweep=True).where("label <> 0").count() == 0
+
+
+def test_sweep_spreads_one_instant_over_ranges(spark, monkeypatch):
+    laid = []
+    arrange = lb.arrange
+    monkeypatch.setattr(lb, "arrange", lambda *a, **k: laid.append(arrange(*a, **k)) or laid[-1])
+    rows = spark.range(20_000).selectExpr("id", "timestamp'2024-01-01 00:05:00' window_start")
+    out = lb.interval_labels(rows, lb.events_frame(spark, EVENT), sweep=True, rows_per_bucket=2000)
+    assert out.count() == 20_000
+    sizes = sorted(r["count"] for r in laid[-1].frame.groupBy("_range").count().collect())
+    assert len(sizes) >= 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]

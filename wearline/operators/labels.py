@@ -95,22 +95,33 @@ def interval_labels(
     keys: Sequence[str] = (),
     name: str = "label",
     slot_hours: float = 24.0,
+    sweep: bool | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """1 in the lead-in ``[start - warn, start)``; inside a failure 1, or -1 unless ``active``.
 
-    An equi join on (keys, time slot) with the segment bounds as residual condition: a hash
-    lookup per row when the segments are few, a shuffle join split by time otherwise.
+    With segments few enough to broadcast (or ``sweep`` False), an equi join on (keys, time slot) with the
+    segment bounds as residual condition, a hash lookup per row. Otherwise (or ``sweep`` True) rows and segment borders
+    are laid out together by time, and the label in force is carried from border to row and over
+    ranges, so that neither a key nor a day with most of the rows meets in one task.
     """
     keys = list(keys)
     width = int(slot_hours * MICROS_PER_HOUR)
     warn = int(round(warn_hours * MICROS_PER_HOUR))
-    n, slots = _extent(events, _micros("start") - warn, _micros("end"), width)
     segments = label_segments(
         events,
         warn_hours=warn_hours,
         active=active,
         keys=keys,
     )
+    small = False
+    if sweep is None:
+        n, slots = _extent(events, _micros("start") - warn, _micros("end"), width)
+        # An event adds at most three segment borders, each of which repeats one slot.
+        small = slots + 3 * n <= MAX_BROADCAST_ROWS
+        sweep = not small
+    if sweep:
+        return _swept_labels(df, segments, ts, keys, name, rows_per_bucket)
     slotted = segments.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("from").alias("_from"),
@@ -128,11 +139,52 @@ def interval_labels(
     )
     for k in keys:
         match = match & (F.col(k) == F.col(f"_k_{k}"))
-    # An event adds at most three segment borders, each of which repeats one slot.
-    joined = timed.join(_small(slotted, slots + 3 * n), match, "left")
+    joined = timed.join(F.broadcast(slotted) if small else slotted, match, "left")
     return joined.select(*df.columns, F.coalesce("_label", F.lit(0)).cast("int").alias(name))
 
 
+def _swept_labels(
+    df: DataFrame, segments: DataFrame, ts: str, keys: Sequence[str], name: str, rows_per_bucket: int
+) -> DataFrame:
+    """Labels as the running sum of the steps at segment borders, which come before rows of their time.
+
+    Segments are disjoint per key, so the sum is the label in force. Equal times are spread by a hash of
+    the row; rows without time or key have label 0.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    plain = [c for c, t in df.dtypes if not t.startswith(("map", "array", "struct"))]
+    timed = df.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        _micros(ts).alias("_at"),
+        F.lit(1).alias("_kind"),
+        F.xxhash64(*plain).alias("_tie"),
+        F.lit(0).alias("_step"),
+        row.alias("_row"),
+    )
+    steps = F.array(
+        F.struct(F.col("from").alias("_at"), F.col("label").alias("_step")),
+        F.struct(F.col("to").alias("_at"), (-F.col("label")).alias("_step")),
+    )
+    borders = segments.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.inline(steps))
+    for k in keys:
+        borders = borders.where(F.col(f"_k_{k}").isNotNull())
+    borders = borders.select(
+        *[f"_k_{k}" for k in keys],
+        "_at",
+        F.lit(0).alias("_kind"),
+        F.lit(0).cast("long").alias("_tie"),
+        "_step",
+        F.lit(None).cast(timed.schema["_row"].dataType).alias("_row"),
+    )
+    order = ["_at", "_kind", "_tie"]
+    laid = arrange(
+        timed.unionByName(borders), order, [f"_k_{k}" for k in keys], rows_per_bucket=rows_per_bucket
+    )
+    found = add_running(laid, {"_label": ("sum", "_step")}).plain().where(F.col("_kind") == 1)
+    label = F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.coalesce("_label", F.lit(0)))
+    return found.select("_row.*", label.cast("int").alias(name))
+
+
 def drop_sentinel(df: DataFrame, label: str = "label") -> DataFrame:
     return df.where(F.col(label) != DROP)
 

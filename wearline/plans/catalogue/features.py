@@ -11,6 +11,7 @@ from wearline.plans.catalogue.base import (
     DEVICE_REPORTS,
     FEATURES,
     HOUR_US,
+    ORACLES,
     REPORTS,
     ROUNDED,
     SCORED,
@@ -115,6 +116,44 @@ def _interval_labels_fleet(spark, sf):
     return out.select("seq", big("label"))
 
 
+@query("interval_labels_fleet_swept", ORACLES["interval_labels_fleet"])
+def _interval_labels_fleet_swept(spark, sf):
+    out = labels.interval_labels(
+        views.tele(spark, sf),
+        views.device_reports(spark, sf),
+        ts="ts",
+        warn_hours=6,
+        active=False,
+        keys=["device"],
+        sweep=True,
+        rows_per_bucket=500,
+    )
+    return out.select("seq", big("label"))
+
+
+_ONE_DAY = """one_day AS (SELECT seq, TIMESTAMP '2024-01-01' + (ts - date_trunc('day', ts)) AS moment FROM tele),
+day_reports AS (SELECT moment AS s, moment + to_minutes(CAST(a2 AS INTEGER)) AS e FROM one_day JOIN tele USING (seq)
+  WHERE d1 = 1 AND a1 > 220)"""
+
+
+@query(
+    "interval_labels_one_day",
+    with_(TELE, _ONE_DAY)
+    + f"SELECT seq, CAST({_label_sql('one_day', 'one_day.moment', 'day_reports', 0.05, -1)} AS BIGINT) AS label FROM one_day",
+)
+def _interval_labels_one_day(spark, sf):
+    """All rows on one day and no key: rows and borders swept together."""
+    rows = views.tele(spark, sf)
+    at = F.timestamp_micros(F.unix_micros(F.to_timestamp(F.lit("2024-01-01"))) + F.pmod(F.unix_micros("ts"), F.lit(86_400_000_000)))
+    rows = rows.withColumn("ts", at)
+    ends = F.col("ts") + F.make_dt_interval(mins=F.col("a2").cast("int"))
+    reports = rows.where((F.col("d1") == 1) & (F.col("a1") > 220)).select(F.col("ts").alias("start"), ends.alias("end"))
+    out = labels.interval_labels(
+        rows, reports, ts="ts", warn_hours=0.05, active=False, sweep=True, rows_per_bucket=500
+    )
+    return out.select("seq", big("label"))
+
+
 def _lead(reports: str, key: str, match: str, at: str = "h.ts", hits: str = "hits") -> str:
     return f"""SELECT {key}{sql_clock('r.s')} AS start, {sql_clock('r.e')} AS "end",
   round(max(CASE WHEN {at} >= r.s - INTERVAL 48 HOUR AND {at} < r.s
