@@ -139,7 +139,7 @@ day_reports AS (SELECT moment AS s, moment + to_minutes(CAST(a2 AS INTEGER)) AS
 @query(
     "interval_labels_one_day",
     with_(TELE, _ONE_DAY)
-    + f"SELECT seq, CAST({_label_sql('one_day', 'one_day.moment', 'day_reports', 0.05, -1)} AS BIGINT) AS label FROM one_day",
+    + f"SELECT seq, CAST({_label_sql('one_day', 'one_day.moment', 'day_reports', 3, -1).replace('HOUR', 'MINUTE')} AS BIGINT) AS label FROM one_day",
 )
 def _interval_labels_one_day(spark, sf):
     """All rows on one day and no key: rows and borders swept together."""
