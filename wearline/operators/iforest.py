@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
@@ -9,7 +10,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from wearline.operators.ordered import exact_quantiles
 from wearline.session import materialize
@@ -18,6 +19,7 @@ SAMPLE = 256
 TREES = 300
 CONTAMINATION = 0.02
 _SLACK = 1.6
+_SPAN = float(2**52)
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, path double"
 
@@ -59,13 +61,13 @@ def tree_samples(
 ) -> DataFrame:
     """At most ``sample`` rows for each tree as (tree, point), drawn by seeded hashes.
 
-    The draw depends on a row's identity, not on partitioning. Each row gets a few chances to be
+    The draw depends on the text of a row's identity, not on partitioning or engine. Each row gets a few chances to be
     thrown into some tree, about ``trees * sample`` in all, so most rows of a large table are
     dropped by one hash comparison and never shuffled. A row's chances go to different trees, until
     every tree has had one. Without ``ident`` equal rows are counted first and have the chances
     of all their copies together, so a value weighs as often as it occurs.
     """
-    who = F.xxhash64(*[F.col(c) for c in (ident or df.columns)])
+    who = digest(*[_as_text(df, c) for c in (ident or df.columns)])
     point = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
     rows = df.select(who.alias("who"), point.alias("point"))
     if ident:
@@ -76,42 +78,69 @@ def tree_samples(
     expected = F.col("copies") * F.lit(served)
     chances = F.ceil(expected)
     thrown = rows.withColumn("chance", F.explode(F.sequence(F.lit(1).cast("long"), chances)))
-    luck = F.pmod(F.xxhash64("who", "chance", F.lit(seed)), F.lit(2**32)) / F.lit(float(2**32))
+    luck = digest("who", "chance", F.lit(seed)) / F.lit(_SPAN)
     thrown = thrown.where(luck < expected / chances)
     # Steps prime to the number of trees visit all of them before one comes again.
     steps = F.array(*[F.lit(k) for k in range(1, trees + 1) if math.gcd(k, trees) == 1])
-    start, step = F.xxhash64("who", F.lit(seed + 1)), F.xxhash64("who", F.lit(seed + 3))
+    start, step = digest("who", F.lit(seed + 1)), digest("who", F.lit(seed + 3))
     chosen = F.element_at(steps, (F.pmod(step, F.size(steps)) + 1).cast("int"))
     tree = F.pmod(F.pmod(start, F.lit(trees)) + F.col("chance") * chosen, F.lit(trees))
     thrown = thrown.withColumn("tree", tree.cast("int"))
-    drawn = thrown.withColumn("draw", F.xxhash64("who", "chance", F.lit(seed + 2)))
+    drawn = thrown.withColumn("draw", digest("who", "chance", F.lit(seed + 2)))
     order = Window.partitionBy("tree").orderBy("draw", "who", "chance")
     # The rank limit also runs before the shuffle, so a tree never receives many more rows.
     ranked = drawn.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= sample).select("tree", "rank", "point")
 
 
-def _grow(points: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple]:
-    """Rows (node, feature, cut, left, right, path) of one tree; leaves have feature -1."""
+def digest(*parts: str | Column) -> Column:
+    """52 bits of the MD5 digest of the parts as text, the same in any engine; null is empty."""
+    texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, 13), 16, 10).cast("long")
+
+
+def _as_text(df: DataFrame, name: str) -> Column:
+    """A column as text; times as microseconds."""
+    timed = isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType))
+    return F.unix_micros(F.col(name).cast("timestamp")) if timed else F.col(name)
+
+
+def depth_limit(sample: int) -> int:
+    """The depth of a balanced tree over the sample."""
+    return max(1, (sample - 1).bit_length())
+
+
+def _chance(*parts: object) -> int:
+    """:func:`digest` of plain values."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+
+def _grow(points: np.ndarray, depth: int, seed: int, tree: int) -> list[tuple]:
+    """Rows (node, feature, cut, left, right, path) of one tree; leaves have feature -1.
+
+    A node's choices follow from the digest of its place in the tree: 1 at the root, 2p and 2p + 1 below p.
+    """
     rows: list[tuple] = []
-    waiting = [(0, np.arange(len(points)), 0)]
+    waiting = [(0, 1, np.arange(len(points)), 0)]
     used = 1
     while waiting:
-        node, members, level = waiting.pop()
+        node, place, members, level = waiting.pop()
         low, high = points[members].min(axis=0), points[members].max(axis=0)
         varied = np.flatnonzero(high > low)
         if level == depth or len(members) < 2 or not len(varied):
             rows.append((node, -1, 0.0, node, node, level + float(mean_path(len(members)))))
             continue
-        feature = int(rng.choice(varied))
+        feature = int(varied[_chance(seed, tree, place, "feature") % len(varied)])
+        share = _chance(seed, tree, place, "cut") / _SPAN
+        cut = float(low[feature] + share * (high[feature] - low[feature]))
         # Below the maximum, so that both sides get rows.
-        cut = float(min(rng.uniform(low[feature], high[feature]), np.nextafter(high[feature], -np.inf)))
+        cut = float(low[feature]) if cut >= high[feature] else cut
         goes_left = points[members, feature] <= cut
         left, right = used, used + 1
         used += 2
         rows.append((node, feature, cut, left, right, 0.0))
-        waiting.append((left, members[goes_left], level + 1))
-        waiting.append((right, members[~goes_left], level + 1))
+        waiting.append((left, 2 * place, members[goes_left], level + 1))
+        waiting.append((right, 2 * place + 1, members[~goes_left], level + 1))
     return rows
 
 
@@ -119,8 +148,7 @@ def _tree_builder(sample: int, seed: int):
     def build(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         points = np.stack(frame.sort_values("rank")["point"].to_numpy())
-        depth = max(1, math.ceil(math.log2(sample)))
-        rows = _grow(points, depth, np.random.default_rng([seed, tree]))
+        rows = _grow(points, depth_limit(sample), seed, tree)
         out = pd.DataFrame(rows, columns=["node", "feature", "cut", "left", "right", "path"])
         out.insert(0, "tree", tree)
         return out
@@ -135,11 +163,11 @@ def fit_iforest(
     ident: Sequence[str] = (),
     trees: int = TREES,
     sample: int = SAMPLE,
-    contamination: float = CONTAMINATION,
+    contamination: float | None = CONTAMINATION,
     seed: int = 42,
     version: str = "",
 ) -> Forest:
-    """Fit on (healthy) rows without labels.
+    """Fit on (healthy) rows without labels. Without ``contamination`` scores stay raw.
 
     ``ident`` names columns that identify a row, which saves counting equal rows. A group is one
     tree's sample, so trees grow in parallel in bounded memory. Scaling the columns would
@@ -159,7 +187,7 @@ def fit_iforest(
     # At most trees * (2 * sample - 1) rows.
     nodes = built.toPandas().sort_values(["tree", "node"], ignore_index=True)
     forest = Forest(nodes, tuple(columns), size, version=version)
-    return with_offset(forest, df, contamination)
+    return forest if contamination is None else with_offset(forest, df, contamination)
 
 
 def with_offset(forest: Forest, training: DataFrame, contamination: float) -> Forest:
@@ -199,7 +227,7 @@ def anomaly(
     level of one tree at a time, in chunks that fit the CPU cache.
     """
     sizes = sorted(sizes or [len(trees)])
-    depth = max(1, math.ceil(math.log2(sample))) if sample > 1 else 1
+    depth = depth_limit(sample)
     expected = max(float(mean_path(sample)), 1e-12)
     out = np.empty((len(points), len(sizes)))
     for start in range(0, len(points), 2048):

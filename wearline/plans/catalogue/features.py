@@ -154,7 +154,7 @@ def _interval_labels_one_day(spark, sf):
     return out.select("seq", big("label"))
 
 
-def _lead(reports: str, key: str, match: str, at: str = "h.ts", hits: str = "hits") -> str:
+def lead_sql(reports: str, key: str, match: str, at: str = "h.ts", hits: str = "hits") -> str:
     return f"""SELECT {key}{sql_clock('r.s')} AS start, {sql_clock('r.e')} AS "end",
   round(max(CASE WHEN {at} >= r.s - INTERVAL 48 HOUR AND {at} < r.s
                  THEN (epoch_us(r.s) - epoch_us({at})) / {HOUR_US}.0::DOUBLE END), 6) AS lead_hours,
@@ -166,7 +166,7 @@ GROUP BY {key}r.s, r.e"""
 @query(
     "lead_times",
     with_(TELE, TILES, REPORTS, "hits AS (SELECT ws AS ts FROM tiles WHERE a1_max >= 230)")
-    + _lead("reports", "", "true"),
+    + lead_sql("reports", "", "true"),
 )
 def _lead_times(spark, sf):
     out = labels.lead_times(views.tiles(spark, sf), views.reports(spark), 230.0, score="a1_max")
@@ -176,7 +176,7 @@ def _lead_times(spark, sf):
 @query(
     "lead_times_fleet",
     with_(TELE, DEVICE_REPORTS, "hits AS (SELECT device, ts FROM tele WHERE a1 >= 100)")
-    + _lead("device_reports", "r.device, ", "h.device = r.device"),
+    + lead_sql("device_reports", "r.device, ", "h.device = r.device"),
 )
 def _lead_times_fleet(spark, sf):
     out = labels.lead_times(

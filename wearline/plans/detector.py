@@ -64,19 +64,25 @@ def evaluate_detector(
     seed: int = 42,
     version: str = "",
 ) -> DetectorReport:
-    """Fit without labels, score everything once, then measure against the reports."""
+    """Fit without labels, score everything once, then measure against the reports.
+
+    The offset comes from the same scores, so training rows are not scored twice.
+    """
     marked = materialize(mark_healthy(tiles.select(*keys, ts, *features), events, ts=ts, keys=keys))
     calm = marked.where("healthy")
     forest = fit_iforest(
-        calm, features, ident=[*keys, ts], trees=trees, contamination=contamination, seed=seed, version=version
+        calm, features, ident=[*keys, ts], trees=trees, contamination=None, seed=seed, version=version
     )
     labelled = interval_labels(
         marked, events, ts=ts, warn_hours=warn_hours, active=True, keys=keys, name="y"
     )
-    scored = materialize(score_iforest(labelled, forest).select(*keys, ts, "healthy", "y", "score"))
-    limit = exact_quantiles(scored.where("healthy"), "score", [quantile]).first()["quantile"]
+    raw = materialize(score_iforest(labelled, forest).select(*keys, ts, "healthy", "y", "score"))
+    marks = exact_quantiles(raw.where("healthy"), "score", [1.0 - contamination, quantile]).collect()
+    offset = next(r["quantile"] for r in marks if r["prob"] == 1.0 - contamination)
+    limit = next(r["quantile"] for r in marks if r["prob"] == quantile) - offset
+    scored = raw.withColumn("score", F.col("score") - F.lit(float(offset)))
     return DetectorReport(
-        replace(forest, threshold=float(limit)),
+        replace(forest, offset=float(offset), threshold=float(limit)),
         _metrics(scored, "score", float(limit)),
         lead_times(
             scored, events, float(limit), ts=ts, lookback_hours=lookback_hours, keys=keys
@@ -100,7 +106,7 @@ def ensemble_sweep(
     """Ranking quality by number of trees. One fit and one scoring pass serve all sizes."""
     marked = materialize(mark_healthy(tiles.select(*keys, ts, *features), events, ts=ts, keys=keys))
     calm = marked.where("healthy")
-    forest = fit_iforest(calm, features, ident=[*keys, ts], trees=max(sizes), seed=seed)
+    forest = fit_iforest(calm, features, ident=[*keys, ts], trees=max(sizes), contamination=None, seed=seed)
     labelled = interval_labels(marked, events, ts=ts, warn_hours=warn_hours, keys=keys, name="y")
     scored = materialize(
         score_with_prefixes(labelled, forest, sizes).select(
