@@ -1,4 +1,5 @@
 from dataclasses import replace
+from datetime import datetime, timezone
 from functools import partial
 
 import numpy as np
@@ -11,6 +12,9 @@ from wearline.operators import supervised as sv
 from wearline.operators.labels import events_frame
 from wearline.operators.tiles import stack_sequences
 from wearline.plans import crossval, detector, fleet, marts, retrain
+from wearline.sources import models
+from wearline.sources.claims import claim
+from wearline.sources.models import ModelStore
 
 FEATURES = ["a", "b", "c"]
 
@@ -197,6 +201,106 @@ def test_temporal_cv(spark):
         crossval.temporal_cv(quiet, FEATURES, ["t"], None)
 
 
+PRICED = """
+WITH cuts AS (SELECT fold, score AS t FROM train GROUP BY ALL UNION ALL SELECT fold, max(score) + 1 FROM train GROUP BY 1),
+priced AS (SELECT c.fold, t, sum(CASE WHEN score >= t THEN 200 WHEN y = 1 THEN 3000 ELSE 0 END) AS cost
+  FROM cuts c JOIN train s ON s.fold = c.fold GROUP BY 1, 2),
+best AS (SELECT fold, t FROM priced QUALIFY row_number() OVER (PARTITION BY fold ORDER BY cost, t DESC) = 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY row_index) - 1 AS i FROM test),
+calendar AS (SELECT fold, d, sum(CASE WHEN i % (d * 12) = 0 THEN 200 WHEN y = 1 THEN 3000 ELSE 0 END) AS cost
+  FROM numbered, (VALUES (1), (3), (7), (14)) v(d) GROUP BY 1, 2),
+model AS (SELECT fold, t, sum(CASE WHEN score >= t THEN 200 WHEN y = 1 THEN 3000 ELSE 0 END) AS cost,
+  sum((score >= t AND y = 1)::INTEGER) AS tp, sum((score >= t)::INTEGER) AS alerts, sum(y) AS positives
+  FROM test JOIN best USING (fold) GROUP BY 1, 2),
+pairs AS (SELECT a.fold, avg(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc
+  FROM test a JOIN test b ON a.fold = b.fold AND a.y = 1 AND b.y = 0 GROUP BY 1)
+SELECT fold, t AS threshold, auc AS roc_auc, m.cost AS model_cost, s.cost AS schedule_cost,
+  (s.cost - m.cost) / s.cost AS roi_vs_schedule, coalesce(tp / nullif(alerts, 0), 0) AS precision, tp / positives AS recall
+FROM model m JOIN pairs USING (fold) JOIN (SELECT fold, min(cost) AS cost FROM calendar GROUP BY 1) s USING (fold) ORDER BY fold"""
+
+
+@pytest.mark.parametrize(
+    "fit",
+    [partial(sv.fit_gbt, features=FEATURES, rounds=3, depth=3), partial(sv.fit_mlp, features=FEATURES, hidden=(6,), order="row_index")],
+)
+def test_folds_priced_by_sql_on_stored_scores(spark, fit):
+    import duckdb
+
+    folds = crossval.scored_folds(labelled(spark), FEATURES, ["t"], fit, n_splits=3, embargo=4)
+    con = duckdb.connect()
+    for side in (1, 2):
+        rows = pd.concat([f[side].toPandas().assign(fold=f[0]) for f in folds])
+        con.register("train" if side == 1 else "test", rows)
+    want = con.execute(PRICED).df()
+    got = crossval.judge_folds(folds, windows_per_day=12.0).orderBy("fold").toPandas()
+    for c in want.columns:
+        assert np.allclose(got[c].astype(float), want[c].astype(float)), c
+
+
+def test_sequence_cv(spark):
+    out = crossval.sequence_cv(
+        labelled(spark), FEATURES, ["t"], k=3, n_splits=3, embargo=4, windows_per_day=12.0,
+        fit=partial(sv.fit_mlp, hidden=(8,)),
+    ).orderBy("fold").collect()
+    assert [r["fold"] for r in out] == [0, 1, 2] and {r["model"] for r in out} == {"network"}
+    assert np.mean([r["roc_auc"] for r in out]) > 0.75
+
+
+def test_network_stops_early(spark, monkeypatch):
+    losses = iter([0.5, 0.4, 0.45, 0.44, 0.1])
+    kept = []
+    monkeypatch.setattr(sv, "_log_loss", lambda model, rows, y: kept.append((model, rows.count())) or next(losses))
+    rows = labelled(spark).withColumn("row_index", F.col("t"))
+    found = sv.fit_mlp(rows, FEATURES, hidden=(4,), every=5, order="row_index")
+    assert len(kept) == 4 and found.model is kept[1][0]
+    assert kept[0][1] == round(0.1 * rows.count())
+
+
+@pytest.mark.parametrize(
+    "fit",
+    [partial(sv.fit_forest, trees=5, depth=3), partial(sv.fit_gbt, rounds=2, depth=2), partial(sv.fit_mlp, hidden=(4,), iterations=10)],
+)
+def test_stored_scorers_score_alike(spark, tmp_path, fit):
+    df = labelled(spark)
+    scorer = fit(df, FEATURES)
+    store = ModelStore(spark, str(tmp_path / "store"))
+    version = store.save(scorer, metrics={"roc_auc": 0.9}, at=datetime(2024, 5, 1, 12, 30, tzinfo=timezone.utc))
+    assert version == f"{scorer.kind}-20240501-123000"
+    back = store.load(version)
+    a, b = (s(df).orderBy("t").toPandas()["score"] for s in (scorer, back))
+    assert np.array_equal(a, b) and back.features == scorer.features
+    with pytest.raises(ValueError, match="exists"):
+        store.save(scorer, version)
+    row = store.versions().first()
+    assert (row["version"], row["metrics"]["roc_auc"], row["trained_at"][:10]) == (version, 0.9, "2024-05-01")
+
+
+def test_missing_and_half_written_models(spark, tmp_path, fitted, monkeypatch):
+    _, df, forest = fitted
+    store = ModelStore(spark, str(tmp_path / "store"))
+    assert store.versions().count() == 0
+    with pytest.raises(FileNotFoundError, match="no committed"):
+        store.load("v1")
+    monkeypatch.setattr(models, "claim", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        store.save(forest, "v1")
+    monkeypatch.undo()
+    with pytest.raises(FileNotFoundError, match="no committed"):
+        store.load("v1")
+    store.save(forest, "v1")
+    assert store.load("v1").version == "v1"
+    monkeypatch.setattr(models, "exists", lambda *a: False)
+    with pytest.raises(ValueError, match="another writer"):
+        store.save(forest, "v1")
+    monkeypatch.undo()
+    scorer = sv.fit_forest(labelled(spark), FEATURES, trees=2, depth=2)
+    store.save(scorer, "v2")
+    for part in (tmp_path / "store" / "models").glob("v2-*"):
+        (part / "metadata").rename(part / "gone")
+    with pytest.raises(FileNotFoundError, match="not whole"):
+        store.load("v2")
+
+
 def fleet_table(spark, n=1500):
     rng = np.random.default_rng(6)
     model = rng.choice(["m1", "m2", "m3"], n)
@@ -266,3 +370,46 @@ def test_retrain_loop(spark, tmp_path):
     assert actions == [
         (0, "register", "v1"), (1, "promote", "v1"), (2, "register", "v2"), (3, "register", "v3"), (4, "promote", "v3"),
     ]
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    registry = retrain.Registry(spark, str(tmp_path / "registry"))
+    registry.create()
+    entry = [{"action": "register", "version": "v1", "at": "t"}]
+    seen = registry.next_seq("m")
+    registry.append("m", entry, seen)
+    with pytest.raises(retrain.Refused):
+        registry.append("m", [{"action": "register", "version": "v2"}], seen)
+    registry.append("other/model", entry, 0)
+    # A writer that claimed its number and died holds it until it is released.
+    claim(spark, registry._claim("m", 1))
+    with pytest.raises(retrain.Refused):
+        registry.append("m", entry)
+    registry.release("m")
+    registry.append("m", entry)
+    rows = registry.audit().where("model = 'm'").orderBy("seq").collect()
+    assert [(r["seq"], r["version"]) for r in rows] == [(0, "v1"), (1, "v1")]
+
+
+def test_a_claim_is_made_once(spark, tmp_path):
+    path = str(tmp_path / "claims" / "one")
+    assert claim(spark, path, "first") and not claim(spark, path, "second")
+    assert (tmp_path / "claims" / "one").read_text() == "first"
+
+
+def test_a_candidate_judged_on_an_old_state_is_refused(spark, tmp_path, monkeypatch):
+    registry = retrain.Registry(spark, str(tmp_path / "registry"))
+    registry.create()
+    good = {"roc_auc": 0.95, "pr_auc": 0.4, "recall": 0.8}
+    decide = retrain.promotion_decision
+
+    def meanwhile(*args, **options):
+        monkeypatch.setattr(retrain, "promotion_decision", decide)
+        retrain.heal(registry, "m", "v1", good, "t1")
+        return decide(*args, **options)
+
+    monkeypatch.setattr(retrain, "promotion_decision", meanwhile)
+    with pytest.raises(retrain.Refused):
+        retrain.heal(registry, "m", "v2", good, "t2")
+    assert {r["version"] for r in registry.metrics().collect()} == {"v1"}
+    assert [r["version"] for r in registry.audit().orderBy("seq").collect()] == ["v1", "v1"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -14,12 +17,30 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wearline.operators.rates import scaling
+from wearline.session import materialize
 
-Scorer = Callable[[DataFrame], DataFrame]
+@dataclass(frozen=True)
+class Scorer:
+    """A fitted MLlib model with its columns in order; calling it adds ``score`` to rows."""
 
+    kind: str
+    model: Any
+    features: tuple[str, ...]
+    scaling: Mapping[str, tuple[float, float]] | None = None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(_vectors(df, self.features, self.scaling))
+        return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
+
+def _vectors(
+    df: DataFrame, features: Sequence[str], moments: Mapping[str, tuple[float, float]] | None = None
+) -> DataFrame:
+    """The columns as one vector ``_x``, scaled if moments are given."""
+    if moments is None:
+        return VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
+    scaled = [(F.col(c) - F.lit(moments[c][0])) / F.lit(moments[c][1]) for c in features]
+    return df.withColumn("_x", array_to_vector(F.array(*scaled)))
 
 
 def class_sizes(df: DataFrame, y: str) -> tuple[int, int]:
@@ -38,14 +59,6 @@ def _weights(df: DataFrame, y: str, balanced: bool) -> Column:
     return F.when(F.col(y) == 1, F.lit(w1)).otherwise(F.lit(w0))
 
 
-def _scorer(model, prepare: Scorer) -> Scorer:
-    def score(df: DataFrame) -> DataFrame:
-        out = model.transform(prepare(df))
-        return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
-
-    return score
-
-
 def fit_forest(
     train: DataFrame,
     features: Sequence[str],
@@ -57,7 +70,7 @@ def fit_forest(
     seed: int = 42,
 ) -> Scorer:
     """Random forest with balanced classes. MLlib's depth limit is 30."""
-    ready = _assembled(train.withColumn("_w", _weights(train, y, True)), features)
+    ready = _vectors(train.withColumn("_w", _weights(train, y, True)), features)
     model = RandomForestClassifier(
         featuresCol="_x",
         labelCol=y,
@@ -67,7 +80,7 @@ def fit_forest(
         maxDepth=depth,
         seed=seed,
     ).fit(ready)
-    return _scorer(model, lambda df: _assembled(df, features))
+    return Scorer("forest", model, tuple(features))
 
 
 def fit_gbt(
@@ -83,7 +96,7 @@ def fit_gbt(
     seed: int = 42,
 ) -> Scorer:
     """Boosted trees with failures weighted up."""
-    ready = _assembled(train.withColumn("_w", _weights(train, y, False)), features)
+    ready = _vectors(train.withColumn("_w", _weights(train, y, False)), features)
     model = GBTClassifier(
         featuresCol="_x",
         labelCol=y,
@@ -95,7 +108,7 @@ def fit_gbt(
         featureSubsetStrategy=str(columns),
         seed=seed,
     ).fit(ready)
-    return _scorer(model, lambda df: _assembled(df, features))
+    return Scorer("boosted", model, tuple(features))
 
 
 def fit_mlp(
@@ -105,23 +118,49 @@ def fit_mlp(
     *,
     hidden: Sequence[int] = (64, 32),
     iterations: int = 400,
+    every: int = 20,
+    patience: int = 2,
+    tail: float = 0.1,
+    order: str | None = None,
     seed: int = 42,
 ) -> Scorer:
-    """Neural network on standardised columns; no early stopping in MLlib."""
-    moments = scaling(train, features)
-
-    def prepare(df: DataFrame) -> DataFrame:
-        scaled = [(F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in moments.items()]
-        return df.withColumn("_x", array_to_vector(F.array(*scaled)))
+    """Neural network on columns standardised by the training rows.
 
-    model = MultilayerPerceptronClassifier(
-        featuresCol="_x",
-        labelCol=y,
-        layers=[len(features), *hidden, 2],
-        maxIter=iterations,
-        seed=seed,
-    ).fit(prepare(train))
-    return _scorer(model, prepare)
+    With ``order``, a column of consecutive row numbers, the last ``tail`` of the rows is held back: training
+    goes on in steps of ``every`` iterations from the weights before, and stops once ``patience`` steps
+    have not lowered the tail's log loss; the best weights stay. Without it all iterations are run.
+    """
+    moments = scaling(train, features)
+    ready = _vectors(train, features, moments).select(y, "_x", *([order] if order else []))
+    network = MultilayerPerceptronClassifier(
+        featuresCol="_x", labelCol=y, layers=[len(features), *hidden, 2], maxIter=iterations, seed=seed
+    )
+    if order is None:
+        return Scorer("network", network.fit(ready), tuple(features), moments)
+    low, high = ready.agg(F.min(order), F.max(order)).first()
+    cut = low + math.floor((1.0 - tail) * (high - low + 1))
+    ready = materialize(ready)
+    fitting, held = ready.where(F.col(order) < cut), ready.where(F.col(order) >= cut)
+    best, least, waited = None, math.inf, 0
+    for _ in range(0, iterations, every):
+        step = network.copy({network.maxIter: every})
+        if best is not None:
+            step = step.setInitialWeights(model.weights)
+        model = step.fit(fitting)
+        loss = _log_loss(model, held, y)
+        if best is None or loss < least:
+            best, least, waited = model, loss, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    return Scorer("network", best, tuple(features), moments)
+
+
+def _log_loss(model, rows: DataFrame, y: str) -> float:
+    p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-12)), F.lit(1.0 - 1e-12))
+    loss = -F.when(F.col(y) == 1, F.ln(p)).otherwise(F.ln(1.0 - p))
+    return model.transform(rows).agg(F.avg(loss)).first()[0] or 0.0
 
 
 def spread_sequence(df: DataFrame, length: int, sequence: str = "sequence") -> DataFrame:

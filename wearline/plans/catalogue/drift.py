@@ -91,9 +91,9 @@ def _feature_drift(spark, sf):
     return _features(spark, sf).select("feature", r6("psi"), r6("ks_pvalue"), "drifted")
 
 
-def verdict_sql(rows: str) -> str:
+def verdict_sql(rows: str, tele: str = TELE) -> str:
     """The verdict over the long rows that meet a condition."""
-    return with_(TELE, _long(rows), _SIZES, *_PSI_CTES, _KS, _VERDICT, _ROLLED) + (
+    return with_(tele, _long(rows), _SIZES, *_PSI_CTES, _KS, _VERDICT, _ROLLED) + (
         "SELECT drift_detected, n_drifted FROM rolled"
     )
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from wearline.operators import governance as ops, ranking
 from wearline.plans import views
-from wearline.plans.catalogue.base import AUDIT, SCORED, query, r6, with_
+from wearline.plans.catalogue.base import AUDIT, SCORED, TELE, query, r6, with_
+from wearline.plans.catalogue.drift import verdict_sql
+from wearline.plans.retrain import Registry, retrain_if_drift
 from wearline.session import scratch_path
 from wearline.sources import sinks
 
@@ -154,6 +156,56 @@ def _status_report(spark, sf):
     )
 
 
+@query(
+    "status_recent",
+    with_(AUDIT)
+    + """SELECT model, seq, action, version FROM audit
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY seq DESC) <= 5""",
+)
+def _status_recent(spark, sf):
+    out = ops.status_report(views.audit(spark, sf), views.model_metrics(spark, sf))
+    return out.select("model", F.inline("recent"))
+
+
+_MOVED = TELE.replace("value AS a1", f"CASE WHEN ts >= TIMESTAMP '{views.CURRENT_FROM}' THEN value + 60 ELSE value END AS a1")
+_HALVES = f"""halves AS (SELECT ts < TIMESTAMP '{views.CURRENT_FROM}' AS early, score, sum(y) AS pos, sum(1 - y) AS neg
+  FROM scored GROUP BY 1, 2),
+aucs AS (SELECT p.early, sum(p.pos * n.neg * CASE WHEN p.score > n.score THEN 1.0::DOUBLE
+    WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0 END) / nullif(sum(p.pos * n.neg), 0) AS auc
+  FROM halves p JOIN halves n ON n.early = p.early GROUP BY 1),
+found AS (SELECT (SELECT auc FROM aucs WHERE early) AS a, (SELECT auc FROM aucs WHERE NOT early) AS b,
+  (SELECT drift_detected FROM ({verdict_sql("f.feature <> 'd1'", _MOVED)}) v) AS moved)"""
+
+
+@query(
+    "retrain_audit",
+    with_(SCORED, _HALVES)
+    + """SELECT row_number() OVER (ORDER BY i) - 1 AS seq, action, version, "at" FROM (
+  SELECT 0 AS i, 'register' AS action, 'v1' AS version, 't1' AS "at" FROM found WHERE moved
+  UNION ALL SELECT 1, 'promote', 'v1', 't1' FROM found WHERE moved AND a >= 0.4
+  UNION ALL SELECT 2, 'register', 'v2', 't2' FROM found WHERE moved
+  UNION ALL SELECT 3, 'promote', 'v2', 't2' FROM found WHERE moved AND b >= 0.4 AND (NOT a >= 0.4 OR b >= a - 0.01)) t""",
+)
+def _retrain_audit(spark, sf):
+    """Without drift nothing is built; with drift a candidate of each half is judged and recorded."""
+    registry = Registry(spark, scratch_path(spark, "registry"))
+    registry.create()
+    reference, current = views.samples(spark, sf)
+    moved = current.withColumn("a1", F.col("a1") + 60)
+    rows = views.scored(spark, sf)
+    early = F.col("ts") < F.to_timestamp(F.lit(views.CURRENT_FROM))
+
+    def candidate(version, side):
+        return lambda: (version, {"roc_auc": ranking.roc_auc(rows.where(side), "y", "score").first()["roc_auc"]})
+
+    loops = [(reference, "v0", early, "t0"), (moved, "v1", early, "t1"), (moved, "v2", ~early, "t2")]
+    for sample, version, side, at in loops:
+        retrain_if_drift(
+            reference, sample, ["a1", "a2"], registry, "m", candidate(version, side), at, gates={"roc_auc": 0.4}
+        )
+    return registry.audit().select("seq", "action", "version", "at")
+
+
 @query(
     "audit_counts",
     with_(AUDIT)

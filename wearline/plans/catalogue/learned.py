@@ -6,14 +6,16 @@ from functools import partial
 
 
 from wearline.operators import splits
-from wearline.operators.labels import interval_labels
-from wearline.operators.supervised import fit_forest
+from wearline.operators.iforest import score_iforest
+from wearline.operators.labels import interval_labels, mark_healthy
+from wearline.operators.supervised import fit_forest, fit_gbt
 from wearline.operators.tiles import window_features
 from wearline.plans import crossval, detector, fleet, views
 from wearline.plans.catalogue import forest_sql
 from wearline.plans.catalogue.base import (
     DEVICE_REPORTS,
     FEATURES,
+    ORACLES,
     REPORTS,
     STATS,
     TELE,
@@ -25,6 +27,10 @@ from wearline.plans.catalogue.base import (
     with_,
 )
 from wearline.plans.catalogue.features import lead_sql
+from wearline.plans.catalogue.streams import CLOSED, replay
+from wearline.session import scratch_path
+from wearline.sources.models import ModelStore
+from wearline.streaming import jobs
 
 
 _X = "[" + ", ".join(f"coalesce({f}, 0)::DOUBLE" for f in FEATURES) + "]"
@@ -102,21 +108,68 @@ def _fleet_risk(spark, sf):
     return fleet.fleet_risk(views.life(spark, sf), reference="1998-01-01")
 
 
+def _cv_rows(spark, sf):
+    tiles = views.tiles(spark, sf, min_rows=1)
+    return interval_labels(tiles, views.reports(spark), name="y")
+
+
+_CV = {"embargo": splits.embargo_rows(2.0, 1.0), "windows_per_day": 24.0}
+
+
 @query("temporal_cv")
 def _temporal_cv(spark, sf):
-    tiles = views.tiles(spark, sf, min_rows=1)
-    labelled = interval_labels(tiles, views.reports(spark), name="y")
+    fit = partial(fit_forest, features=FEATURES)
+    return crossval.temporal_cv(
+        _cv_rows(spark, sf), FEATURES, ["window_start"], fit, model="random_forest", **_CV
+    )
+
+
+@query("temporal_cv_boosted")
+def _temporal_cv_boosted(spark, sf):
+    """300 rounds of depth 6 per fold."""
+    fit = partial(fit_gbt, features=FEATURES)
     return crossval.temporal_cv(
-        labelled,
-        FEATURES,
-        ["window_start"],
-        partial(fit_forest, features=FEATURES),
-        model="random_forest",
-        embargo=splits.embargo_rows(2.0, 1.0),
-        windows_per_day=24.0,
+        _cv_rows(spark, sf), FEATURES, ["window_start"], fit, model="boosted", **_CV
     )
 
 
+@query("temporal_cv_sequences")
+def _temporal_cv_sequences(spark, sf):
+    """Six windows stacked, layers of 64 and 32 units, stopped early on a tail of the training side."""
+    return crossval.sequence_cv(_cv_rows(spark, sf), FEATURES, ["window_start"], k=6, **_CV)
+
+
+@query("iforest_stored", ORACLES["iforest_scores"])
+def _iforest_stored(spark, sf):
+    """The detector saved as a version, loaded again and used on all tiles."""
+    store = ModelStore(spark, scratch_path(spark, "models"))
+    version = store.save(_site(spark, sf).forest)
+    marked = mark_healthy(views.tiles(spark, sf), views.reports(spark))
+    scored = score_iforest(marked, store.load(version))
+    return scored.select(clock("window_start", "window_start"), "healthy", r6("score"))
+
+
+@query(
+    "stream_score",
+    with_(*_SITE)
+    + f"""SELECT {sql_clock('id')} AS window_start, round(score, 6) AS anomaly_score, score >= {_LIMIT} AS alert
+FROM scored WHERE {CLOSED.replace('w +', 'id +')}""",
+)
+def _stream_score(spark, sf):
+    """Closed tiles scored as they come, by a stored forest."""
+    store = ModelStore(spark, scratch_path(spark, "models"))
+    forest = store.load(store.save(_site(spark, sf).forest))
+    base = scratch_path(spark, "scores")
+
+    def run(stream):
+        made = jobs.stream_score(jobs.stream_features(stream, views.SIGNALS, width="1 hour"), forest)
+        jobs.run_available(made, f"{base}/out", f"{base}/checkpoint")
+
+    replay(spark, views.arrivals(spark, sf), base, run)
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.select(clock("window_start", "window_start"), r6("anomaly_score"), "alert")
+
+
 _FLEET = (
     TELE,
     DEVICE_REPORTS,

@@ -24,7 +24,7 @@ from wearline.session import materialize, scratch_path
 from wearline.streaming import jobs, stores
 
 # In append mode a tile is out once the watermark, one hour behind, has passed its end.
-_CLOSED = "w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM tele) - INTERVAL 1 HOUR"
+CLOSED = "w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM tele) - INTERVAL 1 HOUR"
 
 
 def _run(spark, df):
@@ -37,7 +37,7 @@ def _run_batches(spark, df, function, base):
     jobs.run_batches(df, function, f"{base}/checkpoint")
 
 
-def _replay(spark, slices, base, run):
+def replay(spark, slices, base, run):
     """Let the slices arrive one after the other; after each the query goes on from its checkpoint."""
     for rows in slices:
         rows.write.mode("append").parquet(f"{base}/source")
@@ -54,7 +54,7 @@ def _replay_updates(spark, slices, name, make, keys):
         sinks[:] = [stores.KeyedSink(f"{base}/tiles", made.schema, keys, merge_every=2)]
         jobs.run_batches(made, sinks[0].write, f"{base}/checkpoint", mode="update")
 
-    _replay(spark, slices, base, run)
+    replay(spark, slices, base, run)
     return sinks[0].read(spark)
 
 
@@ -62,7 +62,7 @@ def _replay_updates(spark, slices, name, make, keys):
     "stream_features",
     with_(TELE)
     + f"""SELECT {sql_clock('w')} AS window_start, {ROUNDED} FROM (
-  SELECT date_trunc('hour', ts) AS w, {STATS} FROM tele GROUP BY 1 HAVING count(*) >= 6) t WHERE {_CLOSED}""",
+  SELECT date_trunc('hour', ts) AS w, {STATS} FROM tele GROUP BY 1 HAVING count(*) >= 6) t WHERE {CLOSED}""",
 )
 def _stream_features(spark, sf):
     tiles = jobs.stream_features(views.tele_stream(spark, sf), views.SIGNALS, width="1 hour")
@@ -74,7 +74,7 @@ def _stream_features(spark, sf):
     with_(TELE)
     + f"""SELECT {sql_clock('w')} AS window_start, predictions, alerts FROM (
   SELECT date_trunc('hour', ts) AS w, count(*) AS predictions, count(CASE WHEN a1 >= 150 THEN 1 END) AS alerts
-  FROM tele GROUP BY 1) t WHERE {_CLOSED}""",
+  FROM tele GROUP BY 1) t WHERE {CLOSED}""",
 )
 def _stream_rates(spark, sf):
     served = views.tele_stream(spark, sf).withColumn("alert", F.col("a1") >= 150)
@@ -89,7 +89,7 @@ def _stream_rates(spark, sf):
     with_(TELE)
     + f"""SELECT {sql_clock('w')} AS window_start, le::BIGINT AS le, n FROM (
   SELECT date_trunc('hour', ts) AS w, b.le, count(CASE WHEN a1 <= b.le THEN 1 END) AS n
-  FROM tele, (VALUES (50), (100), (1000000)) b(le) GROUP BY 1, 2) t WHERE {_CLOSED}""",
+  FROM tele, (VALUES (50), (100), (1000000)) b(le) GROUP BY 1, 2) t WHERE {CLOSED}""",
 )
 def _stream_histogram(spark, sf):
     out = jobs.stream_histogram(views.tele_stream(spark, sf), "a1", width="1 hour", bounds=[50.0, 100.0])
@@ -161,7 +161,7 @@ def _stream_dedupe(spark, sf):
         out = jobs.stream_dedupe(stream.select("device", "ts"), ["device"])
         jobs.run_available(out, f"{base}/out", f"{base}/checkpoint")
 
-    _replay(spark, views.arrivals(spark, sf, overlap="30 minutes"), base, run)
+    replay(spark, views.arrivals(spark, sf, overlap="30 minutes"), base, run)
     return spark.read.parquet(f"{base}/out").groupBy("device").agg(F.count("*").alias("readings"))
 
 
@@ -179,7 +179,7 @@ def _stream_sequences_state(spark, sf):
         made = jobs.state_sequences(stream, ["a1"], 3, keys=["device"], expiry_hours=24.0 * 365)
         jobs.run_available(made, f"{base}/out", f"{base}/checkpoint")
 
-    _replay(spark, views.arrivals(spark, sf), base, run)
+    replay(spark, views.arrivals(spark, sf), base, run)
     cell = F.col("sequence")
     rows = spark.read.parquet(f"{base}/out").where(~F.col("late"))
     return rows.select("seq", r6(cell[0], "oldest"), r6(cell[1], "previous"), r6(cell[2], "newest"))
@@ -222,7 +222,7 @@ def _stream_backfill(spark, sf):
         s.where((F.col("d1") == 1) & (F.col("a1") > 150)).select("device", F.col("ts").alias("start"), ends.alias("end"))
         for s in views.arrivals(spark, sf)
     ]
-    _replay(spark, slices, base, lambda stream: _run_batches(spark, stream, store.write, base))
+    replay(spark, slices, base, lambda stream: _run_batches(spark, stream, store.write, base))
     return store.performance(spark, 100.0).select("n", "n_positives", "tp", "fp")
 
 
@@ -247,6 +247,6 @@ def _stream_drift(spark, sf):
     edges = drift_ops.edges_of_counts(counts, ["a1", "a2"])
     sink = jobs.drift_batches(counts, ["a1", "a2"], edges, f"{base}/out")
     later = views.arrivals(spark, sf, (views.CURRENT_FROM, _SECOND))[1:]
-    _replay(spark, later, base, lambda stream: _run_batches(spark, stream, sink, base))
+    replay(spark, later, base, lambda stream: _run_batches(spark, stream, sink, base))
     found = spark.read.parquet(f"{base}/out")
     return found.select(F.col("batch_id").cast("long").alias("batch_id"), "drift_detected", "n_drifted")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,19 +21,12 @@ from wearline.operators.cost import (
 )
 from wearline.operators.ordered import row_index
 from wearline.operators.ranking import ranking_metrics
-from wearline.operators.splits import fold_bounds, fold_sides
-from wearline.operators.supervised import Scorer
+from wearline.operators.splits import Fold, fold_bounds, fold_sides
+from wearline.operators.supervised import fit_mlp, spread_sequence
+from wearline.operators.tiles import stack_sequences
 from wearline.session import materialize
 
-FOLD_METRICS = (
-    "pr_auc",
-    "roc_auc",
-    "precision",
-    "recall",
-    "model_cost",
-    "schedule_cost",
-    "roi_vs_schedule",
-)
+Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
 
 def score_fold(
@@ -55,23 +50,21 @@ def score_fold(
     )
 
 
-def temporal_cv(
+def scored_folds(
     df: DataFrame,
     features: Sequence[str],
     order: Sequence[str],
-    fit: Callable[[DataFrame], Scorer],
+    fit: Fit,
     *,
     y: str = "y",
-    model: str = "model",
     n_splits: int = 5,
     embargo: int = 0,
-    windows_per_day: float = 144.0,
-    cost: CostModel = DEFAULT_COST,
-) -> DataFrame:
-    """Per scorable fold: fit on train, choose the cutoff on train, judge on test.
+    at_once: int = 4,
+) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(fold, scored training rows, scored test rows) of every scorable fold, written.
 
     Folds with no failure on a side are left out, by one count over all folds before any
-    fit. The driver loops over the few folds; each step is a distributed job.
+    fit. The few folds are fitted side by side; each step is a distributed job.
     """
     rows = materialize(row_index(df.select(*order, y, *features), order))
     folds = fold_bounds(rows.count(), n_splits=n_splits, embargo=embargo)
@@ -86,24 +79,76 @@ def temporal_cv(
             )
         ]
     ).first()
-    results = []
-    for fold in folds:
-        if not counted[f"train_{fold.number}"] or not counted[f"test_{fold.number}"]:
-            continue
+    usable = [f for f in folds if counted[f"train_{f.number}"] and counted[f"test_{f.number}"]]
+    if not usable:
+        raise ValueError("no scorable folds: failures are too clustered")
+
+    def run(fold: Fold) -> tuple[int, DataFrame, DataFrame]:
         train, test = fold_sides(rows, fold)
         score = fit(train)
-        scored_train = materialize(score(train).select(y, "score"))
-        best = optimal_threshold(scored_train, y, "score", cost).first()["threshold"]
-        scored_test = materialize(score(test).select("row_index", y, "score"))
-        judged = score_fold(scored_test, float(best), windows_per_day, cost, y)
+        kept = [materialize(score(side).select("row_index", y, "score")) for side in (train, test)]
+        return fold.number, *kept
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(usable)))) as pool:
+        return list(pool.map(run, usable))
+
+
+def temporal_cv(
+    df: DataFrame,
+    features: Sequence[str],
+    order: Sequence[str],
+    fit: Fit,
+    *,
+    y: str = "y",
+    model: str = "model",
+    n_splits: int = 5,
+    embargo: int = 0,
+    windows_per_day: float = 144.0,
+    cost: CostModel = DEFAULT_COST,
+) -> DataFrame:
+    """Per scorable fold: fit on train, choose the cutoff on train, judge on test."""
+    folds = scored_folds(df, features, order, fit, y=y, n_splits=n_splits, embargo=embargo)
+    return judge_folds(folds, y=y, model=model, windows_per_day=windows_per_day, cost=cost)
+
+
+def judge_folds(
+    folds: Sequence[tuple[int, DataFrame, DataFrame]],
+    *,
+    y: str = "y",
+    model: str = "model",
+    windows_per_day: float = 144.0,
+    cost: CostModel = DEFAULT_COST,
+) -> DataFrame:
+    """One row per fold of :func:`scored_folds`: the cheapest training cutoff, frozen for the test rows."""
+    results = []
+    for number, train, test in folds:
+        best = optimal_threshold(train, y, "score", cost).first()["threshold"]
+        judged = score_fold(test, float(best), windows_per_day, cost, y)
         results.append(
-            judged.select(
-                F.lit(model).alias("model"), F.lit(fold.number).cast("long").alias("fold"), "*"
-            )
+            judged.select(F.lit(model).alias("model"), F.lit(number).cast("long").alias("fold"), "*")
         )
-    if not results:
-        raise ValueError("no scorable folds: failures are too clustered")
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    return reduce(DataFrame.unionByName, results)
+
+
+def sequence_cv(
+    df: DataFrame,
+    features: Sequence[str],
+    order: Sequence[str],
+    *,
+    k: int = 6,
+    y: str = "y",
+    fit: Callable[..., Callable[[DataFrame], DataFrame]] = fit_mlp,
+    model: str = "network",
+    **options,
+) -> DataFrame:
+    """:func:`temporal_cv` of a network on each row stacked with the ``k - 1`` before it.
+
+    A stacked row has the label of its last row. Scaling and early stopping see the training side only.
+    """
+    stacked = stack_sequences(df.select(*order, y, *features), features, k, order).select(*order, y, "sequence")
+    width = k * len(features)
+    names = [f"x{i}" for i in range(width)]
+    wide = spread_sequence(stacked, width)
+    return temporal_cv(
+        wide, names, order, lambda rows: fit(rows, names, y, order="row_index"), y=y, model=model, **options
+    )
