@@ -345,6 +345,48 @@ def test_profile(spark):
     assert metric(again, "ts", "monotonic") == 0
 
 
+def test_profile_by_key_from_one_scan(spark, tmp_path, plan, monkeypatch):
+    rows = sensor(spark).crossJoin(spark.range(3).select((F.col("id") * 1000).alias("dev")))
+    rows = rows.withColumn("TP2", F.when(F.rand(1) < 0.1, None).otherwise(F.col("TP2") + F.col("dev")))
+    rows.write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    written = []
+    keep = profile.materialize
+    monkeypatch.setattr(profile, "materialize", lambda df: written.append(plan(df)) or keep(df))
+    both = [
+        profile.quality_profile(raw, SIGNALS, ct.COMPRESSOR_RANGES, seq="seq", keys=["dev"], rows_per_bucket=n).collect()
+        for n in (1_000_000, 40)
+    ]
+    assert sorted(map(tuple, both[0])) == sorted(map(tuple, both[1]))
+    assert len(written) == 2 and written[0].count("FileScan") == 1
+    for dev in (0, 1000, 2000):
+        alone = raw.where(F.col("dev") == dev).drop("dev")
+        one = profile.quality_profile(alone, SIGNALS, ct.COMPRESSOR_RANGES, seq="seq")
+        mine = sorted((r["column"], r["metric"], r["value"]) for r in both[0] if r["dev"] == dev)
+        assert mine == sorted(map(tuple, one.collect()))
+    profile_ = profile.quality_profile(raw, SIGNALS, ct.COMPRESSOR_RANGES, seq="seq", keys=["dev"])
+    assert str(tmp_path / "raw") not in plan(profile_)
+    empty = {(r["column"], r["metric"]): r["value"] for r in profile.quality_profile(
+        raw.limit(0), SIGNALS, ct.COMPRESSOR_RANGES, seq="seq").collect()}
+    assert empty["ts", "rows"] == 0 and empty["TP2", "out_of_bound_rows"] == 0
+
+
+def test_stored_sketches_merge_within_their_rank_error(spark):
+    df = spark.range(60_000).selectExpr(
+        "id % 7 dev", "timestamp'2024-01-01' + make_dt_interval(cast(id % 5 as int)) ts",
+        "case when id % 11 = 0 then null when id % 13 = 0 then double('NaN') else double(id * 7919 % 60000) end v",
+    )
+    stored = profile.quantile_sketches(df, ["v"], keys=["dev"])
+    assert stored.count() == 35
+    values = np.sort([r["v"] for r in df.where("v is not null and not isnan(v)").select("v").collect()])
+    for r in profile.sketched_quantiles(stored, [0.0, 0.1, 0.5, 0.999, 1.0]).collect():
+        assert r["n"] == len(values)
+        rank = np.searchsorted(values, r["quantile"]) / len(values)
+        assert abs(rank - r["prob"]) <= 3 * profile.SKETCH_RANK_ERROR
+    per_day = profile.sketched_quantiles(stored, [0.5], ["day", "column"])
+    assert per_day.count() == 5 and per_day.agg(F.sum("n")).first()[0] == len(values)
+
+
 def test_sketched_quantiles(spark):
     df = spark.range(10_000).select(F.col("id").cast("double").alias("v"))
     got = profile.quantiles(df, ["v"], [0.5], exact=False).first()["quantile"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 from wearline.operators import contracts as ops, profile
 from wearline.plans import views
 from wearline.plans.catalogue.base import LIFE_ALL, TELE, big, query, r6, with_
+from wearline.session import materialize
 
 _BROKEN = """broken AS (
   SELECT seq, 'a1' AS "column", 'in_range' AS rule, a1 AS value FROM tele WHERE a1 NOT BETWEEN 0 AND 200
@@ -161,6 +162,53 @@ def _quality_profile(spark, sf):
     return out.select("column", "metric", r6("value"))
 
 
+@query(
+    "quality_profile_fleet",
+    with_(TELE)
+    + """SELECT device, 'a1' AS "column", m.metric, round(CASE m.metric WHEN 'min' THEN min(a1) WHEN 'max' THEN max(a1)
+    WHEN 'p50' THEN quantile_cont(a1, 0.5) ELSE count(CASE WHEN a1 < 0 OR a1 > 200 THEN 1 END) END::DOUBLE, 6) AS value
+  FROM tele, (VALUES ('min'), ('max'), ('p50'), ('out_of_bound_rows')) m(metric) GROUP BY device, m.metric
+UNION ALL SELECT device, 'ts', m.metric, CASE m.metric WHEN 'rows' THEN count(*) WHEN 'monotonic' THEN 1 - max(late)
+    ELSE count(*) - count(DISTINCT ts) END::DOUBLE
+  FROM (SELECT *, coalesce(lag(ts) OVER (PARTITION BY device ORDER BY seq) > ts, false)::INTEGER AS late FROM tele) t,
+    (VALUES ('rows'), ('monotonic'), ('duplicate_timestamps')) m(metric) GROUP BY device, m.metric""",
+)
+def _quality_profile_fleet(spark, sf):
+    out = profile.quality_profile(
+        views.tele(spark, sf), views.SIGNALS, views.RANGES, ts="ts", seq="seq", keys=["device"]
+    )
+    wanted = {"a1": ["min", "max", "p50", "out_of_bound_rows"], "ts": ["rows", "monotonic", "duplicate_timestamps"]}
+    chosen = F.lit(False)
+    for column, metrics in wanted.items():
+        chosen = chosen | ((F.col("column") == column) & F.col("metric").isin(metrics))
+    return out.where(chosen).select("device", "column", "metric", r6("value"))
+
+
+@query(
+    "sketched_quantiles",
+    with_(TELE)
+    + """SELECT c.name AS "column", p.prob, count(CASE c.name WHEN 'a1' THEN a1 ELSE a2 END) AS n, true AS within
+FROM tele, (VALUES ('a1'), ('a2')) c(name), (VALUES (0.01::DOUBLE), (0.5::DOUBLE), (0.99::DOUBLE)) p(prob) GROUP BY 1, 2""",
+)
+def _sketched_quantiles(spark, sf):
+    """Sketches per device and day, stored and merged; their ranks are checked against all rows."""
+    rows = views.tele(spark, sf)
+    stored = materialize(profile.quantile_sketches(rows, ["a1", "a2"], keys=["device"]))
+    # Six rows.
+    found = F.broadcast(profile.sketched_quantiles(stored, [0.01, 0.5, 0.99]))
+    cells = [F.struct(F.lit(c).alias("of"), F.col(c).alias("value")) for c in ("a1", "a2")]
+    met = rows.select(F.inline(F.array(*cells))).join(found, F.col("of") == F.col("column"))
+    ranks = met.groupBy("column", "prob", "n").agg(
+        F.count_if(F.col("value") < F.col("quantile")).alias("below"),
+        F.count_if(F.col("value") <= F.col("quantile")).alias("upto"),
+    )
+    # Three times the stated error, plus one row.
+    slack = 3 * profile.SKETCH_RANK_ERROR * F.col("n") + 1
+    rank = F.col("prob") * F.col("n")
+    within = (F.col("below") <= rank + slack) & (F.col("upto") >= rank - slack)
+    return ranks.select("column", "prob", "n", within.alias("within"))
+
+
 @query(
     "quantiles",
     "\nUNION ALL\n".join(
