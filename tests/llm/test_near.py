@@ -87,4 +87,59 @@ def test_narrow_marks_of_repeated_rows(spark):
     docs = spark.createDataFrame(rows, DOCS)
     nodes = spark.createDataFrame([(1,), (2,)], "node long")
     got = {r["node"]: r["better"] for r in near._narrow(docs, near.Near(shingle=2))(nodes).collect()}
-    assert got == {1: 4 << 31 | 3, 2: 4 << 31 | 3}
+    assert {n: r["size"] for n, r in got.items()} == {1: 4, 2: 4}
+    x, y = (np.array(got[n]["bits"], np.int64).view(np.uint64) for n in (1, 2))
+    assert np.bitwise_count(x).sum() == 4 and np.bitwise_count(x ^ y).sum() == 2
+
+
+def test_whole_set_bitmaps_lose_no_linked_pair(spark):
+    """Also for sets far larger than the bitmap; and they tell 0.75 from 0.8 apart."""
+    rng, rows = np.random.default_rng(5), []
+    for size in (10, 90, 400, 9000):
+        for similarity in (0.6, 0.75, 0.8, 0.81, 0.95, 1.0):
+            apart = round(size * (1 - similarity) / (1 + similarity))
+            sets = rng.permutation(10 * size + 3)
+            rows.append((int(size), sets[:size].tolist(), sets[apart : size + apart].tolist()))
+
+    def bits(values):
+        place = near.mix(np.array(values, np.uint64), 7) % np.uint64(near.SET_BITS)
+        odd_ = np.bincount(place.astype(np.int64), minlength=near.SET_BITS) & 1
+        return (len(values), np.packbits(odd_.astype(np.uint8)).view(np.int64).tolist())
+
+    schema = "x struct<size:long,bits:array<long>>, y struct<size:long,bits:array<long>>, linked boolean, size long, j double"
+    data = []
+    for size, a, b in rows:
+        common = len(set(a) & set(b))
+        j = common / (2 * size - common)
+        data.append((bits(a), bits(b), 100 * common >= 80 * (2 * size - common), size, j))
+    frame = spark.createDataFrame(data, schema)
+    got = frame.withColumn("fits", near.Near().fits_sets(frame["x"], frame["y"])).collect()
+    assert all(r["fits"] for r in got if r["linked"])
+    assert not any(r["fits"] for r in got if 90 <= r["size"] <= 400 and r["j"] < 0.77)
+
+
+def test_loosely_alike_documents_are_not_all_confirmed(spark, monkeypatch):
+    """Documents at similarities of 0.6 to 0.75 to each other: what is confirmed grows with their number."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    asked = []
+    confirm = near._confirm
+
+    def counted(docs, rule):
+        inner = confirm(docs, rule)
+        return lambda pairs: inner(asked.append(pairs.count()) or pairs)
+
+    monkeypatch.setattr(near, "_confirm", counted)
+    totals = []
+    for n in (40, 160):
+        rows = []
+        for i in range(n):
+            ws = list(base)
+            for at in rng.sample(range(120), 6):
+                ws[at] = f"own{i}at{at}"
+            rows.append((i, " ".join(ws), "en", "a", 1))
+        asked.clear()
+        found = near.near_duplicates(spark.createDataFrame(rows, DOCS), near.Near(shingle=2))
+        assert found.where("kept").count() >= 0.9 * n
+        totals.append(sum(asked))
+    assert totals[1] <= 6 * totals[0] + 40 and totals[1] < 160 * 20

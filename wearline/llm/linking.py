@@ -87,13 +87,14 @@ def link(
     screen: Step,
     confirm: Step,
     narrow: Step | None = None,
+    fits_narrowed: Callable[[Column, Column], Column] | None = None,
     rounds: int = 1,
 ) -> DataFrame:
     """(node, component) by all confirmed links between nodes that share a bucket.
 
     ``members`` has long ``bucket, node, mark``. ``fits(mark, mark)`` and ``screen``, on distinct pairs
     ``a < b``, are cheap necessary conditions; ``confirm`` keeps the true links. ``narrow`` gives
-    the nodes that are still open better marks, for which ``fits`` must hold too.
+    the nodes that are still open better marks, for which ``fits_narrowed`` is a sharper condition.
 
     First every node is compared to the smallest fitting of its buckets' smallest nodes. Groups of
     near copies collapse there, with one comparison per node. In each of ``rounds`` more, nodes
@@ -127,8 +128,8 @@ def link(
         rows = _open_rows(rows, components(links))
     if narrow is not None:
         marks = materialize(narrow(rows.select("node").distinct()).select(F.col("node").alias("of"), "better"))
-        rows = rows.join(marks, F.col("node") == F.col("of")).drop("mark").withColumnRenamed("better", "mark")
-        rows = materialize(rows)
+        rows = rows.join(marks, F.col("node") == F.col("of")).drop("mark", "of").withColumnRenamed("better", "mark")
+        fits = fits_narrowed or fits
     left, right = (
         rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("bucket", "node", "mark", "component")])
         for side in "ab"

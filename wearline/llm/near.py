@@ -23,7 +23,8 @@ from wearline.llm.texts import ASCII_LOWER, WHITE, mix, text_bytes, words_of
 from wearline.session import broadcast_if_small, materialize
 
 SKETCH_BITS = 1024
-_LONGS = SKETCH_BITS // 64
+# Bits of the parity bitmap of a whole set, for documents that sampled values cannot tell apart.
+SET_BITS = 2048
 
 
 @dataclass(frozen=True)
@@ -44,11 +45,19 @@ class Near:
         return self.bands * self.rows
 
     def fits(self, x: Column, y: Column) -> Column:
-        """Sizes that allow the similarity; ``x`` and ``y`` are marks as :func:`_mark` makes them."""
-        low = (1 << 31) - 1
-        size_x, size_y = F.shiftright(x, 31), F.shiftright(y, 31)
-        common = F.least(x.bitwiseAND(F.lit(low)), y.bitwiseAND(F.lit(low)))
-        return (100 + self.percent) * common >= self.percent * (size_x + size_y)
+        """Sizes that allow the similarity."""
+        return (100 + self.percent) * F.least(x, y) >= self.percent * (x + y)
+
+    def fits_sets(self, x: Column, y: Column) -> Column:
+        """Sizes and whole-set bitmaps that allow it.
+
+        Every shingle of one set alone toggles a bit and two may cancel out, so bitmaps never differ in
+        more bits than the sets differ in shingles: no linked pair is left out.
+        """
+        bits = F.zip_with(x["bits"], y["bits"], lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        apart = F.aggregate(bits, F.lit(0), lambda total, b: total + b)
+        allowed = (100 - self.percent) * (x["size"] + y["size"])
+        return self.fits(x["size"], y["size"]) & ((100 + self.percent) * apart <= allowed)
 
     def sketch_limit(self) -> int:
         """Differing bits that a pair at the similarity exceeds with a chance below one in a million.
@@ -66,11 +75,6 @@ class Near:
 DEFAULT = Near()
 
 
-def _mark(size: Column, most: Column) -> Column:
-    """A set's size, and how many of its shingles can be in another set, as one number."""
-    return F.shiftleft(size.cast("long"), 31).bitwiseOR(most.cast("long"))
-
-
 def shingle_sets(column: pa.Array, length: int) -> Iterator[np.ndarray]:
     """Each text's distinct shingles as ascending 64-bit hashes.
 
@@ -181,8 +185,7 @@ def _both(pairs: DataFrame, frame: DataFrame, value: str) -> DataFrame:
 
 def _screen(items: DataFrame, near: Near):
     """Drops pairs whose sizes or odd sketches rule the similarity out."""
-    size = F.col("n_shingles")
-    marks = items.select("node", F.struct(_mark(size, size).alias("mark"), "sketch").alias("m"))
+    marks = items.select("node", F.struct(F.col("n_shingles").alias("mark"), "sketch").alias("m"))
 
     def screen(pairs: DataFrame) -> DataFrame:
         bits = F.zip_with("m_a.sketch", "m_b.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
@@ -210,18 +213,26 @@ def _confirm(docs: DataFrame, near: Near):
 
 
 def _narrow(docs: DataFrame, near: Near):
-    """Marks of open nodes in which shingles that no other open node has do not count as common."""
+    """Sizes and parity bitmaps of whole sets, for the open nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = [], []
+            for s in shingle_sets(batch.column("text"), near.shingle):
+                place = (mix(s, 7) % np.uint64(SET_BITS)).astype(np.int64)
+                odd = np.bincount(place, minlength=SET_BITS) & 1
+                sizes.append(len(s))
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "size", "bits"])
 
     def narrow(nodes: DataFrame) -> DataFrame:
-        sets = full_sets(docs, nodes, near).select("node", F.explode("shingles").alias("shingle"))
+        wanted = docs.select(F.col("doc_id").cast("long"), "text").join(
+            broadcast_if_small(nodes), F.col("doc_id") == F.col("node"), "left_semi"
+        )
         # Repeated rows give their set again.
-        sets = sets.distinct()
-        alone = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-        sizes = sets.groupBy("node").agg(F.count("*").alias("size"))
-        alone = alone.where(F.col("n") == 1).groupBy(F.col("node").alias("of")).agg(F.count("*").alias("own"))
-        both = sizes.join(alone, F.col("node") == F.col("of"), "left")
-        most = F.col("size") - F.coalesce("own", F.lit(0))
-        return both.select("node", _mark(F.col("size"), most).alias("better"))
+        sets = wanted.mapInArrow(run, "node long, size long, bits array<long>").distinct()
+        return sets.select("node", F.struct("size", "bits").alias("better"))
 
     return narrow
 
@@ -253,9 +264,10 @@ def near_duplicates(docs: DataFrame, near: Near = DEFAULT) -> DataFrame:
         )
     )
     items = placed.where(F.col("bands").isNotNull())
-    size = F.col("n_shingles")
-    members = items.select(F.explode("bands").alias("bucket"), "node", _mark(size, size).alias("mark"))
-    grouped = link(members, near.fits, _screen(items, near), _confirm(docs, near), _narrow(docs, near))
+    members = items.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("mark"))
+    grouped = link(
+        members, near.fits, _screen(items, near), _confirm(docs, near), _narrow(docs, near), near.fits_sets
+    )
     grouped = grouped.withColumnRenamed("node", "of")
     result = placed.select("doc_id", "n_shingles", "node").join(grouped, F.col("node") == F.col("of"), "left")
     component = F.coalesce("component", "node", "doc_id")
