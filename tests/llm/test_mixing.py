@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from tests.llm.helpers import empty, odd, words
 from wearline.llm import mixing
 
@@ -73,6 +75,22 @@ def test_inclusion_follows_preference(spark):
     assert mean[300] > mean[5] > 0
 
 
+@pytest.mark.parametrize("ids", ["repeated", "null", "distinct"])
+def test_repeated_rows_and_null_ids_meet_the_target(spark, ids):
+    key = {"repeated": "7", "null": "cast(null as long)", "distinct": "id"}[ids]
+    hot = spark.range(1000).selectExpr(f"cast({key} as long) doc_id", "'a b c d e f g h i j' text", "'s' source")
+    other = spark.range(10).selectExpr("id + 5000 doc_id", "'a b c d e f g h i j' text", "'s' source")
+    docs = hot.unionByName(other)
+    for carry in (["doc_id"], None):
+        got = mixing.mix(docs, carry=carry).collect()
+        assert len(got) == 1010 and got[0]["target"] == 15150
+        assert abs(sum(r["taken"] for r in got) - 15150) <= 10
+    again = [sorted((r["doc"]["doc_id"] or -1, r["taken"]) for r in mixing.mix(docs.repartition(p), carry=["doc_id"]).collect()) for p in (2, 9)]
+    assert again[0] == again[1]
+    taken = mixing.repeat(docs)
+    assert taken.columns == docs.columns and abs(taken.count() - 1515) <= 1
+
+
 def test_edge_rows(spark):
     got = mixing.mix(odd(spark)).collect()
     assert len(got) == 13

@@ -10,10 +10,12 @@ order until the words that are still open are filled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wearline.llm.shared import SPACES, text_of, wrap
+from wearline.operators.ordered import row_index
 from wearline.session import broadcast_if_small, materialize
 
 MOST_COPIES = 2
@@ -77,9 +79,10 @@ def _expected(levels: DataFrame, most: int) -> DataFrame:
     return frame.withColumn("expected", F.when(F.col("target") > 0, expected).otherwise(F.lit(0.0)))
 
 
-def draw(key: Column, seed: int) -> Column:
-    """A number strictly between 0 and 1 that depends on key and seed only."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+def draw(key: Column, copy: Column, seed: int) -> Column:
+    """A number strictly between 0 and 1 that depends on key, copy and seed only."""
+    again = F.when(copy > 0, F.concat(F.lit("#"), copy.cast("string"))).otherwise(F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), again))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**48))
 
 
@@ -101,6 +104,28 @@ def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
+def numbered(sized: DataFrame, compact: DataFrame) -> DataFrame:
+    """``sized`` with ``copy``: 0, 1, ... within rows of one key, source and size, so that each has its own draw.
+
+    ``compact`` is a written table with the same rows. Only rows that have equals are numbered, in ranges
+    that cut also the largest group.
+    """
+    identity = ["key", "source", "size"]
+    groups = compact.groupBy(*identity).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    again = materialize(groups.select(*[F.col(c).alias(f"_{c}") for c in identity]))
+    if not again.take(1):
+        return sized.withColumn("copy", F.lit(0).cast("long"))
+    same = reduce(Column.__and__, [_same(c, f"_{c}") for c in identity])
+    again = broadcast_if_small(again)
+    once = sized.join(again, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    content = F.xxhash64("doc") if "doc" in sized.columns else F.lit(0).cast("long")
+    repeated = sized.join(again, same, "left_semi").withColumn("content", content)
+    # The number is fixed once the rows are written; it tells rows with the same content apart.
+    repeated = materialize(repeated.withColumn("written", F.monotonically_increasing_id()))
+    counted = row_index(repeated, ["content", "written"], identity, name="copy")
+    return once.unionByName(counted.drop("content", "written"))
+
+
 def _ranked(sized: DataFrame, levels: DataFrame, seed: int) -> DataFrame:
     """Adds target, whole copies and the Pareto rank, null if the copies are whole."""
     plan = levels.select(
@@ -114,7 +139,7 @@ def _ranked(sized: DataFrame, levels: DataFrame, seed: int) -> DataFrame:
     frame = sized.join(
         broadcast_if_small(plan), _same("source", "in_source") & (F.col("level") == F.col("in_level"))
     ).drop("in_source", "in_level")
-    u = draw(F.col("key"), seed)
+    u = draw(F.col("key"), F.col("copy"), seed)
     odds = (u / (1 - u)) / (F.col("inclusion") / (1 - F.col("inclusion")))
     return frame.withColumn("pareto", F.when((F.col("inclusion") > 0) & (F.col("size") > 0), odds))
 
@@ -205,14 +230,16 @@ def mix(
     """How often the mix takes each row: ``doc, size, source_size, target, copies, taken``.
 
     ``carry`` names the columns that ``doc`` keeps; None keeps all. Null text has size 0 and takes no
-    words; a source without words has target 0. A null source is a source, the last one. Rows
-    alike in doc_id, source and size share one draw. Reruns agree; an empty table gives no rows.
+    words; a source without words has target 0. A null source is a source, the last one. Repeated rows, and
+    rows without doc_id, are drawn one by one. Reruns agree; an empty table gives no rows.
     """
     sized = with_sizes(docs)
     kept = F.struct(*[F.col(f"doc.`{c}`") for c in carry or ()])
     compact = materialize(sized.withColumn("doc", kept) if carry else sized.drop("doc"))
-    levels, cuts = mixing_plan(compact, weights, share, most, seed)
-    return apply_plan(compact if carry else sized, levels, cuts, seed).drop("key", "source")
+    drawn = numbered(compact, compact)
+    levels, cuts = mixing_plan(drawn, weights, share, most, seed)
+    rows = drawn if carry else numbered(sized, compact)
+    return apply_plan(rows, levels, cuts, seed).drop("key", "source", "copy")
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:

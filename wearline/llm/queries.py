@@ -216,8 +216,9 @@ expected AS (
   FROM groups g LEFT JOIN chosen c ON g.source IS NOT DISTINCT FROM c.source),
 drawn AS (
   SELECT d.*, target, floor(e) AS whole, e - floor(e) AS pi,
-    (('0x' || substr(md5('17:' || doc_id::VARCHAR), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u
-  FROM leveled d JOIN expected x ON d.source IS NOT DISTINCT FROM x.source AND d.level = x.level),
+    (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || CASE WHEN copy > 0 THEN '#' || copy ELSE '' END), 1, 12))::BIGINT
+      + 0.5) / 281474976710656.0 AS u
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM leveled) d JOIN expected x ON d.source IS NOT DISTINCT FROM x.source AND d.level = x.level),
 ranked AS (
   SELECT *, CASE WHEN pi > 0 AND size > 0 THEN (u::DOUBLE / (1 - u::DOUBLE)) / (pi / (1 - pi)) END AS q,
     target - sum(whole * size) OVER (PARTITION BY source) AS open FROM drawn),
