@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-# MinHash, SimHash and the tokenizer are beyond SQL; tests compare run() to a brute-force version.
+# Edit similarity, MinHash and the tokenizer are beyond SQL; a test compares every stage to a brute-force version.
 ORACLE_SQL = None
 
 
