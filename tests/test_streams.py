@@ -217,7 +217,7 @@ def test_late_and_expired_rows_in_state(spark, tmp_path):
 
     def arrive(*rows):
         data = [(s, pd.Timestamp(t), d, float(s), 0.0) for s, t, d in rows]
-        spark.createDataFrame(pd.DataFrame(data, columns=["seq", "ts", "dev", "p", "on"]), SCHEMA).write.mode("append").parquet(src)
+        spark.createDataFrame(pd.DataFrame(data, columns=["seq", "ts", "dev", "p", "on"]), SCHEMA).coalesce(1).write.mode("append").parquet(src)
         made = jobs.state_sequences(stream(spark, src), ["p"], 2, keys=["dev"], expiry_hours=2.0)
         jobs.run_available(made, out, check)
 
