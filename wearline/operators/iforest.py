@@ -260,7 +260,7 @@ def score_iforest(df: DataFrame, forest: Forest, *, name: str = "score") -> Data
     """
     missing = [c for c in forest.features if c not in df.columns]
     if missing:
-        raise ValueError(f"missing features: {missing}")
+        raise ValueError(f"the forest was fitted on columns that the rows lack: {missing}")
     shared = df.sparkSession.sparkContext.broadcast((_arrays(forest), forest.sample, forest.offset))
 
     @F.pandas_udf(T.DoubleType())

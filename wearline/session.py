@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
         configured = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     fresh = tempfile.mkdtemp(prefix="wearline-")
     spark.conf.set(CHECKPOINT_CONF, fresh)
