@@ -65,6 +65,20 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote, once nothing reads them any more.
+
+    Each must be the frame as ``materialize`` returned it; other files are refused.
+    """
+    for df in tables:
+        for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+            if not re.fullmatch(r"table-[0-9a-f]{32}", folder.rpartition("/")[2]):
+                raise ValueError(f"{folder} is no table of this library")
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when a bounded count proves it small.
 
