@@ -127,7 +127,7 @@ def test_edge_rows(spark):
 
 def test_production_rule_equals_brute_force_by_edit_similarity(spark):
     rng = random.Random(12)
-    bases = [[f"w{rng.choice('abcdefghij')}{rng.choice('klmnop')}" for _ in range(n)] for n in (9, 10, 12, 19, 20, 27, 29, 30, 31, 45, 60, 100, 140)]
+    bases = [[f"w{rng.choice('abcdefghij')}{rng.choice('klmnop')}" for _ in range(n)] for n in (9, 10, 12, 19, 20, 27, 29, 30, 31, 45, 60, 100, 140, 230, 420)]
     rows = []
     for ws in bases:
         for k in range(9):
@@ -159,3 +159,49 @@ def test_short_lines_repeat_exactly(spark):
     rows = [(1, "read more here\n\n...\nShare", "en", "a", 1), (2, "Read more here!\n\n...\nshare this", "en", "a", 1), (3, "share\n...", "en", "a", 1)]
     got = {r["doc_id"]: r["removed"] for r in lines.removals(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {1: [], 2: [0], 3: [0]}
+
+
+def test_within_edits_equals_brute_force():
+    rng = random.Random(5)
+    seen = set()
+    for _ in range(600):
+        x = [rng.randrange(rng.choice((3, 40))) for _ in range(rng.randrange(1, 30))]
+        y = list(x)
+        for _ in range(rng.randrange(0, 7)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = [rng.randrange(40)] * rng.randrange(2)
+        limit = rng.randrange(0, 6)
+        # Hashes use all 64 bits, so half of them are negative as Spark's longs.
+        a, b = (np.array([(v * 0x9E3779B97F4A7C15) % (1 << 64) for v in w], np.uint64).view(np.int64) for w in (x, y))
+        want = edits(x, y) <= limit
+        seen.add(want)
+        assert lines.within_edits(a, b, limit) == want
+    assert seen == {True, False}
+
+
+def test_a_line_of_a_million_words_is_compared():
+    x = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 1_000_000)
+    y = np.concatenate([x[:10], x[11:500_000], [7, 8], x[500_000:]])
+    assert lines.within_edits(x, y, 100_000) and not lines.within_edits(x, y, 2)
+    assert not lines.within_edits(x, np.roll(x[::-1], 5) + 1, 100_000)
+
+
+def test_close_lines_share_as_many_buckets_as_the_last_step_asks(spark):
+    rng = random.Random(21)
+    rule = lines.DEFAULT
+    for n in (9, 10, 20, 28, 30, 45, 99, 100, 210, 430):
+        for _ in range(20):
+            x = [rng.getrandbits(64) for _ in range(n)]
+            y = list(x)
+            allowed = n * rule.away // 100
+            for at in rng.sample(range(n), allowed):
+                y[at] = rng.getrandbits(64)
+            if rng.random() < 0.5 and allowed:
+                y = x[allowed:]
+            words = np.array([*x, *y], np.uint64)
+            first, size = np.array([0, len(x)]), np.array([len(x), len(y)])
+            order = np.zeros(lines.ORDER_SLOTS, np.int32)
+            a, b = lines.rare_keys(words, first, size, order, rule).to_pylist()
+            shorter = min(len(x), len(y))
+            least = 2 + shorter // lines.WORDS_PER_SHARED if shorter >= rule.length_of(3) else 1
+            assert allowed == 0 or len(set(a) & set(b)) >= least

@@ -1,11 +1,11 @@
 """Fuzzy line dedup by edit similarity in words, on candidates that share rare words.
 
 Lines are normalised to words. Equal lines are one item. Two lines whose edit distance is at most
-``k`` for a longer length of ``n`` words have ``n - k`` words in common, so they share one of each
-line's first ``k + 1`` words, and two of its first ``k + 2``, in any order of all words. Rare words
-come first in that order, which makes small buckets and leaves no pair out. Candidates are confirmed
-by their edit similarity, and one occurrence per connected group of lines stays: the first by doc_id
-and position.
+``k`` for a longer length of ``n`` words have ``n - k`` words in common, so they share ``t`` of each
+line's first ``k + t`` words, in any order of all words. Rare words come first in that order, which
+makes small buckets and leaves no pair out; longer lines share more words. Candidates are confirmed
+by their edit similarity on 64-bit word hashes, and one occurrence per connected group of lines
+stays: the first by doc_id and position.
 
 A rule ``within_bits`` also wants SimHashes of at most ``bits`` differing bits. Such lines agree on at
 least two of ``bits + 2`` blocks, so they share the bucket of one pair of blocks.
@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, LongType
 from wearline.llm.linking import link
 from wearline.llm.shared import limit_batches, wrap
 from wearline.llm.texts import mix, text_bytes, words_of
-from wearline.session import broadcast_if_small, materialize
+from wearline.session import broadcast_if_small, discard, materialize
 
 # Digits count as one digit and ASCII punctuation as a blank, so that numbering does not tell lines apart.
 PLAIN = np.arange(256, dtype=np.uint8)
@@ -38,6 +38,8 @@ CHUNK_WORDS = 1 << 14
 ORDER_SLOTS = 1 << 18
 PARITY_BITS = 48
 LONGEST_MARK = (1 << 15) - 1
+# Lines in single-word buckets share one word more for each so many of their words.
+WORDS_PER_SHARED = 100
 
 
 @dataclass(frozen=True)
@@ -150,8 +152,8 @@ def rare_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.
     """Per line the buckets that it shares with every line of enough edit similarity.
 
     A word's second and further occurrences in a line count as other words. If the longer of two
-    lines may have two edits at most, the buckets are pairs of words, else single words; lines of
-    lengths that can be in both cases have both.
+    lines may have two edits at most, the buckets are pairs of words, else single words, of which two
+    lines share as many as ``_least_shared`` says; lines of lengths that can be in both cases have both.
     """
     kind = pa.list_(pa.int64())
     if not rule.away:
@@ -168,7 +170,8 @@ def rare_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.
     three = rule.length_of(3)
     lines, keys = [], []
     single = np.flatnonzero(size >= three - 3)
-    taken = edits[single] + 1
+    more = np.where(size[single] >= three, 2 + size[single] // WORDS_PER_SHARED, 1)
+    taken = np.minimum(edits[single] + more, size[single])
     lines.append(np.repeat(single, taken))
     place = np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken)
     keys.append(mix(words[np.repeat(first[single], taken) + place], 31))
@@ -238,11 +241,19 @@ def _buckets(sim: Column, rule: FuzzyLines) -> Column:
     return F.array(*keys)
 
 
-def _word_codes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n_words, codes) of the wanted lines: a string with one character per word.
+def _least_shared(rule: FuzzyLines):
+    """How many buckets two lines share at least, by their marks; the shorter one decides."""
 
-    Characters are a hash of the word to 20 bits, so edit distances of such strings count words.
-    """
+    def least(x: Column, y: Column) -> Column:
+        shorter = F.least(F.shiftright(x, PARITY_BITS), F.shiftright(y, PARITY_BITS))
+        more = 2 + F.floor(shorter / WORDS_PER_SHARED)
+        return F.when(shorter >= rule.length_of(3), more).otherwise(F.lit(1))
+
+    return least
+
+
+def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, words) of the wanted lines, words as hashes."""
     per_doc = wanted.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("place", "node")).alias("lines")
     )
@@ -252,26 +263,102 @@ def _word_codes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             lines = lines_of(batch.column("text"))
             first = np.searchsorted(lines.text, np.arange(len(batch)))
-            # Code points from 0x800 on, past the surrogates; all valid and of 3 or 4 bytes.
-            codes = (lines.hashes % np.uint64(1 << 20)).astype(np.uint32) + np.uint32(0xE000)
-            nodes, sizes, out = [], [], []
-            for row, asked in enumerate(batch.column("lines").to_pylist()):
-                for one in asked:
-                    at = first[row] + one["place"]
-                    part = codes[lines.bounds[at] : lines.bounds[at + 1]]
-                    nodes.append(one["node"])
-                    sizes.append(len(part))
-                    out.append(part.astype("<u4").tobytes().decode("utf-32-le"))
+            asked = pc.list_flatten(batch.column("lines"))
+            rows = first[pc.list_parent_indices(batch.column("lines")).to_numpy()]
+            at = rows + asked.field("place").to_numpy(zero_copy_only=False)
+            size = lines.bounds[at + 1] - lines.bounds[at]
+            ends = np.append(0, np.cumsum(size))
+            taken = np.repeat(lines.bounds[at] - ends[:-1], size) + np.arange(ends[-1])
+            words = pa.array(lines.hashes[taken].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(out, pa.string())],
-                ["node", "n_words", "codes"],
+                [asked.field("node"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words)],
+                ["node", "words"],
             )
 
     found = _keyed(docs).join(
         broadcast_if_small(per_doc, 20_000), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("with"))
     )
     # Rows alike in doc_id and text give the same lines.
-    return found.select("text", "lines").mapInArrow(run, "node long, n_words int, codes string").dropDuplicates(["node"])
+    return found.select("text", "lines").mapInArrow(run, "node long, words array<long>").dropDuplicates(["node"])
+
+
+def _shared_words(x: np.ndarray, y: np.ndarray) -> int:
+    """Words in common, as often as both have them; a hash collision can only add some."""
+
+    def numbered(words: np.ndarray) -> np.ndarray:
+        words = np.sort(words.view(np.uint64))
+        number = np.arange(len(words)) - np.searchsorted(words, words)
+        return mix(words + mix(number.astype(np.uint64), 34), 34)
+
+    both = np.sort(np.concatenate([numbered(x), numbered(y)]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _alike(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
+    """How many words of ``x`` from ``i`` on equal those of ``y`` from ``j`` on."""
+    left, done, step = min(len(x) - i, len(y) - j), 0, 16
+    while done < left:
+        to = min(left, done + step)
+        other = x[i + done : i + to] != y[j + done : j + to]
+        at = int(other.argmax())
+        if other[at]:
+            return done + at
+        done, step = to, 4 * step
+    return done
+
+
+def within_edits(x: np.ndarray, y: np.ndarray, limit: int) -> bool:
+    """Whether ``limit`` replaced, added or removed words turn ``x`` into ``y``.
+
+    Takes time in proportion to the lengths, and to the square of the edits that are needed: per number of edits
+    and per offset between the lines it keeps how far they can agree.
+    """
+    if abs(len(x) - len(y)) > limit:
+        return False
+    if max(len(x), len(y)) - _shared_words(x, y) > limit:
+        return False
+    goal = len(y) - len(x)
+    reached: dict[int, int] = {}
+    for edits in range(limit + 1):
+        now = {}
+        spare = limit - edits
+        for offset in range(max(-edits, goal - spare), min(edits, goal + spare) + 1):
+            if edits:
+                steps = [
+                    reached[offset - 1] if offset - 1 in reached else -1,
+                    reached[offset] + 1 if offset in reached else -1,
+                    reached[offset + 1] + 1 if offset + 1 in reached else -1,
+                ]
+                i = min(max(steps), len(x), len(y) - offset)
+            else:
+                i = 0
+            if i < max(0, -offset):
+                continue
+            now[offset] = i + _alike(x, y, i, i + offset)
+        if now.get(goal) == len(x):
+            return True
+        reached = now
+    return False
+
+
+def _confirmed(pairs: DataFrame, rule: FuzzyLines) -> DataFrame:
+    """(a, b) of the rows ``a, b, words_a, words_b`` whose edit similarity is high enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for name in ("words_a", "words_b"):
+                column = batch.column(name)
+                sides.append((column.values.to_numpy(), column.offsets.to_numpy()))
+            (left, at_a), (right, at_b) = sides
+            kept = []
+            for k in range(len(batch)):
+                x, y = left[at_a[k] : at_a[k + 1]], right[at_b[k] : at_b[k + 1]]
+                if within_edits(x, y, max(len(x), len(y)) * rule.away // 100):
+                    kept.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return pairs.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
@@ -285,21 +372,17 @@ def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
     all_lines = materialize(occurrences(docs, rule))
     first = F.min(F.struct("doc_id", "text_key", "place"))
     distinct = all_lines.groupBy("h1", "h2").agg(
-        F.min("sim").alias("sim"), F.min("n_words").alias("n_words"), F.count("*").alias("n"), first.alias("first")
+        F.min("sim").alias("sim"),
+        F.min("n_words").alias("n_words"),
+        F.count("*").alias("n"),
+        first.alias("first"),
+        # Equal lines have equal keys.
+        F.first("keys").alias("keys"),
     )
     # The id is fixed once the rows are written.
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
-    if rule.within_bits:
-        buckets = distinct.select(_buckets(F.col("sim"), rule).alias("keys"), "node", F.col("sim").alias("mark"))
-    else:
-        # The keys of a line's first occurrence; the place spreads lines that occur very often.
-        leads = distinct.select("first.*", "node", F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-        leads = leads.select(*[F.col(c).alias(f"_{c}") for c in leads.columns])
-        same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in ("doc_id", "text_key", "place")]
-        same += [F.col("_k1") == F.col("h1"), F.col("_k2") == F.col("h2")]
-        long_enough = all_lines.where(F.size("keys") > 0)
-        buckets = long_enough.join(leads, same).select("keys", F.col("_node").alias("node"), F.col("sim").alias("mark"))
-    members = buckets.select(F.explode("keys").alias("bucket"), "node", "mark")
+    keys = _buckets(F.col("sim"), rule) if rule.within_bits else F.col("keys")
+    members = distinct.select(F.explode(keys).alias("bucket"), "node", F.col("sim").alias("mark"))
 
     def fits(x: Column, y: Column) -> Column:
         if rule.within_bits:
@@ -317,24 +400,21 @@ def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
             pairs = pairs.join(one, F.col(side) == F.col(f"n_{side}"))
         return pairs
 
-    marks = distinct.select("node", F.struct("sim", "n_words").alias("m"))
-
     def screen(pairs: DataFrame) -> DataFrame:
-        shorter, longer = F.least("m_a.n_words", "m_b.n_words"), F.greatest("m_a.n_words", "m_b.n_words")
-        likely = fits(F.col("m_a.sim"), F.col("m_b.sim")) & (100 * shorter >= rule.percent * longer)
-        return both(pairs, marks, "m").where(likely).select("a", "b")
+        # ``fits`` has seen the marks; lengths beyond them and the words themselves are confirmed.
+        return pairs
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs)
         nodes = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
         wanted = distinct.join(broadcast_if_small(nodes), F.col("node") == F.col("of")).select("first.*", "node")
-        codes = materialize(_word_codes(docs, wanted).select("node", F.struct("n_words", "codes").alias("c")))
-        joined = both(pairs, codes, "c")
-        apart = F.levenshtein("c_a.codes", "c_b.codes")
-        longer = F.greatest("c_a.n_words", "c_b.n_words")
-        return joined.where(100 * (longer - apart) >= rule.percent * longer).select("a", "b")
+        words = materialize(_line_words(docs, wanted))
+        links = materialize(_confirmed(both(pairs, words, "words"), rule))
+        discard(pairs, words)
+        return links
 
-    grouped = link(members, fits, screen, confirm).withColumnRenamed("node", "of")
+    least = None if rule.within_bits else _least_shared(rule)
+    grouped = link(members, fits, screen, confirm, least_shared=least).withColumnRenamed("node", "of")
     lines = distinct.join(grouped, F.col("node") == F.col("of"), "left").drop("of")
     lines = materialize(
         lines.select("h1", "h2", "n", "first", F.coalesce("component", "node").alias("line_group"), "component")
@@ -349,7 +429,8 @@ def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
     )
     here = F.struct("doc_id", "text_key", "place")
     found = all_lines.join(several, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    gone = found.where(~here.eqNullSafe(F.col("keep"))).select("doc_id", "text_key", "place")
+    gone = materialize(found.where(~here.eqNullSafe(F.col("keep"))).select("doc_id", "text_key", "place"))
+    discard(all_lines, distinct, lines, several)
     return gone
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wearline.session import materialize
+from wearline.session import discard, materialize
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -59,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = materialize(_smaller(edges).distinct())
     before = _digest(current)
     while before[0]:
-        current = materialize(_stars(_stars(current, large=True), large=False))
+        before_stars, current = current, materialize(_stars(_stars(current, large=True), large=False))
+        discard(before_stars)
         after = _digest(current)
         if after == before:
             break
@@ -70,15 +71,19 @@ def components(edges: DataFrame) -> DataFrame:
 def _open_rows(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     """Rows of the buckets that hold more than one component, with their ``component``.
 
-    Components only grow, so the other buckets have nothing left to compare.
+    Components only grow, so the other buckets have nothing left to compare. ``rows``, a written
+    table, is deleted.
     """
     named = rows.select("bucket", "node", "mark").join(
         grouped.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left"
     )
     named = materialize(named.withColumn("component", F.coalesce("component", "node")).drop("of"))
+    discard(rows)
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = mixed.where(F.col("low") != F.col("high")).select("bucket")
-    return materialize(named.join(mixed, "bucket", "left_semi"))
+    still_open = materialize(named.join(mixed, "bucket", "left_semi"))
+    discard(named)
+    return still_open
 
 
 def link(
@@ -89,12 +94,15 @@ def link(
     narrow: Step | None = None,
     fits_narrowed: Callable[[Column, Column], Column] | None = None,
     rounds: int = 1,
+    least_shared: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(node, component) by all confirmed links between nodes that share a bucket.
 
     ``members`` has long ``bucket, node, mark``. ``fits(mark, mark)`` and ``screen``, on distinct pairs
     ``a < b``, are cheap necessary conditions; ``confirm`` keeps the true links. ``narrow`` gives
     the nodes that are still open better marks, for which ``fits_narrowed`` is a sharper condition.
+    ``least_shared(mark, mark)`` says how many buckets two linked nodes share at least; the last
+    step leaves out pairs that share fewer.
 
     First every node is compared to the smallest fitting of its buckets' smallest nodes. Groups of
     near copies collapse there, with one comparison per node. In each of ``rounds`` more, nodes
@@ -126,6 +134,7 @@ def link(
         pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         links = materialize(links.select("a", "b").union(confirm(screen(pairs.distinct())).select("a", "b")))
         rows = _open_rows(rows, components(links))
+    written = rows
     if narrow is not None:
         marks = materialize(narrow(rows.select("node").distinct()).select(F.col("node").alias("of"), "better"))
         rows = rows.join(marks, F.col("node") == F.col("of")).drop("mark", "of").withColumnRenamed("better", "mark")
@@ -141,5 +150,11 @@ def link(
         & (F.col("component_a") != F.col("component_b"))
         & fits(F.col("mark_a"), F.col("mark_b")),
     )
-    last = confirm(screen(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()))
-    return components(links.union(last.select("a", "b")))
+    least = F.lit(1) if least_shared is None else least_shared(F.col("mark_a"), F.col("mark_b"))
+    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+        F.count("*").alias("n"), F.max(least).alias("least")
+    )
+    last = confirm(screen(pairs.where(F.col("n") >= F.col("least")).select("a", "b")))
+    found = components(links.union(last.select("a", "b")))
+    discard(written)
+    return found
