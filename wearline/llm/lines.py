@@ -253,7 +253,7 @@ def _least_shared(rule: FuzzyLines):
 
 
 def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) of the wanted lines, words as hashes."""
+    """(node, words) of the wanted lines: their words' 64-bit hashes as bytes, which go to Arrow and back as they are."""
     per_doc = wanted.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("place", "node")).alias("lines")
     )
@@ -269,17 +269,15 @@ def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             size = lines.bounds[at + 1] - lines.bounds[at]
             ends = np.append(0, np.cumsum(size))
             taken = np.repeat(lines.bounds[at] - ends[:-1], size) + np.arange(ends[-1])
-            words = pa.array(lines.hashes[taken].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [asked.field("node"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words)],
-                ["node", "words"],
-            )
+            buffers = [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(lines.hashes[taken])]
+            words = pa.Array.from_buffers(pa.binary(), len(size), buffers)
+            yield pa.RecordBatch.from_arrays([asked.field("node"), words], ["node", "words"])
 
     found = _keyed(docs).join(
         broadcast_if_small(per_doc, 20_000), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("with"))
     )
     # Rows alike in doc_id and text give the same lines.
-    return found.select("text", "lines").mapInArrow(run, "node long, words array<long>").dropDuplicates(["node"])
+    return found.select("text", "lines").mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
 def _shared_words(x: np.ndarray, y: np.ndarray) -> int:
@@ -346,14 +344,9 @@ def _confirmed(pairs: DataFrame, rule: FuzzyLines) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for name in ("words_a", "words_b"):
-                column = batch.column(name)
-                sides.append((column.values.to_numpy(), column.offsets.to_numpy()))
-            (left, at_a), (right, at_b) = sides
             kept = []
-            for k in range(len(batch)):
-                x, y = left[at_a[k] : at_a[k + 1]], right[at_b[k] : at_b[k + 1]]
+            for k, both in enumerate(zip(batch.column("words_a"), batch.column("words_b"))):
+                x, y = (np.frombuffer(words.as_buffer(), np.uint64) for words in both)
                 if within_edits(x, y, max(len(x), len(y)) * rule.away // 100):
                     kept.append(k)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
