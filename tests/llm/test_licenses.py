@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tests.llm.helpers import empty, odd
@@ -13,7 +15,7 @@ def found(spark, texts):
 def test_every_template_is_its_own_license(spark, name):
     scanner = licenses.scanner(tuple((n, t) for n, texts in licenses.TEMPLATES.items() for t in texts))
     for text in licenses.TEMPLATES[name]:
-        assert scanner.scan(f"Some words before. {text} And after.", 3, 0.1)[0] == name
+        assert [x[1] for x in scanner.statements(f"Some words before. {text} And after.", 0.1)] == [name]
 
 
 def test_versions_and_near_names_are_told_apart(spark):
@@ -83,3 +85,57 @@ def test_wrapped_late_and_several_statements(spark):
     got = found(spark, [long_one, both])
     assert [(i, n) for i, n, _ in got] == [(0, "GPL-3.0"), (1, "MIT"), (1, "CC-BY-4.0"), (1, "CC-BY-SA-4.0")]
     assert [both[s:].startswith(("Released", "Licensed")) for i, _, s in got if i] == [True] * 3
+
+
+TWINS = {
+    "X": ("Use, copying and any distribution of these files are allowed under this license by its holders",),
+    "Y": ("Use, copying and any distribution of these notes are allowed under this license by its holders",),
+}
+
+
+def test_compression_decides_between_like_templates(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, TWINS["X"][0]), (2, TWINS["Y"][0])], "doc_id long, text string")
+    for templates in (TWINS, dict(reversed(TWINS.items()))):
+        got = licenses.scan_licenses(frame, templates).orderBy("doc.doc_id").collect()
+        assert [(r["license"], r["missing"], r["saved"] > 0.5) for r in got] == [("X", [], True), ("Y", [], True)]
+    scanner = licenses.Scanner(tuple((n, t) for n, (t,) in TWINS.items()))
+    best = scanner.ranked
+    # The wording would allow either; without a saving there is no candidate.
+    monkeypatch.setattr(scanner, "ranked", lambda block: [(0.5, i) for _, i in reversed(best(block))])
+    assert [(x[1], x[3]) for x in scanner.statements(TWINS["X"][0], 0.1)] == [("Y", ["notes"])]
+    monkeypatch.setattr(scanner, "ranked", lambda block: [(0.0, i) for _, i in best(block)])
+    assert scanner.statements(TWINS["X"][0], 0.1) == []
+
+
+def test_decided_stretches_are_not_compared_again(monkeypatch):
+    scanner = licenses.Scanner(tuple((n, t) for n, (t,) in TWINS.items()))
+    asked = []
+    whole = scanner.differences
+    monkeypatch.setattr(scanner, "differences", lambda number, have: asked.append(number) or whole(number, have))
+    assert [x[1] for x in scanner.statements(TWINS["Y"][0], 0.1)] == ["Y"]
+    assert set(asked) == {1}
+
+
+def every_statement(scanner, block, allowed=0.1):
+    """The names found if every template is compared, whatever it saves."""
+    have = licenses.words(block)
+    found, taken = [], bytearray(len(have))
+    for _, number in scanner.ranked(block):
+        for first, end, *_ in scanner.confirmed(number, have, bytearray(len(have)), allowed):
+            if not any(taken[first:end]):
+                taken[first:end] = b"\1" * (end - first)
+                found.append(scanner.templates[number][0])
+    return sorted(found)
+
+
+def test_no_statement_is_lost_for_lack_of_a_saving():
+    scanner = licenses.scanner(tuple((n, t) for n, texts in licenses.TEMPLATES.items() for t in texts))
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    noise = " ".join(f"w{i * i % 997}x and the license of {i}" for i in range(60))
+    blocks = [f"{a} {noise} {b}" for a in texts for b in texts]
+    blocks += [" ".join([a, a, *texts, a]) for a in texts]
+    rng = random.Random(3)
+    blocks += [" ".join([rng.choice((noise, "the license of a version", a)) for _ in range(60)]) for a in texts]
+    blocks += [" ".join([noise] * n + [a] + [noise] * 40) for a in texts for n in (0, 7, 40)]
+    for block in blocks:
+        assert sorted(x[1] for x in scanner.statements(block, 0.1)) == every_statement(scanner, block)

@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
-Templates are confirmed in the blocks of text around license words by the exact differences in
-wording: words of the template that the text lacks, and words it has in between. Blocks are compressed
-with each template as a raw dictionary; of statements that overlap, the one whose template shrinks the
-block most is the likeliest.
+Blocks of text around license words are compressed with each template as a raw dictionary. Every
+template that makes its block smaller is a candidate; the best saving is confirmed first, by the exact
+differences in wording: words of the template that the text lacks, and words it has in between. A
+stretch of words belongs to the first template confirmed there, and no later one is compared with it.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ TEMPLATES: Mapping[str, Sequence[str]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+# Lower levels skip ahead in text without matches and miss a short statement at its end.
+LEVEL = 9
 TRIGGER = r"(?i)licen[cs]e|permission\W+is\W+hereby|redistribution\W+and\W+use|public\W+domain|copyleft"
 AROUND = 600  # least characters of a block before and after a license word
 _FOUND = re.compile(TRIGGER[4:], re.IGNORECASE)
@@ -94,14 +96,14 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         import zstandard
 
-        self.plain = zstandard.ZstdCompressor(level=3)
+        self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.templates = [(name, words(text)) for name, text in templates]
         self.counts = [Counter(want) for _, want in self.templates]
         # Line feeds and comment marks stretch a notice.
         self.reach = max([AROUND, *(2 * len(text) for _, text in templates)])
         self.given = [
             zstandard.ZstdCompressor(
-                level=3,
+                level=LEVEL,
                 dict_data=zstandard.ZstdCompressionDict(
                     text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT
                 ),
@@ -110,11 +112,17 @@ class Scanner:
         ]
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(share of the compressed size that the template saves, its number), best first."""
-        data = block.lower().encode("utf-8", "replace")
-        alone = len(self.plain.compress(data))
-        saved = [(1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
+        """(share of the compressed size that the template saves, its number), best first.
+
+        Long blocks are compressed in parts that overlap by the reach of a statement; the best part counts.
+        """
+        block = block.lower()
+        saved = [-1.0] * len(self.given)
+        for at in range(0, max(1, len(block) - self.reach), 3 * self.reach):
+            data = block[at : at + 4 * self.reach].encode("utf-8", "replace")
+            alone = len(self.plain.compress(data))
+            saved = [max(s, 1 - len(c.compress(data)) / alone) for s, c in zip(saved, self.given)]
+        return sorted(((s, i) for i, s in enumerate(saved)), key=lambda x: (-x[0], x[1]))
 
     def differences(self, number: int, have: list[str]) -> tuple[int, int, list[str], list[str]]:
         """(first and last + 1 matching word, template words lacking, words in between)."""
@@ -128,8 +136,8 @@ class Scanner:
         missing = [w for i, w in enumerate(want) if i not in in_want]
         return first, end, missing, [have[i] for i in range(first, end) if i not in in_have]
 
-    def confirmed(self, number: int, have: list[str], allowed: float) -> list[tuple[int, int, list[str], list[str]]]:
-        """The template's places in the words ``have``, the most alike first."""
+    def confirmed(self, number: int, have: list[str], taken: bytearray, allowed: float) -> list[tuple[int, int, list[str], list[str]]]:
+        """The template's places among the words ``have`` that are not ``taken``, the most alike first."""
         want = self.templates[number][1]
         limit = int(allowed * len(want) + 1e-9)
         if (self.counts[number] - Counter(have)).total() > limit:
@@ -137,7 +145,7 @@ class Scanner:
         # At most ``limit`` words lack, so one of the first ``limit + 1`` begins the statement.
         begins, out = set(want[: limit + 1]), []
         for at, word in enumerate(have):
-            if word not in begins:
+            if taken[at] or word not in begins:
                 continue
             part = have[at : at + len(want) + limit]
             if (self.counts[number] - Counter(part)).total() > limit:
@@ -148,30 +156,20 @@ class Scanner:
                 out.append((at + first, at + end, missing, extra))
         return sorted(out, key=lambda x: (len(x[2]) + len(x[3]), x[0]))
 
-    def statements(self, block: str, tried: int | None, allowed: float) -> list[tuple[int, str, float, list[str], list[str]]]:
-        """(start, license, saved, missing, extra) of the block's statements, none over another.
-
-        ``tried`` looks at the templates of the best savings only, None at all.
-        """
+    def statements(self, block: str, allowed: float) -> list[tuple[int, str, float, list[str], list[str]]]:
+        """(start, license, saved, missing, extra) of the block's statements, none over another."""
         places = [m.span() for m in _WORDS.finditer(block)]
         have = [block[a:b].lower() for a, b in places]
-        numbers = range(len(self.templates)) if tried is None else [i for _, i in self.ranked(block)[:tried]]
-        known = {i: found for i in numbers if (found := self.confirmed(i, have, allowed))}
-        if not known:
-            return []
         taken, out = bytearray(len(have)), []
         for saved, number in self.ranked(block):
-            for first, end, missing, extra in known.get(number, ()):
+            if saved <= 0:
+                break
+            for first, end, missing, extra in self.confirmed(number, have, taken, allowed):
                 if not any(taken[first:end]):
                     taken[first:end] = b"\1" * (end - first)
                     out.append((places[first][0], self.templates[number][0], saved, missing, extra))
         return sorted(out)
 
-    def scan(self, block: str, tried: int | None, allowed: float) -> tuple[str, float, list[str], list[str]] | None:
-        """The statement of the best saving."""
-        found = self.statements(block, tried, allowed)
-        return max(found, key=lambda x: x[2])[1:] if found else None
-
     # Words that tell one license from another; a difference in them is never accepted.
     naming = frozenset(
         "apache mit gnu general lesser affero public mozilla bsd bsd-style cc cc0 by by-sa by-nc by-nd"
@@ -187,15 +185,14 @@ def scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
 def scan_licenses(
     docs: DataFrame,
     templates: Mapping[str, Sequence[str]] = TEMPLATES,
-    tried: int | None = None,
     allowed: float = 0.1,
 ) -> DataFrame:
     """Every license statement: ``doc``, ``start``, ``license``, ``saved``, ``missing``, ``extra``.
 
     ``start`` is the statement's first character; ``saved`` the share of its block's compressed size
     that the template saves; ``missing`` and ``extra`` the differing words, at most ``allowed`` of the
-    template's words each. All templates are compared, or the ``tried`` of the best savings. Of
-    statements that overlap the best saving stays, at equal saving the earlier template. Null and empty
+    template's words each. Templates that save nothing are no candidates; of statements that overlap
+    the best saving stays, at equal saving the earlier template. Null and empty
     texts have none; texts are read whole; a repeated row repeats its rows; an empty table gives none.
     """
     listed = tuple((name, text) for name, texts in templates.items() for text in texts)
@@ -207,7 +204,7 @@ def scan_licenses(
             for text in batch:
                 rows = []
                 for start, block in blocks(text.as_py() or "", known.reach):
-                    for at, name, saved, missing, extra in known.statements(block, tried, allowed):
+                    for at, name, saved, missing, extra in known.statements(block, allowed):
                         rows.append({"start": start + at, "license": name, "saved": saved, "missing": missing, "extra": extra})
                 out.append(rows)
             yield pa.array(out, kind)
