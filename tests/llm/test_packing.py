@@ -88,6 +88,59 @@ def test_given_weights_steer_the_first_windows(spark, library):
     assert abs(first["a"] - 96) <= 1 and abs(first["b"] - 32) <= 1
 
 
+def served(rows, length):
+    """(tokens of all, tokens by source) after each piece in the order of the sequences."""
+    by, out = Counter(), []
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        by[r["source"]] += r["length"]
+        out.append((r["sequence_id"] * length + r["offset"] + r["length"], Counter(by)))
+    return out
+
+
+def check_shares(rows, length, weights, window):
+    """Each queue has its share of what queues with tokens left get, from the first window to the last."""
+    total = Counter()
+    for r in rows:
+        total[r["source"]] += r["length"]
+    level, ends = 0.0, sorted(total, key=lambda s: total[s] / weights[s])
+    for at, by in served(rows, length):
+        assert at == sum(by.values())
+        # The level at which the queues together have served as much.
+        left = at
+        for i, s in enumerate(ends):
+            active = sum(weights[x] for x in ends[i:])
+            level = (left - sum(total[x] for x in ends[:i])) / active
+            if level <= total[s] / weights[s]:
+                break
+        for s in total:
+            assert abs(by[s] - min(total[s], level * weights[s])) <= window + len(total)
+
+
+def test_repeating_shares_hold_until_queues_end_and_after(spark, library):
+    counts = {"a": 40, "b": 70, "c": 30, "é": 50, None: 20}
+    shares = {"a": 5, "b": 2, "c": 1, "é": 5, None: 2}
+    docs = [(i, "the big dog " * (1 + i % 7), "en", s, 1) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    frame = spark.createDataFrame(docs, DOCS).repartition(6)
+    rows = packing.pack(frame, PATH, 32, per_window=2, weights=(5, 2, 1)).collect()
+    check(rows, [(r[0], r[1]) for r in docs], library, 32)
+    check_shares(rows, 32, shares, 64)
+    with pytest.raises(AssertionError):
+        check_shares(packing.pack(frame, PATH, 32, per_window=2).collect(), 32, shares, 64)
+    with pytest.raises(ValueError):
+        packing.pack(frame, PATH, 32, weights=(5, 0))
+
+
+def test_the_query_packs_at_target_shares(spark):
+    from wearline.llm.queries import deficit_packing
+
+    sf = "/root/testdata/sf0.001"
+    pieces = deficit_packing(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id")
+    rows = pieces.collect()
+    names = sorted({r["source"] for r in rows} - {None})
+    shares = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)} | {None: (5, 2, 1)[len(names) % 3]}
+    check_shares(rows, 4096, shares, 16 * 4096)
+
+
 def test_small_buckets_change_nothing_but_the_order(spark, library, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 3)
     check(packing.pack(odd(spark), PATH, 64).collect(), [(r["doc_id"], r["text"]) for r in odd(spark).collect()], library, 64)

@@ -14,7 +14,7 @@ import functools
 import re
 import zlib
 from array import array
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wearline.llm.shared import limit_batches
 from wearline.session import broadcast_if_small, materialize
 
+# Target shares by source, or to be repeated over the sources.
+Weights = Mapping[str, float] | Sequence[float] | None
+
 CACHED = 250_000
 LONGEST = 40
 ROWS_PER_BUCKET = 20_000
@@ -162,21 +165,31 @@ def _served(window: Column) -> Column:
     return F.least(F.col("total"), F.floor(window * F.col("credit")))
 
 
-def layout(
-    rows: DataFrame, length: int, window: int, weights: Mapping[str, float] | None = None
-) -> DataFrame:
+def _weight(weights: Weights) -> Column:
+    """The target share of a row of the queues (source, total)."""
+    if weights is None or isinstance(weights, Mapping):
+        weight = F.col("total").cast("double")
+        for name, value in (weights or {}).items():
+            weight = F.when(F.col("source") == name, F.lit(float(value))).otherwise(weight)
+        return weight
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1
+    return F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place % len(weights) + 1)
+
+
+def layout(rows: DataFrame, length: int, window: int, weights: Weights = None) -> DataFrame:
     """Where the tokens of each row go: ``row_key, start, length, sequence_id, offset`` per piece.
 
-    ``rows`` has row_key, source and n_tokens. ``weights`` are target shares by source; None, and
-    sources without a weight, take a source's own tokens, so that all queues end together. Queues
-    that end earlier leave their part of later windows out; what follows moves up.
+    ``rows`` has row_key, source and n_tokens. ``weights`` are target shares: by source, or a
+    sequence that repeats over the sources by code point, null last. None, and sources without a
+    weight, take a source's own tokens, so that all queues end together. Queues that end earlier
+    leave their part of later windows out; what follows moves up, so that the others keep their
+    shares among themselves.
     """
-    queues = rows.groupBy("source").agg(F.sum("n_tokens").alias("total"))
-    weight = F.col("total").cast("double")
-    for name, value in (weights or {}).items():
-        weight = F.when(F.col("source") == name, F.lit(float(value))).otherwise(weight)
+    given = weights.values() if isinstance(weights, Mapping) else weights
+    if given is not None and not all(w > 0 for w in given):
+        raise ValueError("target shares are above 0")
     # One row per source.
-    queues = queues.withColumn("weight", weight)
+    queues = rows.groupBy("source").agg(F.sum("n_tokens").alias("total")).withColumn("weight", _weight(weights))
     credit = window * F.col("weight") / F.sum("weight").over(Window.partitionBy())
     queues = materialize(queues.select(F.col("source").alias("queue"), "total", credit.alias("credit")))
     count = rows.count()
@@ -246,7 +259,7 @@ def pack(
     length: int = 4096,
     end: int = 2,
     per_window: int = 16,
-    weights: Mapping[str, float] | None = None,
+    weights: Weights = None,
 ) -> DataFrame:
     """Pieces of documents in sequences of ``length`` tokens.
 

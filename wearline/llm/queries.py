@@ -253,7 +253,7 @@ def fuzzy_lines(spark, sf_dir):
 @query("op8_deficit_packing")
 def deficit_packing(spark, sf_dir):
     docs = read_documents(spark, sf_dir)
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), weights=(5, 2, 1))
     return pieces.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
