@@ -39,8 +39,8 @@ def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4,096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of the documents in sequences of 4,096 tokens, at the shares of the mix while all sources last."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), weights=(5, 2, 1))
 
 
 STAGES: list[tuple[str, Stage]] = [
