@@ -1,3 +1,9 @@
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
 from tests.llm.helpers import empty, odd
 from wearline.llm import language
 
@@ -58,3 +64,41 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op4_rank_order_language"](spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.98 * len(got) > 100
+
+
+def plain_ranks(counts, length):
+    """n-grams in the order of their counts, ties by the number that their characters make."""
+    number = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return sorted(counts, key=lambda g: (-counts[g], number(g)))[:length]
+
+
+def plain_grams(text):
+    runs = re.findall(r"[^\W\d_]+", (text or "").lower())
+    whole = f" {' '.join(runs)} " if runs else ""
+    return Counter(whole[i : i + n] for n in (1, 2, 3) for i in range(len(whole) - n + 1) if whole[i : i + n] != " ")
+
+
+def test_every_document_equals_brute_force(spark):
+    from wearline.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = defaultdict(Counter)
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None:
+            counts[r["lang"]] += plain_grams(r["text"])
+    places = {lang: {g: k for k, g in enumerate(plain_ranks(c, 300))} for lang, c in counts.items()}
+    got = {r["doc_id"]: r for r in QUERIES["op4_rank_order_language"](spark, sf).collect()}
+    assert len(got) == len(docs) > 100 and len(places) > 2
+    for r in docs:
+        mine = plain_ranks(plain_grams(r["text"]), 300)
+        if not mine:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        away = {
+            lang: sum(abs(known[g] - k) if g in known else 300 for k, g in enumerate(mine))
+            for lang, known in places.items()
+        }
+        best = min(sorted(away), key=away.get)
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 - away[best] / (300 * len(mine)))
