@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -153,32 +154,113 @@ def ks_series(distance: Column, n: Column, m: Column) -> Column:
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
+# A band of more cells is walked in blocks of steps: step by step at its borders, by convolution between.
+WIDE_BAND = 4096
+
+
+def _walk(mass, base: int, floor, ceiling, rise):
+    """Walk rows of ``mass``, whose first cell is position ``base``, a step per entry of the bounds.
+
+    A step stays or goes up by one. Gives the mass after it and what left below and above at each step.
+    """
+    width = mass.shape[1] + len(floor)
+    now, then = np.zeros((2, len(mass), width))
+    now[:, : mass.shape[1]] = mass
+    moved, stay = np.empty((len(mass), width - 1)), 1.0 - rise
+    below, above = np.zeros((2, len(mass), len(floor)))
+    for k, (low, high) in enumerate(zip((floor - 1 - base).tolist(), (ceiling + 1 - base).tolist())):
+        np.multiply(now[:, :-1], rise, out=moved)
+        np.multiply(now, stay, out=then)
+        then[:, 1:] += moved
+        if 0 <= low < width:
+            below[:, k] = then[:, low]
+            then[:, low] = 0.0
+        if 0 <= high < width:
+            above[:, k] = then[:, high]
+            then[:, high] = 0.0
+        now, then = then, now
+    return now, below, above
+
+
+def _jump(mass, rise, steps: int):
+    """Rows of mass after ``steps`` steps, a power of two, without bounds."""
+    size = 1 << (mass.shape[1] + steps - 1).bit_length()
+    moves = np.stack([1.0 - rise[:, 0], rise[:, 0]], axis=1)
+    while moves.shape[1] <= steps:
+        moves = np.stack([np.convolve(row, row) for row in moves])
+    spread = np.fft.irfft(np.fft.rfft(mass, size) * np.fft.rfft(moves, size), size)
+    return spread[:, : mass.shape[1] + steps]
+
+
+def _weights(cells, step: int, first: float, n: int, m: int, rise: float):
+    """Log of each cell's share of full interleavings over the walk's own probability.
+
+    ``cells`` are the cell at ``step``, whose log is ``first``, and those after it, which get theirs.
+    """
+    at, left = cells[:-1], n + m - step - np.arange(len(cells) - 1)
+    up = np.maximum(n - at, 0) / (left * rise)
+    stay = np.maximum(left - n + at, 0) / (left * (1.0 - rise))
+    with np.errstate(divide="ignore"):
+        return first + np.cumsum(np.log(np.where(np.diff(cells) > 0, up, stay)))
+
+
 def exact_ks_tail(distance: float, n: int, m: int) -> float:
     """Probability that a random interleaving of n and m values reaches ``distance``.
 
-    Walks the interleaving step by step over the splits of the step between both samples, within
-    the band in which the distance is not reached; the mass that leaves the band is summed.
+    Walks the interleaving over the splits of each step between both samples, within the band in
+    which the distance is not reached, and sums what leaves it. Two walks of independent steps go
+    side by side, each drawn to one border, so that rare ways out keep their digits; an exit counts
+    by its share of full interleavings. Time grows as n + m times the root of the band's width.
     """
     reach = round(distance * n * m)
     if reach <= 0:
         return 1.0
-    # After ``step`` values, i of them from the first sample: |i m - (step - i) n| < reach.
-    low, mass, lost = 0, np.ones(1), 0.0
-    for step in range(n + m):
-        taken = np.arange(low, low + len(mass))
-        other, left = step - taken, n + m - step
-        to_first = np.where((other >= 0) & (other <= m), (n - taken) / left, 0.0)
-        to_other = np.where((other >= 0) & (other < m), (m - other) / left, 0.0)
-        moved = np.append(mass * to_other, 0.0)
-        moved[1:] += mass * to_first
-        taken = np.arange(low, low + len(moved))
-        inside = np.flatnonzero(np.abs(taken * m - (step + 1 - taken) * n) < reach)
-        if not len(inside):
-            return float(min(1.0, lost + moved.sum()))
-        first, last = inside[0], inside[-1] + 1
-        lost += moved[:first].sum() + moved[last:].sum()
-        low, mass = low + int(first), moved[first:last]
-    return float(min(1.0, lost))
+    total = n + m
+    share, pull = n / total, 2.0 * reach / total**2
+    rise = np.array([[min(share + pull, (1.0 + share) / 2)], [max(share - pull, share / 2)]])
+    up, down = float(rise[0, 0]), float(1.0 - rise[1, 0])
+
+    # After ``t`` values, i of them from the first sample: |i total - t n| < reach.
+    def bounds(t):
+        return (t * n - reach) // total + 1, -((-t * n - reach) // total) - 1
+
+    low, high = bounds(0)
+    wide = high - low >= WIDE_BAND
+    steps = 1 << max(4, round(math.log2(8 * (high - low)) / 2)) if wide else 512
+    mass = np.zeros((2, high - low + 1))
+    mass[:, -low] = 1.0
+
+    def start(cell: int, n: int, m: int, p: float) -> float:
+        k = np.arange(cell)
+        with np.errstate(divide="ignore"):
+            return float(np.log(np.maximum(n - k, 0) / (m + k + 1) * ((1.0 - p) / p)).sum())
+
+    log_up, log_down, lost = start(high + 1, n, m, up), start(1 - low, m, n, down), 0.0
+    for step in range(0, total, steps):
+        t = np.arange(step, min(step + steps, total) + 1)
+        lows, highs = bounds(t)
+        low, high, later, top = (int(x) for x in (lows[0], highs[0], lows[-1], highs[-1]))
+        k = len(t) - 1
+        if wide and k == steps and high - later >= 2 * steps:
+            after = np.zeros((2, top - later + 1))
+            cut = later - low
+            # Up to ``high`` the border above is out of reach; from below ``later`` the one below is not.
+            after[:, : high - later + 1] = _jump(mass[:, cut:], rise, k)[:, : high - later + 1]
+            ends, _, above = _walk(mass[:, -k:], high - k + 1, lows[1:], highs[1:], rise)
+            after[:, high - later + 1 :] = ends[:, k : k + top - high]
+            ends, below, _ = _walk(mass[:, :cut], low, lows[1:], highs[1:], rise)
+            after[:, :k] += ends[:, cut : cut + k]
+            mass = after
+        else:
+            ends, below, above = _walk(mass, low, lows[1:], highs[1:], rise)
+            mass = ends[:, later - low : top - low + 1]
+        ups = _weights(highs + 1, step, log_up, n, m, up)
+        downs = _weights(t - lows + 1, step, log_down, m, n, down)
+        with np.errstate(divide="ignore"):
+            out = np.log(np.maximum([above[0], below[1]], 0.0)) + [ups, downs]
+        lost += float(np.exp(out).sum())
+        log_up, log_down = float(ups[-1]), float(downs[-1])
+    return min(1.0, lost)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -202,8 +284,8 @@ def ks_2samp(
 ) -> DataFrame:
     """Two-sample distance and p-value per feature.
 
-    ``series`` is the large-sample p-value, ``exact`` the exact one, each at any size. The exact
-    walk takes time in proportion to both sample sizes times the distance.
+    ``series`` is the large-sample p-value, ``exact`` the exact one, each at any size, with a task
+    per feature.
     """
     if method not in ("exact", "series"):
         raise ValueError(f"unknown method {method!r}")
@@ -228,6 +310,9 @@ def _distance(counts: DataFrame, method: str, rows_per_bucket: int) -> DataFrame
         F.max(gap).alias("ks_distance"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur")
     )
     if method == "exact":
+        # One row per feature, each in a task of its own for its walk.
+        found = materialize(found)
+        found = found.repartitionByRange(max(found.count(), 1), "feature")
         p = _exact_p("ks_distance", "n_ref", "n_cur")
     else:
         p = ks_series(F.col("ks_distance"), F.col("n_ref"), F.col("n_cur"))
