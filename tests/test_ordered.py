@@ -221,3 +221,16 @@ def test_one_type_rule_for_quantiles(spark, monkeypatch):
     want = o.exact_quantiles(df, "v", [0.25, 0.5]).collect()
     monkeypatch.setattr(o, "NARROW_BUCKETS", 1)
     assert o.exact_quantiles(df, "v", [0.25, 0.5], rows_per_bucket=100).collect() == want
+
+
+def _ranges(df):
+    return df.select("_range").distinct().count()
+
+
+def test_small_ranges_stay_few(spark):
+    """More rows make the ranges larger, not more."""
+    rows = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("x"))
+    ranged = o.arrange(rows, ["x"], rows_per_bucket=5)
+    assert ranged.cut and 100 < _ranges(ranged.frame) <= o.MAX_SMALL_RANGES
+    indexed = o.row_index(rows, ["x"], rows_per_bucket=5)
+    assert indexed.count() == 4000 and indexed.where("x <> row_index").count() == 0
