@@ -234,3 +234,22 @@ def test_small_ranges_stay_few(spark):
     assert ranged.cut and 100 < _ranges(ranged.frame) <= o.MAX_SMALL_RANGES
     indexed = o.row_index(rows, ["x"], rows_per_bucket=5)
     assert indexed.count() == 4000 and indexed.where("x <> row_index").count() == 0
+
+
+def test_a_long_audit_is_replayed_in_few_ranges(spark):
+    """Promotions and rollbacks take turns; files of the steps tell the tasks that walked them."""
+    audit = spark.range(3000).selectExpr(
+        "'m' || (id % 3) AS model",
+        "id AS seq",
+        "CASE WHEN id < 30 THEN 'register' WHEN id % 2 = 0 THEN 'promote' ELSE 'rollback' END AS action",
+        "'v' || (id % 10) AS version",
+    )
+    from wearline.operators import governance
+
+    cut, plain = (
+        sorted(tuple(r) for r in governance.replay_audit(audit, rows_per_bucket=size).collect())
+        for size in (5, 10_000)
+    )
+    assert cut == plain and len(cut) == 3
+    staged = o.arrange(audit, ["seq"], ["model"], rows_per_bucket=5).frame
+    assert len(staged.inputFiles()) <= o.MAX_SMALL_RANGES
