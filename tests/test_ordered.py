@@ -253,3 +253,13 @@ def test_a_long_audit_is_replayed_in_few_ranges(spark):
     assert cut == plain and len(cut) == 3
     staged = o.arrange(audit, ["seq"], ["model"], rows_per_bucket=5).frame
     assert len(staged.inputFiles()) <= o.MAX_SMALL_RANGES
+
+
+def test_text_keys_send_few_rows_to_the_driver(spark):
+    """The sample for the borders grows with the ranges, so they are few for text as well."""
+    rows = spark.range(4000).selectExpr("id", "'s' || (id % 3) AS k", "'priority-' || (id % 5) AS p")
+    ranged = o.arrange(rows, ["p", "id"], ["k"], rows_per_bucket=5)
+    assert _ranges(ranged.frame) <= o.MAX_SMALL_RANGES
+    want = {r["id"]: r["i"] for r in rows.selectExpr("id", "row_number() OVER (PARTITION BY k ORDER BY p, id) - 1 AS i").collect()}
+    got = o.row_index(rows, ["p", "id"], ["k"], rows_per_bucket=5)
+    assert {r["id"]: r["row_index"] for r in got.collect()} == want
