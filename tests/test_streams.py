@@ -233,6 +233,27 @@ def test_late_and_expired_rows_in_state(spark, tmp_path):
         jobs.state_sequences(stream(spark, src), ["p"], 2, keys=[])
 
 
+def test_state_of_many_keys_lies_in_buckets(spark, tmp_path):
+    """Calls and state rows are bounded by the buckets, not by the keys; null keys stay apart."""
+    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
+    rows = spark.range(1200).selectExpr(
+        "id AS seq",
+        "timestamp_seconds(1704067200 + id) AS ts",
+        "CASE WHEN id % 300 > 0 THEN 9007199254740992 + id % 300 END AS dev",
+        "id / 2D AS p",
+    )
+    for low, high in ((0, 700), (700, 1200)):
+        rows.where(f"seq >= {low} AND seq < {high}").write.mode("append").parquet(src)
+        made = jobs.state_sequences(spark.readStream.schema(rows.schema).parquet(src), ["p"], 3, keys=["dev"], buckets=4)
+        jobs.run_available(made, out, check)
+    want = rows.selectExpr(
+        "seq", "dev", "lag(p, 2) OVER (PARTITION BY dev ORDER BY seq) AS a", "lag(p) OVER (PARTITION BY dev ORDER BY seq) AS b", "p AS c"
+    ).where("a IS NOT NULL")
+    got = spark.read.parquet(out).selectExpr("seq", "dev", "sequence[0] AS a", "sequence[1] AS b", "sequence[2] AS c")
+    same(got, want)
+    assert spark.read.format("statestore").load(check).count() <= 5
+
+
 def test_drift(spark, source, tmp_path):
     whole = batch(spark, source)
     counts = materialize(drift.sample_counts(whole, ["p"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -163,63 +164,83 @@ def state_sequences(
     tie: str = "seq",
     lateness: str = "1 hour",
     expiry_hours: float = 24.0,
+    buckets: int = 1024,
 ) -> DataFrame:
     """Row sequences with the last ``k - 1`` rows of every key held in state: ``sequence``, ``late``.
 
     A row that is not after its key's newest row by (ts, tie) comes out at once, late and without a
     sequence, and changes nothing. Rows behind the watermark are dropped, as by every event-time
     operator. A key without rows for ``expiry_hours`` of event time is forgotten and starts anew. Rows
-    before a key's k-th are held only. State is k - 1 rows a key; one task holds a key's rows of a
-    batch, so size batches by the busiest key.
+    before a key's k-th are held only. State is k - 1 rows a key, kept together for the keys of a
+    bucket, as a call per key would cost more than its rows; one task holds a bucket's rows of a batch,
+    so size batches by the busiest one. ``buckets`` must stay as it is for the life of a checkpoint.
     """
     if k < 1 or not keys:
         raise ValueError("k must be at least 1, and keys are needed")
     width = len(features)
-    numbers = F.array(*[F.col(c).cast("double") for c in features])
+    cells = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)]
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    rows = rows.select(*keys, ts, F.col(tie).cast("long").alias(tie), numbers.alias("_row"))
+    rows = rows.select(*keys, ts, F.col(tie).cast("long").alias(tie), *cells)
+    # Keys with nulls have buckets of their own: a column of numbers and nulls would turn to doubles.
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in keys])
+    rows = rows.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(buckets))).withColumn("_nulls", nulls)
     key_schema = "".join(f"{rows.schema[c].simpleString().replace(':', ' ')}, " for c in keys)
     expiry = int(expiry_hours * 3_600_000)
 
-    def follow(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def follow(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        now, seen = state.getCurrentWatermarkMs(), set()
+        if not state.hasTimedOut:
+            chunks = list(chunks)
+            frame = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+            yield from extend(frame, held, seen, now)
+        # Keys without rows in this batch whose time is over.
+        for key in [key for key, entry in held.items() if key not in seen and entry[3] < now]:
+            del held[key]
+        if held:
+            state.update((pickle.dumps(held),))
+            state.setTimeoutTimestamp(max(min(entry[3] for entry in held.values()), now + 1))
+        elif state.exists:
             state.remove()
-            return
-        tail, last_at, last_tie = state.get if state.exists else ([], None, None)
-        tail = np.array(tail, float).reshape(-1, width)
-        frame = pd.concat(list(chunks), ignore_index=True).sort_values([ts, tie], ignore_index=True)
-        at = frame[ts].astype("datetime64[us]").astype("int64").to_numpy()
-        place = frame[tie].to_numpy()
-        late = np.zeros(len(frame), bool)
-        if last_at is not None:
-            late = (at < last_at) | ((at == last_at) & (place <= last_tie))
-        fresh = frame[~late]
-        if len(fresh):
-            values = np.vstack([tail, np.stack([np.array(r, float) for r in fresh["_row"]])])
-            first = len(tail)
-            found = [values[max(0, i - k + 1) : i + 1] for i in range(first, len(values))]
-            full = np.array([len(f) == k for f in found])
-            out = fresh[full]
-            yield _sequence_frame(key, out, [f.ravel() for f in found if len(f) == k], False)
-            kept = values[len(values) - min(k - 1, len(values)) :]
-            last_at, last_tie = int(at[~late][-1]), int(place[~late][-1])
-            state.update((kept.ravel().tolist(), last_at, last_tie))
-        if late.any():
-            yield _sequence_frame(key, frame[late], None, True)
-        if state.exists:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last_at // 1000) + expiry)
-
-    def _sequence_frame(key, frame: pd.DataFrame, sequences, late: bool) -> pd.DataFrame:
-        out = pd.DataFrame({c: [v] * len(frame) for c, v in zip(keys, key)})
-        out[ts], out[tie] = frame[ts].to_numpy(), frame[tie].to_numpy()
-        out["sequence"] = sequences if sequences is not None else [None] * len(frame)
-        out["late"] = late
-        return out
-
-    return rows.groupBy(*keys).applyInPandasWithState(
+
+    def extend(frame: pd.DataFrame, held: dict, seen: set, now: int) -> Iterator[pd.DataFrame]:
+        """The batch's rows with their sequences; ``held`` is a key's tail, newest (ts, tie) and end of time."""
+        code = frame.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+        times, place = frame[ts].to_numpy(), frame[tie].to_numpy()
+        order = np.lexsort((place, times.astype("datetime64[us]").astype("int64"), np.isnat(times), code))
+        frame, code, times, place = frame.iloc[order], code[order], times[order], place[order]
+        at = times.astype("datetime64[us]").astype("int64")
+        values = np.stack([frame[f"_x{i}"].to_numpy(float) for i in range(width)], axis=1)
+        sequences, late = [None] * len(at), np.zeros(len(at), bool)
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        names = list(zip(*[frame[c].iloc[first].tolist() for c in keys]))
+        for name, a, b in zip(names, first.tolist(), [*first[1:].tolist(), len(at)]):
+            # Spark counts equal NaN as one key.
+            key = tuple("nan" if v != v else v for v in name)
+            tail, last_at, last_tie, _ = held.get(key, (np.empty((0, width)), None, None, None))
+            seen.add(key)
+            if last_at is not None:
+                late[a:b] = (at[a:b] < last_at) | ((at[a:b] == last_at) & (place[a:b] <= last_tie))
+            fresh = a + np.flatnonzero(~late[a:b])
+            if len(fresh):
+                grown = np.vstack([tail, values[fresh]])
+                numbers = grown.ravel()
+                for i, row in enumerate(fresh[max(0, k - 1 - len(tail)) :].tolist()):
+                    sequences[row] = numbers[i * width : (i + k) * width]
+                tail = grown[len(grown) - min(k - 1, len(grown)) :].copy()
+                last_at, last_tie = int(at[fresh[-1]]), int(place[fresh[-1]])
+            held[key] = (tail, last_at, last_tie, max(now + 1, last_at // 1000) + expiry)
+        out = late | np.array([s is not None for s in sequences])
+        if out.any():
+            made = frame.loc[out, [*keys, ts, tie]].reset_index(drop=True)
+            made["sequence"] = [s for s, wanted in zip(sequences, out) if wanted]
+            made["late"] = late[out]
+            yield made
+
+    return rows.groupBy("_bucket", "_nulls").applyInPandasWithState(
         follow,
         f"{key_schema}{ts} timestamp, {tie} long, sequence array<double>, late boolean",
-        "tail array<double>, last_at long, last_tie long",
+        "held binary",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
