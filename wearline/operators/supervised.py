@@ -19,6 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wearline.operators.rates import scaling
 from wearline.session import materialize
 
+# A forest's training rows per task, beyond which few large files would leave most tasks idle.
+ROWS_PER_TASK = 20_000
+
+
 @dataclass(frozen=True)
 class Scorer:
     """A fitted MLlib model with its columns in order; calling it adds ``score`` to rows."""
@@ -69,8 +73,14 @@ def fit_forest(
     depth: int = 30,
     seed: int = 42,
 ) -> Scorer:
-    """Random forest with balanced classes. MLlib's depth limit is 30."""
-    ready = _vectors(train.withColumn("_w", _weights(train, y, True)), features)
+    """Random forest with balanced classes. MLlib's depth limit is 30.
+
+    Node numbers are cached with the rows, so that no pass sends the trees grown so far to the tasks.
+    """
+    ready = _vectors(train.withColumn("_w", _weights(train, y, True)), features).select("_x", "_w", y)
+    tasks = sum(class_sizes(train, y)) // ROWS_PER_TASK
+    if tasks > 1:
+        ready = ready.repartition(tasks)
     model = RandomForestClassifier(
         featuresCol="_x",
         labelCol=y,
@@ -78,6 +88,7 @@ def fit_forest(
         numTrees=trees,
         minInstancesPerNode=leaf,
         maxDepth=depth,
+        cacheNodeIds=True,
         seed=seed,
     ).fit(ready)
     return Scorer("forest", model, tuple(features))
