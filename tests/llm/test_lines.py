@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from tests.llm.helpers import DOCS, empty, groups, odd
 from wearline.llm import lines
+from wearline.llm.texts import mix
 
 RULE = lines.FuzzyLines(min_words=4, bits=6)
 
@@ -205,3 +206,44 @@ def test_close_lines_share_as_many_buckets_as_the_last_step_asks(spark):
             shorter = min(len(x), len(y))
             least = 2 + shorter // lines.WORDS_PER_SHARED if shorter >= rule.length_of(3) else 1
             assert allowed == 0 or len(set(a) & set(b)) >= least
+
+
+def test_close_lines_share_a_run_of_words():
+    """For any order of the runs, and for lines that repeat few words."""
+    rng = random.Random(22)
+    for percent, run in ((90, 3), (95, 3), (85, 2), (60, 1)):
+        rule = lines.FuzzyLines(percent=percent, within_bits=False)
+        assert rule.run_length() == run
+        for n in range(2, 60) if run > 1 else ():
+            for known in (3, 1 << 60):
+                x = [rng.randrange(known) for _ in range(n)]
+                y, allowed = list(x), rule.edits_of(n)
+                for _ in range(allowed):
+                    at = rng.randrange(len(y))
+                    y[at : at + 1] = rng.choice(([rng.randrange(known)], [], [y[at], rng.randrange(known)]))
+                if x == y or edits(x, y) > max(len(x), len(y)) * rule.away // 100:
+                    continue
+                words = mix(np.array([*x, *y], np.uint64), 3)
+                order = np.random.default_rng(n).integers(0, 1 << 30, lines.ORDER_SLOTS).astype(np.int32)
+                a, b = lines.run_keys(words, np.array([0, len(x)]), np.array([len(x), len(y)]), order, rule).to_pylist()
+                assert set(a) & set(b) and len(set(a)) == len(a)
+
+
+def test_lines_with_common_words_do_not_meet(spark):
+    """Lines of one small vocabulary are no candidates of each other, so pairs don't grow with the square of the lines."""
+    rng = random.Random(23)
+    texts = [" ".join(f"w{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}" for _ in range(40)) for _ in range(400)]
+    found = lines.occurrences(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS), lines.DEFAULT)
+    members = {}
+    for row in found.collect():
+        for bucket in row["keys"]:
+            members.setdefault(bucket, set()).add(row["doc_id"])
+    assert sum(len(m) * (len(m) - 1) // 2 for m in members.values()) < 400
+
+
+def test_parts_of_a_batch_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(lines, "PART_BYTES", 5)
+    texts = ["abc", None, "de", "a text longer than a part", "", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    parts = [part.column("text").to_pylist() for part in lines._parts(batch)]
+    assert parts == [["abc", None, "de"], ["a text longer than a part"], ["", "x"]]

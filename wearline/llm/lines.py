@@ -1,9 +1,10 @@
-"""Fuzzy line dedup by edit similarity in words, on candidates that share rare words.
+"""Fuzzy line dedup by edit similarity in words, on candidates that share rare runs of three words.
 
-Lines are normalised to words. Equal lines are one item. Two lines whose edit distance is at most
-``k`` for a longer length of ``n`` words have ``n - k`` words in common, so they share ``t`` of each
-line's first ``k + t`` words, in any order of all words. Rare words come first in that order, which
-makes small buckets and leaves no pair out; longer lines share more words. Candidates are confirmed
+Lines are normalised to words. Equal lines are one item. Of ``k + 1`` runs of words that don't overlap,
+``k`` edits leave one as it is. So two lines with at most ``k`` edits share one of each line's first runs, in any
+order of all runs, if these hold ``k + 1`` that don't overlap. Runs that begin with rare words come first in
+that order, which makes small buckets and leaves no pair out. Rules that are too loose for runs take rare words
+in the same way: lines share ``t`` of each line's first ``k + t`` words. Candidates are confirmed
 by their edit similarity on 64-bit word hashes, and one occurrence per connected group of lines
 stays: the first by doc_id and position.
 
@@ -40,6 +41,9 @@ PARITY_BITS = 48
 LONGEST_MARK = (1 << 15) - 1
 # Lines in single-word buckets share one word more for each so many of their words.
 WORDS_PER_SHARED = 100
+LONGEST_RUN = 3
+# Text worked on at a time; bounds the temporary arrays.
+PART_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -63,6 +67,23 @@ class FuzzyLines:
         """Words from which on a line may differ in so many edits."""
         return -(-100 * edits // self.away)
 
+    def edits_of(self, words):
+        """How many edits a line of so many words may have to one that is not shorter."""
+        return 100 * words // self.percent * self.away // 100
+
+    def run_length(self) -> int:
+        """Words of a run, so that every line that may be edited has enough runs; 1 if only single words are enough.
+
+        A run overlaps ``2 * run - 1`` runs at most, itself included.
+        """
+        for run in range(LONGEST_RUN, 1, -1):
+            spare = self.percent - (2 * run - 1) * self.away
+            if self.away and spare > 0:
+                short = range(1, run * self.percent // spare + 1)
+                if all((2 * run - 1) * self.edits_of(n) < n - run + 1 for n in short if self.edits_of(n)):
+                    return run
+        return 1
+
     def blocks(self) -> list[tuple[int, int]]:
         """(shift, width) of the blocks that cut 64 bits."""
         n = self.bits + 2
@@ -120,13 +141,24 @@ def simhash(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
     return np.packbits(2 * out > size[:, None], axis=1).view(np.int64).ravel()
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a bounded size of text each, or of one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(upto):
+        done = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, done + PART_BYTES, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_order(docs: DataFrame) -> np.ndarray:
     """How often each slot of word hashes occurs in all lines; of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDER_SLOTS, np.int64)
-        for batch in batches:
-            slots = lines_of(batch.column("text")).hashes % np.uint64(ORDER_SLOTS)
+        for part in (part for batch in batches for part in _parts(batch)):
+            slots = lines_of(part.column("text")).hashes % np.uint64(ORDER_SLOTS)
             total += np.bincount(slots.astype(np.int64), minlength=ORDER_SLOTS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
@@ -187,6 +219,48 @@ def rare_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[by].view(np.int64)))
 
 
+def run_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.ndarray, rule: FuzzyLines) -> pa.Array:
+    """Per line the buckets, each once, of which it shares one with every line of enough edit similarity.
+
+    A line's runs are taken from the rarest first word on until so many of them don't overlap that edits can't
+    change all. Runs of one place in the order are one bucket.
+    """
+    run = rule.run_length()
+    edits = rule.edits_of(size)
+    lines = np.flatnonzero(edits > 0)
+    runs = size[lines] - run + 1
+    begin = np.cumsum(runs) - runs
+    at = np.repeat(first[lines] - begin, runs) + np.arange(int(runs.sum()))
+    own = np.repeat(np.arange(len(lines)), runs)
+    place = words[at]
+    rare = np.minimum(order[(place % np.uint64(ORDER_SLOTS)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
+    for k in range(1, run):
+        place = mix(place, 34) + words[at + k]
+    place = rare << np.uint64(40) | mix(place, 34) >> np.uint64(24)
+    by = np.argsort(place)
+    # Few enough lines are sorted by radix.
+    by = by[np.argsort(own[by].astype(np.uint16 if len(lines) <= 1 << 16 else np.int64), kind="stable")]
+    at, place = at[by], place[by]
+    overlapped = np.zeros(len(words) + 2 * run, bool)
+    taken = np.zeros(len(lines), np.int64)
+    still, left, step = np.arange(len(lines)), edits[lines] + 1, 0
+    while len(still):
+        where = at[begin[still] + step] + run
+        apart = ~overlapped[where]
+        for k in range(1 - run, run):
+            overlapped[where[apart] + k] = True
+        left = left - apart
+        step += 1
+        taken[still[left == 0]] = step
+        still, left = still[left > 0], left[left > 0]
+    chosen = np.repeat(begin, taken) + np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken)
+    own, keys = np.repeat(lines, taken), place[chosen]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+    ends = np.searchsorted(own[new], np.arange(len(size) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(mix(keys[new], 35).view(np.int64)))
+
+
 def occurrences(docs: DataFrame, rule: FuzzyLines) -> DataFrame:
     """Every long enough line: ``doc_id, text_key, place, h1, h2, sim, n_words, keys``.
 
@@ -194,9 +268,10 @@ def occurrences(docs: DataFrame, rule: FuzzyLines) -> DataFrame:
     ``sim`` is the SimHash if the rule has bits, else the word parity; ``keys`` are the buckets then.
     """
     order = None if rule.within_bits else word_order(docs)
+    buckets = run_keys if rule.run_length() > 1 else rare_keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             lines = lines_of(batch.column("text"))
             size = np.diff(lines.bounds)
             kept = np.flatnonzero(size >= max(1, rule.min_words))
@@ -212,7 +287,7 @@ def occurrences(docs: DataFrame, rule: FuzzyLines) -> DataFrame:
             if rule.within_bits:
                 sim, keys = simhash(lines.hashes, begin, size), pa.nulls(len(size), pa.list_(pa.int64()))
             else:
-                sim, keys = parity(words, first, size), rare_keys(words, first, size, order, rule)
+                sim, keys = parity(words, first, size), buckets(words, first, size, order, rule)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(rows),
@@ -260,7 +335,7 @@ def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     per_doc = per_doc.select(F.col("doc_id").alias("of"), F.col("text_key").alias("with"), "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             lines = lines_of(batch.column("text"))
             first = np.searchsorted(lines.text, np.arange(len(batch)))
             asked = pc.list_flatten(batch.column("lines"))
@@ -406,7 +481,7 @@ def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
         discard(pairs, words)
         return links
 
-    least = None if rule.within_bits else _least_shared(rule)
+    least = None if rule.within_bits or rule.run_length() > 1 else _least_shared(rule)
     grouped = link(members, fits, screen, confirm, least_shared=least).withColumnRenamed("node", "of")
     lines = distinct.join(grouped, F.col("node") == F.col("of"), "left").drop("of")
     lines = materialize(
