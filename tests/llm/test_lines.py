@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -247,3 +248,24 @@ def test_parts_of_a_batch_hold_all_rows(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
     parts = [part.column("text").to_pylist() for part in lines._parts(batch)]
     assert parts == [["abc", None, "de"], ["a text longer than a part"], ["", "x"]]
+
+
+def test_variants_just_too_far_apart_are_not_confirmed(spark, monkeypatch):
+    """Variants of one line with 3 of 30 words replaced, at other places each: 4 edits apart or more, which the short marks don't show."""
+    asked, confirmed = [], lines._confirmed
+
+    def counted(pairs, rule):
+        asked.append(pairs.count())
+        return confirmed(pairs, rule)
+
+    monkeypatch.setattr(lines, "_confirmed", counted)
+    base = [f"{a}{b}" for a in "klmnpr" for b in "aeiou"]
+    rows, rng = [], random.Random(24)
+    for i, places in enumerate(rng.sample(list(combinations(range(30), 3)), 60)):
+        ws = list(base)
+        for at in places:
+            ws[at] = "q" + "".join(rng.choices("abcdefgh", k=6))
+        rows.append((i, " ".join(ws), "en", "a", 1))
+    assert lines.removals(spark.createDataFrame(rows, DOCS)).where("size(removed) > 0").count() == 0
+    # Star and round: at most one pair per line and bucket; the last step none of 1,770.
+    assert asked[-1] <= 60

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from wearline.llm.linking import link
@@ -39,6 +39,8 @@ CHUNK_WORDS = 1 << 14
 ORDER_SLOTS = 1 << 18
 PARITY_BITS = 48
 LONGEST_MARK = (1 << 15) - 1
+# Longs of the word parity of lines that shorter marks have left open.
+WIDE = 8
 # Lines in single-word buckets share one word more for each so many of their words.
 WORDS_PER_SHARED = 100
 LONGEST_RUN = 3
@@ -355,6 +357,32 @@ def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("text", "lines").mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
+def _wide_marks(docs: DataFrame, distinct: DataFrame):
+    """Lengths and word parities of ``64 * WIDE`` groups of words, for the open nodes."""
+    names = [f"p{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(words.as_buffer(), np.uint64) for words in batch.column("words")]
+            size = np.array([len(words) for words in found], np.int64)
+            bits = np.zeros((len(found), 64 * WIDE), np.uint8)
+            for row, words in zip(bits, found):
+                place = (mix(words, 33) % np.uint64(64 * WIDE)).astype(np.int64)
+                row[:] = np.bincount(place, minlength=64 * WIDE) & 1
+            longs = np.packbits(bits, axis=1).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(longs[:, k])) for k in range(WIDE)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size), *columns], ["node", "size", *names])
+
+    def narrow(nodes: DataFrame) -> DataFrame:
+        asked = broadcast_if_small(nodes.withColumnRenamed("node", "of"))
+        wanted = distinct.join(asked, F.col("node") == F.col("of"), "left_semi").select("first.*", "node")
+        schema = ", ".join(f"{name} long" for name in ("node", "size", *names))
+        marks = _line_words(docs, wanted).mapInArrow(run, schema)
+        return marks.select("node", F.struct("size", *names).alias("better"))
+
+    return narrow
+
+
 def _shared_words(x: np.ndarray, y: np.ndarray) -> int:
     """Words in common, as often as both have them; a hash collision can only add some."""
 
@@ -451,17 +479,28 @@ def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     keys = _buckets(F.col("sim"), rule) if rule.within_bits else F.col("keys")
     members = distinct.select(F.explode(keys).alias("bucket"), "node", F.col("sim").alias("mark"))
+    if not rule.within_bits and rule.run_length() > 1:
+        # Most buckets of runs hold one line; they go before anything else is shuffled. The window spills.
+        bucket = Window.partitionBy("bucket")
+        lowest, highest = (how("node").over(bucket).alias(name) for how, name in ((F.min, "lowest"), (F.max, "highest")))
+        members = materialize(members.select("*", lowest, highest).where("lowest <> highest").drop("lowest", "highest"))
 
-    def fits(x: Column, y: Column) -> Column:
-        if rule.within_bits:
-            return F.bit_count(x.bitwiseXOR(y)) <= rule.bits
-        size_x, size_y = F.shiftright(x, PARITY_BITS), F.shiftright(y, PARITY_BITS)
+    def possible(size_x: Column, size_y: Column, flipped: Column) -> Column:
         shorter, longer = F.least(size_x, size_y), F.greatest(size_x, size_y)
-        flipped = F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit((1 << PARITY_BITS) - 1)))
         # Each of the edits flips two bits at most; one that changes the length flips one.
         near = 100 * (flipped + longer - shorter) <= 2 * rule.away * longer
         return near & (100 * shorter >= rule.percent * longer)
 
+    def fits(x: Column, y: Column) -> Column:
+        if rule.within_bits:
+            return F.bit_count(x.bitwiseXOR(y)) <= rule.bits
+        flipped = F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit((1 << PARITY_BITS) - 1)))
+        return possible(F.shiftright(x, PARITY_BITS), F.shiftright(y, PARITY_BITS), flipped)
+
+    def fits_wide(x: Column, y: Column) -> Column:
+        flipped = sum(F.bit_count(x[f"p{k}"].bitwiseXOR(y[f"p{k}"])) for k in range(WIDE))
+        return possible(x["size"], y["size"], flipped)
+
     def both(pairs: DataFrame, frame: DataFrame, value: str) -> DataFrame:
         for side in ("b", "a"):
             one = frame.select(F.col("node").alias(f"n_{side}"), F.col(value).alias(f"{value}_{side}"))
@@ -482,7 +521,10 @@ def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
         return links
 
     least = None if rule.within_bits or rule.run_length() > 1 else _least_shared(rule)
-    grouped = link(members, fits, screen, confirm, least_shared=least).withColumnRenamed("node", "of")
+    # The last step of single words takes its number of shared buckets from the short marks.
+    wide = None if rule.within_bits or least else _wide_marks(docs, distinct)
+    grouped = link(members, fits, screen, confirm, wide, fits_wide if wide else None, least_shared=least)
+    grouped = grouped.withColumnRenamed("node", "of")
     lines = distinct.join(grouped, F.col("node") == F.col("of"), "left").drop("of")
     lines = materialize(
         lines.select("h1", "h2", "n", "first", F.coalesce("component", "node").alias("line_group"), "component")
