@@ -357,7 +357,7 @@ def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("text", "lines").mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
-def _wide_marks(docs: DataFrame, distinct: DataFrame):
+def _wide_marks(words: DataFrame):
     """Lengths and word parities of ``64 * WIDE`` groups of words, for the open nodes."""
     names = [f"p{k}" for k in range(WIDE)]
 
@@ -375,9 +375,9 @@ def _wide_marks(docs: DataFrame, distinct: DataFrame):
 
     def narrow(nodes: DataFrame) -> DataFrame:
         asked = broadcast_if_small(nodes.withColumnRenamed("node", "of"))
-        wanted = distinct.join(asked, F.col("node") == F.col("of"), "left_semi").select("first.*", "node")
+        wanted = words.join(asked, F.col("node") == F.col("of"), "left_semi")
         schema = ", ".join(f"{name} long" for name in ("node", "size", *names))
-        marks = _line_words(docs, wanted).mapInArrow(run, schema)
+        marks = wanted.mapInArrow(run, schema)
         return marks.select("node", F.struct("size", *names).alias("better"))
 
     return narrow
@@ -479,11 +479,6 @@ def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
     keys = _buckets(F.col("sim"), rule) if rule.within_bits else F.col("keys")
     members = distinct.select(F.explode(keys).alias("bucket"), "node", F.col("sim").alias("mark"))
-    if not rule.within_bits and rule.run_length() > 1:
-        # Most buckets of runs hold one line; they go before anything else is shuffled. The window spills.
-        bucket = Window.partitionBy("bucket")
-        lowest, highest = (how("node").over(bucket).alias(name) for how, name in ((F.min, "lowest"), (F.max, "highest")))
-        members = materialize(members.select("*", lowest, highest).where("lowest <> highest").drop("lowest", "highest"))
 
     def possible(size_x: Column, size_y: Column, flipped: Column) -> Column:
         shorter, longer = F.least(size_x, size_y), F.greatest(size_x, size_y)
@@ -501,29 +496,53 @@ def repeated_lines(docs: DataFrame, rule: FuzzyLines = DEFAULT) -> DataFrame:
         flipped = sum(F.bit_count(x[f"p{k}"].bitwiseXOR(y[f"p{k}"])) for k in range(WIDE))
         return possible(x["size"], y["size"], flipped)
 
+    def screen(pairs: DataFrame) -> DataFrame:
+        # ``fits`` has seen the marks; lengths beyond them and the words themselves are confirmed.
+        return pairs
+
+    runs = not rule.within_bits and rule.run_length() > 1
+    known = None
+    if runs:
+        # Most buckets of runs hold one line, or two that don't fit; they go before anything else is shuffled.
+        # The window spills.
+        bucket = Window.partitionBy("bucket")
+        about = {
+            "lowest": F.min("node"), "highest": F.max("node"), "rows": F.count("*"),
+            "mark_lowest": F.min_by("mark", "node"), "mark_highest": F.max_by("mark", "node"),
+        }
+        comparable = (F.col("rows") > 2) | fits(F.col("mark_lowest"), F.col("mark_highest"))
+        members = members.select("*", *[how.over(bucket).alias(name) for name, how in about.items()])
+        members = materialize(members.where((F.col("lowest") != F.col("highest")) & comparable).drop(*about))
+        asked = members.select(F.col("node").alias("of")).distinct()
+        known = materialize(_line_words(docs, distinct.join(asked, F.col("node") == F.col("of")).select("first.*", "node")))
+
+    def words_of_nodes(nodes: DataFrame) -> DataFrame:
+        asked = broadcast_if_small(nodes)
+        if known is not None:
+            return known.join(asked, F.col("node") == F.col("of"), "left_semi")
+        return _line_words(docs, distinct.join(asked, F.col("node") == F.col("of")).select("first.*", "node"))
+
     def both(pairs: DataFrame, frame: DataFrame, value: str) -> DataFrame:
         for side in ("b", "a"):
             one = frame.select(F.col("node").alias(f"n_{side}"), F.col(value).alias(f"{value}_{side}"))
             pairs = pairs.join(one, F.col(side) == F.col(f"n_{side}"))
         return pairs
 
-    def screen(pairs: DataFrame) -> DataFrame:
-        # ``fits`` has seen the marks; lengths beyond them and the words themselves are confirmed.
-        return pairs
-
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs)
         nodes = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
-        wanted = distinct.join(broadcast_if_small(nodes), F.col("node") == F.col("of")).select("first.*", "node")
-        words = materialize(_line_words(docs, wanted))
+        words = materialize(words_of_nodes(nodes))
         links = materialize(_confirmed(both(pairs, words, "words"), rule))
         discard(pairs, words)
         return links
 
-    least = None if rule.within_bits or rule.run_length() > 1 else _least_shared(rule)
     # The last step of single words takes its number of shared buckets from the short marks.
-    wide = None if rule.within_bits or least else _wide_marks(docs, distinct)
-    grouped = link(members, fits, screen, confirm, wide, fits_wide if wide else None, least_shared=least)
+    least = None if rule.within_bits or runs else _least_shared(rule)
+    if runs:
+        grouped = link(members, fits, screen, confirm, _wide_marks(known), fits_wide, spread=True)
+        discard(members, known)
+    else:
+        grouped = link(members, fits, screen, confirm, least_shared=least)
     grouped = grouped.withColumnRenamed("node", "of")
     lines = distinct.join(grouped, F.col("node") == F.col("of"), "left").drop("of")
     lines = materialize(

@@ -68,24 +68,33 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select("node", F.col("root").alias("component"))
 
 
-def _open_rows(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+def _open_rows(rows: DataFrame, grouped: DataFrame, fits: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Rows of the buckets that hold more than one component, with their ``component``.
 
-    Components only grow, so the other buckets have nothing left to compare. ``rows``, a written
-    table, is deleted.
+    Components only grow, so the other buckets have nothing left to compare, and with ``fits`` nor has a bucket of
+    two rows that don't fit. ``rows``, a written table, is deleted.
     """
     named = rows.select("bucket", "node", "mark").join(
         grouped.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left"
     )
     named = materialize(named.withColumn("component", F.coalesce("component", "node")).drop("of"))
     discard(rows)
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.where(F.col("low") != F.col("high")).select("bucket")
+    found = [F.min("component").alias("low"), F.max("component").alias("high")]
+    several = F.col("low") != F.col("high")
+    if fits is not None:
+        found += [F.count("*").alias("n"), F.min_by("mark", "node").alias("first"), F.max_by("mark", "node").alias("last")]
+        several = several & ((F.col("n") > 2) | fits(F.col("first"), F.col("last")))
+    mixed = named.groupBy("bucket").agg(*found).where(several).select("bucket")
     still_open = materialize(named.join(mixed, "bucket", "left_semi"))
     discard(named)
     return still_open
 
 
+def _buckets_of(rows: DataFrame) -> DataFrame:
+    """(owner, buckets): all buckets of each node."""
+    return rows.groupBy(F.col("node").alias("owner")).agg(F.collect_set("bucket").alias("buckets"))
+
+
 def link(
     members: DataFrame,
     fits: Callable[[Column, Column], Column],
@@ -95,6 +104,7 @@ def link(
     fits_narrowed: Callable[[Column, Column], Column] | None = None,
     rounds: int = 1,
     least_shared: Callable[[Column, Column], Column] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """(node, component) by all confirmed links between nodes that share a bucket.
 
@@ -109,6 +119,11 @@ def link(
     outside are compared to one node per bucket, chosen by a hash, as long as their components
     differ. At last all pairs in one bucket are compared whose components still differ. So no link
     that could join two components is left out, and the pairs inside a component are not made.
+
+    ``spread``, for nodes of one mark each, chooses another node of a group for each of its buckets, so that a node
+    meets as many of the group as they share buckets. A chosen node has then been compared to its whole bucket and
+    leaves it, which empties small buckets. The last step makes a pair once, in the first open bucket
+    that both are in, instead of once per shared bucket. It can't go with ``least_shared``, which counts them.
     """
     centres = members.groupBy("bucket").agg(
         F.min("node").alias("centre"), F.max("node").alias("last"), F.min_by("mark", "node").alias("mark_centre")
@@ -119,42 +134,53 @@ def link(
     star = star.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     nearest = screen(star.distinct()).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(confirm(nearest))
-    rows = _open_rows(shared, components(links))
+    apart = fits if spread else None
+    rows = _open_rows(shared, components(links), apart)
     for seed in range(rounds):
-        place = F.xxhash64(F.lit(seed), "node")
+        place = F.xxhash64(F.lit(seed), "node", "bucket") if spread else F.xxhash64(F.lit(seed), "node")
         chosen = rows.groupBy("bucket").agg(
             F.min_by("node", place).alias("centre"),
             F.min_by("component", place).alias("of_centre"),
             F.min_by("mark", place).alias("mark_centre"),
         )
         chosen = chosen.withColumnRenamed("bucket", "of")
-        met = rows.join(chosen, F.col("bucket") == F.col("of")).where(
-            (F.col("component") != F.col("of_centre")) & fits(F.col("mark"), F.col("mark_centre"))
-        )
-        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        met = rows.join(chosen, F.col("bucket") == F.col("of"))
+        if spread:
+            met = materialize(met.where(F.col("node") != F.col("centre")))
+        near = met.where((F.col("component") != F.col("of_centre")) & fits(F.col("mark"), F.col("mark_centre")))
+        pairs = near.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         links = materialize(links.select("a", "b").union(confirm(screen(pairs.distinct())).select("a", "b")))
-        rows = _open_rows(rows, components(links))
+        if spread:
+            discard(rows)
+        rows = _open_rows(met if spread else rows, components(links), apart)
     written = rows
     if narrow is not None:
         marks = materialize(narrow(rows.select("node").distinct()).select(F.col("node").alias("of"), "better"))
         rows = rows.join(marks, F.col("node") == F.col("of")).drop("mark", "of").withColumnRenamed("better", "mark")
         fits = fits_narrowed or fits
-    left, right = (
-        rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("bucket", "node", "mark", "component")])
-        for side in "ab"
-    )
-    pairs = left.join(
-        right,
+    columns = ["bucket", "node", "mark", "component"]
+    if spread:
+        rows = rows.join(_buckets_of(written), F.col("node") == F.col("owner"))
+        rows = rows.withColumn("before", F.filter("buckets", lambda other: other < F.col("bucket")))
+        columns.append("before")
+    left, right = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
+    meet = (
         (F.col("bucket_a") == F.col("bucket_b"))
         & (F.col("node_a") < F.col("node_b"))
         & (F.col("component_a") != F.col("component_b"))
-        & fits(F.col("mark_a"), F.col("mark_b")),
-    )
-    least = F.lit(1) if least_shared is None else least_shared(F.col("mark_a"), F.col("mark_b"))
-    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
-        F.count("*").alias("n"), F.max(least).alias("least")
+        & fits(F.col("mark_a"), F.col("mark_b"))
     )
-    last = confirm(screen(pairs.where(F.col("n") >= F.col("least")).select("a", "b")))
+    if spread:
+        pairs = left.join(right, meet & ~F.arrays_overlap("before_a", "before_b"))
+        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    else:
+        pairs = left.join(right, meet)
+        least = F.lit(1) if least_shared is None else least_shared(F.col("mark_a"), F.col("mark_b"))
+        pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+            F.count("*").alias("n"), F.max(least).alias("least")
+        )
+        pairs = pairs.where(F.col("n") >= F.col("least")).select("a", "b")
+    last = confirm(screen(pairs))
     found = components(links.union(last.select("a", "b")))
     discard(written)
     return found
