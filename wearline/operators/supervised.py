@@ -16,16 +16,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wearline.operators.grid import find_cuts, fit_grid_forest
 from wearline.operators.rates import scaling
 from wearline.session import materialize
 
 # A forest's training rows per task, beyond which few large files would leave most tasks idle.
 ROWS_PER_TASK = 20_000
+# From so many training rows a forest on few features is grown on counted cells. MLlib, too, reads all rows for
+# its split points up to here, and a sample beyond.
+GRID_ROWS = 10_000
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """A fitted MLlib model with its columns in order; calling it adds ``score`` to rows."""
+    """A fitted model with its columns in order; calling it adds ``score`` to rows."""
 
     kind: str
     model: Any
@@ -33,6 +37,8 @@ class Scorer:
     scaling: Mapping[str, tuple[float, float]] | None = None
 
     def __call__(self, df: DataFrame) -> DataFrame:
+        if self.kind == "grid":
+            return self.model.score(df)
         out = self.model.transform(_vectors(df, self.features, self.scaling))
         return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
@@ -75,10 +81,20 @@ def fit_forest(
 ) -> Scorer:
     """Random forest with balanced classes. MLlib's depth limit is 30.
 
-    Node numbers are cached with the rows, so that no pass sends the trees grown so far to the tasks.
+    Many rows of few features are counted by cell first, see :mod:`wearline.operators.grid`. With MLlib, node
+    numbers are cached with the rows, so that no pass sends the trees grown so far to the tasks.
     """
+    sizes = class_sizes(train, y)
+    if sum(sizes) > GRID_ROWS and min(sizes) > 0:
+        weights = [sum(sizes) / (2 * n) for n in sizes]
+        cuts = find_cuts(train, features, y, weights)
+        if cuts is not None:
+            model = fit_grid_forest(
+                train, features, y, cuts, weights, trees=trees, leaf=leaf, depth=depth, seed=seed
+            )
+            return Scorer("grid", model, tuple(features))
     ready = _vectors(train.withColumn("_w", _weights(train, y, True)), features).select("_x", "_w", y)
-    tasks = sum(class_sizes(train, y)) // ROWS_PER_TASK
+    tasks = sum(sizes) // ROWS_PER_TASK
     if tasks > 1:
         ready = ready.repartition(tasks)
     model = RandomForestClassifier(

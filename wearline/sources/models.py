@@ -16,6 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.sql import DataFrame, SparkSession
 
+from wearline.operators.grid import GridForest
 from wearline.operators.iforest import Forest, load_forest, save_forest
 from wearline.operators.supervised import Scorer
 from wearline.sources.claims import claim, exists
@@ -27,6 +28,7 @@ COMMIT_SCHEMA = (
 ISOLATION = "iforest"
 _LOADERS = {
     "forest": RandomForestClassificationModel,
+    "grid": GridForest,
     "boosted": GBTClassificationModel,
     "network": MultilayerPerceptronClassificationModel,
 }
@@ -53,7 +55,7 @@ class ModelStore:
         metrics: Mapping[str, float] | None = None,
         at: datetime | None = None,
     ) -> str:
-        """Store a forest or a fitted MLlib scorer; a version that exists is refused."""
+        """Store a forest or a fitted scorer; a version that exists is refused."""
         at = at or datetime.now(timezone.utc)
         isolation = isinstance(model, Forest)
         kind = ISOLATION if isolation else model.kind
